@@ -67,6 +67,10 @@ def _href(anchor: Column) -> Column:
     return F.trim(F.regexp_extract(anchor, r'(?is)\bhref\s*=\s*["\']([^"\']*)["\']', 1))
 
 
+def _matches(pattern: str):
+    return lambda anchor: anchor.rlike(pattern)
+
+
 def offer_link_from_markup(html: Column, base: str) -> Column:
     """Link of an offer card, absolute, by priority; empty if none.
 
@@ -82,7 +86,8 @@ def offer_link_from_markup(html: Column, base: str) -> Column:
     own = F.when(html.rlike(r"(?is)^\s*<a\b"), _href(F.regexp_extract(html, r"(?is)^\s*<a\b[^>]*>", 0)))
     tries = [F.nullif(own, F.lit(""))]
     for name in fv.LINK_CLASSES:
-        tries.append(first_link(lambda a, name=name: a.rlike(rf'class\s*=\s*["\'][^"\']*\b{name}\b')))
+        with_class = rf'class\s*=\s*["\'][^"\']*\b{name}\b'
+        tries.append(first_link(_matches(with_class)))
     tries.append(first_link(lambda a: F.contains(_href(a), F.lit(fv.OFFER_PATH))))
     tries.append(first_link(lambda a: F.contains(F.lower(_href(a)), F.lit("offer"))))
     return absolute_url(F.coalesce(*tries, F.lit("")), base)

@@ -101,7 +101,7 @@ def delta_label(change: Column, pct: Column) -> Column:
     """``↑ +4.2%`` style label; a dash when the change is unknown."""
     sign = F.when(change > 0, F.lit("+")).otherwise(F.lit(""))
     text = F.concat(arrow(change), F.lit(" "), sign, _one_decimal(pct), F.lit("%"))
-    return F.coalesce(text, F.lit(fv.NO_VALUE))
+    return F.when(change.isNull() | pct.isNull(), F.lit(fv.NO_VALUE)).otherwise(text)
 
 
 def whole(col: Column) -> Column:

@@ -11,7 +11,8 @@ from faretide import fixed_values as fv
 
 # Unicode white space, so that a no-break space collapses like any other.
 _BLANKS = r"(?U)\s+"
-_TRIP_DATE = r"\d{1,2}[.-]\d{1,2}[.-]\d{4}"
+_TRIP_DATE = r"(\d{1,2})[.-](\d{1,2})[.-](\d{4})"
+_TWO_TRIP_DATES = rf"(?s)^.*?{_TRIP_DATE}.*?{_TRIP_DATE}.*$"
 _DAY_MONTH = r"\d{1,2}[./-]\d{1,2}"
 _COUNT_UNIT = r"(?i)\d\s*[dn]"
 _NUMBER = r"([0-9][0-9\s\x{00A0}\x{202F}]*(?:\.[0-9]+)?)"
@@ -36,18 +37,9 @@ def normalize_dates(col: Column) -> Column:
 
     Text with fewer than two dates is only trimmed.
     """
-    found = F.regexp_extract_all(col, F.lit(_TRIP_DATE), F.lit(0))
-
-    def iso(position: int) -> Column:
-        parts = F.split(F.get(found, F.lit(position)), "[.-]")
-        return F.concat_ws(
-            "-",
-            F.get(parts, F.lit(2)),
-            F.lpad(F.get(parts, F.lit(1)), 2, "0"),
-            F.lpad(F.get(parts, F.lit(0)), 2, "0"),
-        )
-
-    return F.when(F.size(found) >= 2, F.concat_ws("|", iso(0), iso(1))).otherwise(F.trim(col))
+    iso = F.regexp_replace(col, _TWO_TRIP_DATES, "$3-$2-$1|$6-$5-$4")
+    padded = F.regexp_replace(iso, r"\b(\d)\b", "0$1")
+    return F.when(col.rlike(_TWO_TRIP_DATES), padded).otherwise(F.trim(col))
 
 
 def trip_dates(col: Column) -> Column:

@@ -25,9 +25,14 @@ def url_filters(col: Column) -> Column:
             _decoded(F.regexp_replace(p, "^[^=]*=", "")).alias("v"),
         ),
     )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = F.transform(keys, lambda k: F.get(F.filter(pairs, lambda p: p["k"] == k), F.lit(0))["v"])
-    return F.map_from_arrays(keys, values)
+
+    def is_first(ps: Column):
+        return lambda p, i: F.array_position(ps["k"], p["k"]) == i + 1
+
+    # The one-element array names the parsed pairs, so that they are parsed once.
+    return F.get(
+        F.transform(F.array(pairs), lambda ps: F.map_from_entries(F.filter(ps, is_first(ps)))), F.lit(0)
+    )
 
 
 def url_parameter(col: Column, name: str) -> Column:

@@ -179,17 +179,16 @@ def cheaper_same_trip(
 def same_destination_and_dates(other: DataFrame, base: DataFrame) -> DataFrame:
     """Rows of ``other`` whose destination and whose trip dates both occur in ``base``."""
 
-    def keyed(df: DataFrame) -> DataFrame:
-        slug = F.coalesce(
-            F.nullif(destination_slug(F.col("offer_url")), F.lit("")), destination_slug(F.col("url"))
-        )
-        return df.select("*", slug.alias("_slug"), normalize_dates(F.col("dates")).alias("_dates"))
-
-    ours = keyed(base)
-    slugs = ours.select("_slug").filter(F.col("_slug") != "").distinct()
-    dates = ours.select("_dates").filter(F.col("_dates").isNotNull()).distinct()
-    kept = attach(attach(keyed(other), slugs, ["_slug"], "left_semi"), dates, ["_dates"], "left_semi")
-    return kept.drop("_slug", "_dates")
+    slug = F.coalesce(
+        F.nullif(destination_slug(F.col("offer_url")), F.lit("")), destination_slug(F.col("url"))
+    ).alias("_slug")
+    slugs = base.select(slug).filter(F.col("_slug") != "").distinct()
+    # Spellings repeat far more often than rows differ, so they are normalised once each.
+    spelled = base.select("dates").distinct().select(normalize_dates(F.col("dates")).alias("_dates"))
+    dates = spelled.filter(F.col("_dates").isNotNull()).distinct()
+    at_place = attach(other.select("*", slug), slugs, ["_slug"], "left_semi").drop("_slug")
+    dated = at_place.select("*", normalize_dates(F.col("dates")).alias("_dates"))
+    return attach(dated, dates, ["_dates"], "left_semi").drop("_dates")
 
 
 def alternatives_for_items(items: DataFrame, alternatives: DataFrame) -> DataFrame:

@@ -83,8 +83,7 @@ def alert_feed(alerts: DataFrame) -> DataFrame:
 
 def feed_rows(alerts: DataFrame) -> DataFrame:
     """Display columns of the alert feed, missing items included."""
-    gone = (F.col("alert_type") == "missing") | F.col("new_price").isNull()
-    gone = F.coalesce(gone, F.lit(True))
+    gone = F.col("new_price").isNull() | F.coalesce(F.col("alert_type") == "missing", F.lit(False))
     change, pct = F.coalesce("price_change", F.lit(0.0)), F.coalesce("price_change_pct", F.lit(0.0))
     old = F.coalesce(F.col("old_price").cast("string"), F.lit(fv.NO_VALUE))
     mark = F.when(gone, F.lit("missing")).when(change > 0, F.lit("increase")).when(

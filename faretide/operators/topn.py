@@ -11,7 +11,7 @@ from faretide.functions.timestamps import minute_text
 from faretide.operators.changes import run_pairs
 from faretide.operators.stats import latest
 from faretide.plans.runs import run_prices
-from faretide.plans.shape import attach
+from faretide.plans.shape import pin
 
 _RUN = ["dataset", "run_id"]
 
@@ -40,16 +40,17 @@ def top_members(
 
 def _with_corrected_last(tagged: DataFrame, prices: DataFrame, n: int) -> DataFrame:
     current = latest(tagged.select("dataset", "hotel_name", "price", "observed_at", "seq", "run_id", "run_start"))
+    # One row per dataset, used twice.
     facts = current.groupBy("dataset").agg(
         F.max("run_id").alias("_last_run"),
         F.max("run_start").alias("_last_start"),
         F.count(F.lit(1)).alias("_items"),
     )
-    facts = facts.filter(F.col("_items") >= n)
-    earlier = attach(prices, facts, ["dataset"]).filter(
+    facts = pin(facts.filter(F.col("_items") >= n))
+    earlier = prices.join(facts, "dataset", "left").filter(
         F.col("_last_run").isNull() | (F.col("run_id") < F.col("_last_run"))
     )
-    rebuilt = attach(current, facts, ["dataset"], "inner").select(
+    rebuilt = current.join(facts, "dataset").select(
         "dataset",
         F.col("_last_run").alias("run_id"),
         F.col("_last_start").alias("run_start"),
@@ -93,9 +94,10 @@ def topn_diff(
     members = top_members(tagged, n, ties, correct_last).select(
         "dataset", "run_id", "hotel_name", "price", "position"
     )
-    # Rows left per run are at most n (plus ties), so the last run is found in a small table.
-    newest = members.groupBy("dataset").agg(F.max("run_id").alias("_newest"))
-    before = members.select(
+    # At most n rows (plus ties) are left of each run, so this window is over a small table.
+    newest = F.max("run_id").over(Window.partitionBy("dataset"))
+    members = members.withColumn("_newest", newest)
+    before = members.filter(F.col("run_id") < F.col("_newest")).select(
         "dataset",
         (F.col("run_id") + 1).alias("run_id"),
         "hotel_name",
@@ -110,8 +112,7 @@ def topn_diff(
         .when(old != new, F.lit("repriced"))
     )
     return (
-        attach(both, newest, ["dataset"])
-        .filter((F.col("run_id") > 1) & (F.col("run_id") <= F.col("_newest")))
+        both.filter(F.col("run_id") > 1)
         .withColumn("kind", kind)
         .filter(F.col("kind").isNotNull())
         .select(

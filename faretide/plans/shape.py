@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from faretide.session import ensure_checkpoint_dir
 
+# A result of at most this many narrow rows may pass through the driver.
+LOCAL_ROWS = 50_000
 # A side of at most this many narrow rows is small enough to send to every executor.
 BROADCAST_ROWS = 500_000
 # Rows of one key that a single task sorts comfortably.
@@ -20,22 +22,30 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def pin(small: DataFrame, local_rows: int = LOCAL_ROWS, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A presumably small table, made ready to join according to its checked size.
+
+    Up to ``local_rows`` rows it is computed once, here, so that neither the
+    check nor later uses scan its source again. Up to ``max_rows`` rows it is
+    marked for broadcast. Beyond that it is returned as it is, and joins with
+    it shuffle, where AQE splits skewed partitions. Reading stops at the limit.
+    """
+    taken = small.limit(local_rows + 1).toArrow()
+    if taken.num_rows <= local_rows:
+        return F.broadcast(small.sparkSession.createDataFrame(taken, schema=small.schema))
+    return F.broadcast(small) if is_small(small, max_rows) else small
+
+
 def attach(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
     how: str = "left",
+    local_rows: int = LOCAL_ROWS,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join a presumably small side, broadcasting it only when a count proves it small.
-
-    Beyond the limit the same join runs as a shuffle join, where AQE splits
-    skewed partitions. The count runs over the columns ``small`` needs and
-    nothing else.
-    """
-    if is_small(small, max_rows):
-        small = F.broadcast(small)
-    return big.join(small, list(on), how)
+    """Join a presumably small side; it is broadcast only if its checked size allows."""
+    return big.join(pin(small, local_rows, max_rows), list(on), how)
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:

@@ -23,13 +23,16 @@ QUERIES: dict[str, Query] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Instants as UTC wall-clock columns, the form in which results are compared."""
-    return df.select(
-        *[
-            F.col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    """Instants as UTC wall-clock columns and days as text, the forms in which results are compared."""
+
+    def shown(field: T.StructField):
+        if isinstance(field.dataType, T.TimestampType):
+            return F.col(field.name).cast("timestamp_ntz").alias(field.name)
+        if isinstance(field.dataType, T.DateType):
+            return F.col(field.name).cast("string").alias(field.name)
+        return F.col(field.name)
+
+    return df.select(*[shown(f) for f in df.schema.fields])
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:

@@ -32,7 +32,7 @@ _QUOTED = """'Hotel "' || hotel_name || '", spa'"""
 
 @query(
     "s01_read_csv",
-    _W + f"SELECT {_QUOTED} AS hotel_name, price, dates, duration, NULL::VARCHAR AS rating, departure_airport, url, nullif(image_url, '') AS image_url, nullif(offer_url, '') AS offer_url, observed_at, obs_date FROM obs",
+    _W + f"SELECT {_QUOTED} AS hotel_name, price, dates, duration, NULL::VARCHAR AS rating, departure_airport, url, nullif(image_url, '') AS image_url, nullif(offer_url, '') AS offer_url, observed_at, obs_date::VARCHAR AS obs_date FROM obs",
 )
 def s01(spark, sf_dir):
     path = scratch_path(spark, "csv")
@@ -68,7 +68,7 @@ def s04(spark, sf_dir):
     return nothing.unionByName(events_obs(spark, sf_dir)).select("hotel_name", "price")
 
 
-@query("s05_append_observations", _W + "SELECT dataset, hotel_name, price, observed_at, obs_date, seq FROM obs UNION ALL SELECT dataset, hotel_name, price, observed_at, obs_date, seq FROM obs WHERE seq % 3 = 0")
+@query("s05_append_observations", _W + "SELECT dataset, hotel_name, price, observed_at, obs_date::VARCHAR AS obs_date, seq FROM obs UNION ALL SELECT dataset, hotel_name, price, observed_at, obs_date::VARCHAR, seq FROM obs WHERE seq % 3 = 0")
 def s05(spark, sf_dir):
     obs, path = events_obs(spark, sf_dir), scratch_path(spark, "table")
     source.append_observations(obs, path)
@@ -172,13 +172,12 @@ def s12(spark, sf_dir):
 
 @query(
     "s12_price_series_parts",
-    f"""WITH {q.ORDERS} SELECT replace(hotel_name, '_', '-') AS slug, strftime(observed_at, '%Y-%m-%d %H:%M') AS x, price AS y FROM orders_obs""",
+    """SELECT event_type AS slug, strftime(ts, '%Y-%m-%d %H:%M') AS x, value AS y FROM events""",
 )
 def s12b(spark, sf_dir):
-    """Every point once, with items over 12 points given in parts."""
-    from faretide.adapters import orders_obs
-
-    series = price_series(orders_obs(spark, sf_dir), max_points=12)
+    """Every point once, when all rows of one event type are one item's and come in parts."""
+    hot = events_obs(spark, sf_dir).withColumn("hotel_name", F.col("departure_airport"))
+    series = price_series(hot, max_points=1500)
     return series.select("slug", F.inline(F.arrays_zip("x", "y")))
 
 

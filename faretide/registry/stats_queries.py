@@ -44,14 +44,14 @@ def a02(spark, sf_dir):
 _DAILY = f"{q.MEAN} AS mean_price, min(price) AS min_price, max(price) AS max_price"
 
 
-@query("a03_daily_mean_min_max", _W + f"SELECT obs_date AS day, {_DAILY} FROM obs GROUP BY 1")
+@query("a03_daily_mean_min_max", _W + f"SELECT obs_date::VARCHAR AS day, {_DAILY} FROM obs GROUP BY 1")
 def a03(spark, sf_dir):
     return stats.daily_stats(events_obs(spark, sf_dir)).select("day", "mean_price", "min_price", "max_price")
 
 
 @query(
     "a04_daily_rounded",
-    _L + f"""SELECT obs_date AS day, CAST({q.half_up(q.MEAN, 2)} AS DOUBLE) AS mean_price, min(price) AS min_price,
+    _L + f"""SELECT obs_date::VARCHAR AS day, CAST({q.half_up(q.MEAN, 2)} AS DOUBLE) AS mean_price, min(price) AS min_price,
         max(price) AS max_price, count(*) AS offers FROM line_obs GROUP BY 1""",
 )
 def a04(spark, sf_dir):
@@ -64,9 +64,9 @@ def a04(spark, sf_dir):
     "a05_daily_distribution",
     _W + """, b AS (SELECT obs_date AS day, quantile_cont(price, 0.25) AS q1, median(price) AS m, quantile_cont(price, 0.75) AS q3 FROM obs GROUP BY 1),
         j AS (SELECT b.*, price, price BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5 AS inside FROM obs JOIN b ON obs_date = day)
-        SELECT day, round(any_value(q1), 4) AS q1, round(any_value(m), 4) AS median_price, round(any_value(q3), 4) AS q3,
+        SELECT day::VARCHAR AS day, round(any_value(q1), 4) AS q1, round(any_value(m), 4) AS median_price, round(any_value(q3), 4) AS q3,
           min(price) FILTER (inside) AS whisker_low, max(price) FILTER (inside) AS whisker_high,
-          count(*) FILTER (NOT inside) AS outliers, count(*) AS offers FROM j GROUP BY day""",
+          count(*) FILTER (NOT inside) AS outliers, count(*) AS offers FROM j GROUP BY j.day""",
 )
 def a05(spark, sf_dir):
     boxes = stats.daily_distribution(events_obs(spark, sf_dir)).drop("dataset")
@@ -205,7 +205,7 @@ def a20(spark, sf_dir):
 @query(
     "a21_kpi_rollup",
     f"""WITH {q.EVENTS}, {q.ORDERS}, u AS (SELECT dataset, obs_date, price FROM obs UNION ALL SELECT dataset, obs_date, price FROM orders_obs)
-        SELECT dataset, obs_date AS day, count(price) AS offers, {q.MEAN} AS mean_price, min(price) AS min_price, max(price) AS max_price
+        SELECT dataset, obs_date::VARCHAR AS day, count(price) AS offers, {q.MEAN} AS mean_price, min(price) AS min_price, max(price) AS max_price
         FROM u GROUP BY ROLLUP (dataset, obs_date)""",
 )
 def a21(spark, sf_dir):

@@ -18,14 +18,14 @@ _W = f"WITH {q.EVENTS}, mark AS (SELECT max(observed_at) - INTERVAL 1 HOUR AS lo
 _STATS = f"count(*) AS offers, {q.MEAN} AS mean_price, min(price) AS min_price, max(price) AS max_price"
 
 
-@query("t01_ingest_stream", _W + " SELECT dataset, hotel_name, price, observed_at, obs_date, seq FROM obs")
+@query("t01_ingest_stream", _W + " SELECT dataset, hotel_name, price, observed_at, obs_date::VARCHAR AS obs_date, seq FROM obs")
 def t01(spark, sf_dir):
     root = scratch_path(spark, "ingest")
     ingest_stream(events_stream(spark, sf_dir).select(*OBSERVATION.fieldNames()), f"{root}/out", f"{root}/state")
     return read_table(spark, f"{root}/out").select("dataset", "hotel_name", "price", "observed_at", "obs_date", "seq")
 
 
-@query("t01_ingest_files", _W + " SELECT hotel_name, price, observed_at, obs_date FROM obs")
+@query("t01_ingest_files", _W + " SELECT hotel_name, price, observed_at, obs_date::VARCHAR AS obs_date FROM obs")
 def t01b(spark, sf_dir):
     root = scratch_path(spark, "ingest")
     export_csv(events_obs(spark, sf_dir), f"{root}/in")
@@ -115,7 +115,7 @@ def t07(spark, sf_dir):
 
 @query(
     "t08_repaired_days",
-    f"WITH {q.EVENTS} SELECT obs_date AS day, {q.MEAN} AS mean_price, min(price) AS min_price, max(price) AS max_price, count(*) AS offers FROM obs WHERE obs_date IN (SELECT obs_date FROM obs WHERE price > 350) GROUP BY 1",
+    f"WITH {q.EVENTS} SELECT obs_date::VARCHAR AS day, {q.MEAN} AS mean_price, min(price) AS min_price, max(price) AS max_price, count(*) AS offers FROM obs WHERE obs_date IN (SELECT obs_date FROM obs WHERE price > 350) GROUP BY 1",
 )
 def t08(spark, sf_dir):
     obs = shape_events(table(spark, sf_dir, "events"))

@@ -58,7 +58,7 @@ def p03(spark, sf_dir):
 
 @query(
     "p04_calendar_day",
-    """SELECT event_id, CAST(ts + INTERVAL 1 HOUR AS DATE) AS day FROM events""",
+    """SELECT event_id, CAST(CAST(ts + INTERVAL 1 HOUR AS DATE) AS VARCHAR) AS day FROM events""",
 )
 def p04(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
@@ -140,7 +140,7 @@ def p08(spark, sf_dir):
 
 @query(
     "p08_trip_dates",
-    f"""SELECT seq, CAST(observed_at AS DATE) AS trip_start, CAST(observed_at + INTERVAL 7 DAY AS DATE) AS trip_end
+    f"""SELECT seq, CAST(observed_at AS DATE)::VARCHAR AS trip_start, CAST(observed_at + INTERVAL 7 DAY AS DATE)::VARCHAR AS trip_end
         FROM ({'WITH ' + q.ORDERS + ' SELECT * FROM orders_obs'})""",
 )
 def p08b(spark, sf_dir):
@@ -251,7 +251,7 @@ def p14(spark, sf_dir):
 
 @query(
     "p15_trip_window",
-    """SELECT event_id AS seq, CAST(ts AS DATE) AS window_from, CAST(ts + INTERVAL 14 DAY AS DATE) AS window_to FROM events""",
+    """SELECT event_id AS seq, CAST(ts AS DATE)::VARCHAR AS window_from, CAST(ts + INTERVAL 14 DAY AS DATE)::VARCHAR AS window_to FROM events""",
 )
 def p15(spark, sf_dir):
     window = urls.trip_window(F.col("url"))
@@ -469,7 +469,7 @@ def _linked(spark, sf_dir):
     "p26_offer_link_from_markup",
     f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN '{SEARCH}/img/' || page_id WHEN 1 THEN '{SEARCH}/con/' || page_id
                WHEN 2 THEN 'https://o.example.com/wycieczka/w' || page_id
-               ELSE coalesce('{SEARCH}' || (list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1), x -> lower(x) LIKE '%offer%'))[1],
+               ELSE coalesce('{SEARCH}' || (list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1), lambda x: lower(x) LIKE '%offer%'))[1],
                     CASE WHEN page_id % 5 = 3 THEN '{SEARCH}/Special-Offer/' || page_id ELSE '' END) END AS offer_url FROM pages""",
 )
 def p26(spark, sf_dir):
