@@ -39,12 +39,20 @@ def search_url(day: Column, place: Column, departure: Column, number: Column) ->
     )
 
 
-def shape_events(events: DataFrame, dataset: Column | None = None) -> DataFrame:
+def _named(dataset: str, key: str) -> Column:
+    """Dataset name as a value of the row, as it is in a table partitioned by dataset.
+
+    A constant would be folded out of grouping and join keys.
+    """
+    return F.when(F.col(key).isNotNull(), F.lit(dataset))
+
+
+def shape_events(events: DataFrame) -> DataFrame:
     """Events as observations: users are hotels, values are prices."""
     ts, kind, user = F.col("ts"), F.col("event_type"), F.col("user_id")
     departure = F.when(kind == "error", F.lit("")).otherwise(F.concat(kind, F.lit(",Warszawa-Radom")))
     return events.select(
-        (F.lit("events") if dataset is None else dataset).alias("dataset"),
+        _named("events", "event_id").alias("dataset"),
         F.concat(F.lit("hotel_"), user.cast("string")).alias("hotel_name"),
         F.col("value").alias("price"),
         trip_text(ts).alias("dates"),
@@ -70,14 +78,10 @@ def events_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows replayed as a stream of files.
-
-    The dataset name comes from the row, because a constant grouping key would
-    be folded away and streaming sessions need a real one.
-    """
+    """The same rows replayed as a stream of files."""
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return shape_events(source, F.when(F.col("event_id").isNotNull(), F.lit("events")))
+    return shape_events(source)
 
 
 def lineitem_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +94,7 @@ def lineitem_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     day, part = F.col("l_shipdate"), F.col("l_partkey")
     return joined.select(
-        F.lit("lineitem").alias("dataset"),
+        _named("lineitem", "l_orderkey").alias("dataset"),
         F.concat(F.lit("hotel_"), part.cast("string")).alias("hotel_name"),
         F.col("l_extendedprice").alias("price"),
         trip_text(day).alias("dates"),
@@ -117,7 +121,7 @@ def orders_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     day = F.col("o_orderdate")
     return orders.select(
-        F.lit("orders").alias("dataset"),
+        _named("orders", "o_orderkey").alias("dataset"),
         F.concat(F.lit("hotel_"), F.col("o_custkey").cast("string")).alias("hotel_name"),
         F.col("o_totalprice").alias("price"),
         trip_text(day).alias("dates"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
@@ -62,8 +62,8 @@ def consecutive_changes(
     return as_alerts(consecutive_pairs(obs, max_rows), threshold, created_at, signed=False)
 
 
-def run_pairs(tagged: DataFrame) -> DataFrame:
-    """Items present in a run and in the one right before it.
+def run_series(tagged: DataFrame) -> DataFrame:
+    """Price of every item in every run, with its price in the run right before, if it was there.
 
     One row per item and run is left after the first aggregate, so the window
     sees at most as many rows per item as there are runs.
@@ -71,18 +71,25 @@ def run_pairs(tagged: DataFrame) -> DataFrame:
     series = Window.partitionBy(*KEY).orderBy("run_id")
     paired = run_prices(tagged).select(
         "*",
-        F.lag("price").over(series).alias("old_price"),
+        F.lag("price").over(series).alias("_prev_price"),
         F.lag("run_id").over(series).alias("_prev_run"),
     )
-    return paired.filter(F.col("_prev_run") == F.col("run_id") - 1).select(
+    follows = F.coalesce(F.col("_prev_run") == F.col("run_id") - 1, F.lit(False))
+    return paired.select(
         *KEY,
         "run_id",
-        "old_price",
+        follows.alias("follows"),
+        F.when(follows, F.col("_prev_price")).alias("old_price"),
         F.col("price").alias("new_price"),
         F.col("run_start").alias("changed_at"),
     )
 
 
+def run_pairs(tagged: DataFrame) -> DataFrame:
+    """Items present in a run and in the one right before it."""
+    return run_series(tagged).filter("follows").drop("follows")
+
+
 def run_changes(
     tagged: DataFrame, threshold: float = fv.ALERT_THRESHOLD_PCT, created_at: str | None = None
 ) -> DataFrame:
@@ -104,36 +111,63 @@ def latest_two(obs: DataFrame) -> DataFrame:
     )
 
 
-def window_changes(obs: DataFrame, hours: Sequence[int] = fv.MOVER_HOURS) -> DataFrame:
-    """Change of every item over each trailing window, one row per (item, window).
+def item_profile(
+    obs: DataFrame,
+    hours: Sequence[int] = (),
+    days: Sequence[int] = (),
+    carried: Sequence[str] = (),
+) -> DataFrame:
+    """Everything known of an item in one aggregate, one row per item.
 
-    The baseline is the first row inside the window if it holds two or more
-    rows, else the item's second-to-last row. Without a baseline, with a zero
-    baseline or without any change the item has no row. All windows share one
-    aggregate.
+    Latest row, first price, and for each trailing window its row count and
+    first price (``hours``) or its lowest and highest price (``days``).
+    Windows end at the newest row of the dataset and include their edge.
     """
     order = F.struct(*ORDER)
-    dated = attach(obs.select(*KEY, "price", *ORDER), newest_per_dataset(obs), ["dataset"])
-    measures = [F.max("observed_at").alias("latest_at")]
+    rows = obs.select(*KEY, "price", *ORDER, *carried)
+    dated = attach(rows, newest_per_dataset(obs), ["dataset"])
+    measures = [
+        F.max_by(F.struct("price", *carried), order).alias("_last"),
+        F.min_by("price", order).alias("first_price"),
+        F.max("observed_at").alias("latest_at"),
+    ]
     for h in hours:
         inside = F.col("observed_at") >= F.col("newest") - F.make_dt_interval(hours=F.lit(h))
         measures.append(F.count_if(inside).alias(f"_n_{h}"))
         measures.append(F.min_by("price", F.when(inside, order)).alias(f"_base_{h}"))
-    profile = dated.groupBy(*KEY).agg(*measures).join(latest_two(obs), KEY)
+    for d in days:
+        inside = F.col("observed_at") >= F.col("newest") - F.make_dt_interval(days=F.lit(d))
+        measures.append(F.min(F.when(inside, F.col("price"))).alias(f"_min_{d}"))
+        measures.append(F.max(F.when(inside, F.col("price"))).alias(f"_max_{d}"))
+    profile = dated.groupBy(*KEY).agg(*measures)
+    return profile.select("*", "_last.*").drop("_last")
+
+
+def window_baseline(hours: int) -> Column:
+    """First price inside the window if it holds two or more rows, else the item's previous price."""
+    return F.when(F.col(f"_n_{hours}") >= 2, F.col(f"_base_{hours}")).otherwise(F.col("previous_price"))
+
+
+def extreme_label_list(days: Sequence[int]) -> Column:
+    """Labels of the windows in which the latest price is the lowest or the highest."""
+    labels = []
+    for d in days:
+        labels.append(F.when(F.col("price") <= F.col(f"_min_{d}"), F.lit(fv.NEW_MINIMUM % d)))
+        labels.append(F.when(F.col("price") >= F.col(f"_max_{d}"), F.lit(fv.NEW_MAXIMUM % d)))
+    return F.array_compact(F.array(*labels))
+
+
+def window_changes(obs: DataFrame, hours: Sequence[int] = fv.MOVER_HOURS) -> DataFrame:
+    """Change of every item over each trailing window, one row per (item, window).
+
+    Without a baseline, with a zero baseline or without any change the item
+    has no row. All windows share one aggregate.
+    """
+    profile = item_profile(obs, hours).join(latest_two(obs), KEY)
     windows = F.array(
-        *[
-            F.struct(
-                F.lit(h).alias("window_hours"),
-                F.when(F.col(f"_n_{h}") >= 2, F.col(f"_base_{h}"))
-                .otherwise(F.col("previous_price"))
-                .alias("old_price"),
-            )
-            for h in hours
-        ]
-    )
-    rows = profile.select(
-        *KEY, "latest_at", F.col("last_price").alias("new_price"), F.inline(windows)
+        *[F.struct(F.lit(h).alias("window_hours"), window_baseline(h).alias("old_price")) for h in hours]
     )
+    rows = profile.select(*KEY, "latest_at", F.col("price").alias("new_price"), F.inline(windows))
     new, old = F.col("new_price"), F.col("old_price")
     return rows.filter((old != 0) & (new != old)).select(
         *KEY,
@@ -157,21 +191,7 @@ def movers(obs: DataFrame, hours: Sequence[int] = fv.MOVER_HOURS, n: int = 5) ->
 
 def extreme_labels(obs: DataFrame, days: Sequence[int] = fv.EXTREME_DAYS) -> DataFrame:
     """Labels of items whose latest price is the lowest or highest of a trailing window."""
-    dated = attach(obs.select(*KEY, "price", *ORDER), newest_per_dataset(obs), ["dataset"])
-    measures = [F.max_by("price", F.struct(*ORDER)).alias("price")]
-    for d in days:
-        inside = F.col("observed_at") >= F.col("newest") - F.make_dt_interval(days=F.lit(d))
-        measures.append(F.min(F.when(inside, F.col("price"))).alias(f"_min_{d}"))
-        measures.append(F.max(F.when(inside, F.col("price"))).alias(f"_max_{d}"))
-    labels = []
-    for d in days:
-        labels.append(F.when(F.col("price") <= F.col(f"_min_{d}"), F.lit(fv.NEW_MINIMUM % d)))
-        labels.append(F.when(F.col("price") >= F.col(f"_max_{d}"), F.lit(fv.NEW_MAXIMUM % d)))
-    return (
-        dated.groupBy(*KEY)
-        .agg(*measures)
-        .select(*KEY, "price", F.array_compact(F.array(*labels)).alias("labels"))
-    )
+    return item_profile(obs, days=days).select(*KEY, "price", extreme_label_list(days).alias("labels"))
 
 
 def snapshot_changes(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faretide.functions.money import (
@@ -20,15 +20,19 @@ from faretide.plans.shape import attach
 from faretide.schema import KEY, ORDER
 
 
-def kpis(obs: DataFrame) -> DataFrame:
-    """Rows, distinct items, mean, minimum and maximum price of every dataset."""
-    return obs.groupBy("dataset").agg(
+def _totals() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("offers"),
         F.count_distinct("hotel_name").alias("hotels"),
         money_mean(F.col("price")).alias("mean_price"),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
-    )
+    ]
+
+
+def kpis(obs: DataFrame) -> DataFrame:
+    """Rows, distinct items, mean, minimum and maximum price of every dataset."""
+    return obs.groupBy("dataset").agg(*_totals())
 
 
 def approx_kpis(obs: DataFrame, rsd: float = 0.01) -> DataFrame:
@@ -44,13 +48,14 @@ def approx_kpis(obs: DataFrame, rsd: float = 0.01) -> DataFrame:
 
 def describe_prices(obs: DataFrame) -> DataFrame:
     """``kpis`` plus median, sample deviation and the first and last time."""
-    spread = obs.groupBy("dataset").agg(
+    totals = obs.groupBy("dataset").agg(
+        *_totals(),
         F.stddev_samp("price").alias("std_price"),
         F.min("observed_at").alias("first_seen"),
         F.max("observed_at").alias("last_seen"),
     )
     median = exact_quantiles(obs, ["dataset"], "price", {"median_price": 0.5})
-    return kpis(obs).join(median, "dataset", "left").join(spread, "dataset", "left")
+    return totals.join(median, "dataset", "left")
 
 
 def daily_stats(obs: DataFrame, tz: str = "UTC") -> DataFrame:

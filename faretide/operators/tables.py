@@ -2,42 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
-from faretide.functions.money import delta_label, whole
+from faretide.functions.money import delta_label, pct_change, whole
 from faretide.functions.text import fill_default, first_filled, slugify
 from faretide.functions.urls import airport_or_base
 from faretide.operators.airports import alternatives_for_items
-from faretide.operators.changes import extreme_labels, window_changes
+from faretide.operators.changes import (
+    extreme_label_list,
+    item_profile,
+    latest_two,
+    window_baseline,
+)
 from faretide.operators.filters import by_change_class, in_price_band, search_names
 from faretide.operators.ranking import page, sort_by
-from faretide.operators.stats import latest, since_start
 from faretide.schema import KEY
 
 _CARRIED = ["dates", "duration", "departure_airport", "offer_url"]
 
 
-def item_table(obs: DataFrame, alternatives: DataFrame | None = None, hours: int = 48) -> DataFrame:
+def item_table(
+    obs: DataFrame,
+    alternatives: DataFrame | None = None,
+    hours: int = 48,
+    days: Sequence[int] = fv.EXTREME_DAYS,
+) -> DataFrame:
     """One row per item: latest offer, recent and overall change, extremes, alternatives.
 
-    Every part is one row per item and hashed by the item key, so the joins
-    move no further data.
+    One aggregate yields all but the second-to-last price, and both sides of
+    the join are hashed by the item key already.
     """
-    recent = window_changes(obs, [hours]).select(
-        *KEY, F.col("price_change").alias("delta"), F.col("price_change_pct").alias("delta_pct")
+    carried = [c for c in _CARRIED if c in obs.columns]
+    profile = item_profile(obs, [hours], days, carried).join(
+        latest_two(obs).select(*KEY, "previous_price"), KEY
     )
-    overall = since_start(obs).select(
+    price, base, first = F.col("price"), window_baseline(hours), F.col("first_price")
+    moved = (base != 0) & (base != price)
+    table = profile.select(
         *KEY,
-        F.col("price_change").alias("since_start"),
-        F.col("price_change_pct").alias("since_start_pct"),
-    )
-    newest = latest(obs).select(*KEY, "price", *[c for c in _CARRIED if c in obs.columns], "observed_at")
-    table = (
-        newest.join(recent, KEY, "left")
-        .join(overall, KEY, "left")
-        .join(extreme_labels(obs).select(*KEY, "labels"), KEY, "left")
+        "price",
+        *carried,
+        F.col("latest_at").alias("observed_at"),
+        F.when(moved, price - base).alias("delta"),
+        F.when(moved, pct_change(price, base, on_zero=None)).alias("delta_pct"),
+        F.when(first != 0, price - first).alias("since_start"),
+        pct_change(price, first, on_zero=None).alias("since_start_pct"),
+        extreme_label_list(days).alias("labels"),
     )
     return table if alternatives is None else alternatives_for_items(table, alternatives)
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
-from faretide.functions.money import arrow, money_mean, pct_change
+from faretide.functions.money import arrow, hundredths, mean_of_sums, pct_change
 from faretide.functions.timestamps import minute_text
-from faretide.operators.changes import run_pairs
+from faretide.operators.changes import run_series
 from faretide.operators.stats import latest
 from faretide.plans.runs import run_prices
 from faretide.plans.shape import pin
@@ -64,16 +64,22 @@ def topn_index(
     tagged: DataFrame, n: int = fv.TOP_N, ties: str = "strict", correct_last: bool = False
 ) -> DataFrame:
     """Mean price of the top n per run and its change against the run before; 0 for the first."""
-    strict = top_members(tagged, n, "strict", correct_last)
-    runs = strict.groupBy(*_RUN).agg(
+    return index_of(top_members(tagged, n, ties, correct_last), n)
+
+
+def index_of(members: DataFrame, n: int = fv.TOP_N) -> DataFrame:
+    """``topn_index`` from the members of each run.
+
+    Members that share the last position may be more than n; the mean is over
+    the n lowest prices, and those beyond all have the highest price.
+    """
+    spare = F.greatest(F.count(F.lit(1)) - n, F.lit(0))
+    total = F.sum(hundredths(F.col("price"))) - spare * hundredths(F.max("price"))
+    runs = members.groupBy(*_RUN).agg(
         F.min("run_start").alias("run_start"),
-        money_mean(F.col("price")).alias("avg_price"),
+        mean_of_sums(total, F.count(F.lit(1)) - spare).alias("avg_price"),
         F.count(F.lit(1)).alias("members"),
     )
-    if ties == "shared":
-        shared = top_members(tagged, n, "shared", correct_last)
-        members = shared.groupBy(*_RUN).agg(F.count(F.lit(1)).alias("members"))
-        runs = runs.drop("members").join(members, _RUN)
     # One row per run.
     before = F.lag("avg_price").over(Window.partitionBy("dataset").orderBy("run_id"))
     return (
@@ -91,9 +97,12 @@ def topn_diff(
     tagged: DataFrame, n: int = fv.TOP_N, ties: str = "strict", correct_last: bool = False
 ) -> DataFrame:
     """Items that entered or left the top n, or changed price in it, from run to run."""
-    members = top_members(tagged, n, ties, correct_last).select(
-        "dataset", "run_id", "hotel_name", "price", "position"
-    )
+    return diff_of(top_members(tagged, n, ties, correct_last))
+
+
+def diff_of(members: DataFrame) -> DataFrame:
+    """``topn_diff`` from the members of each run."""
+    members = members.select("dataset", "run_id", "hotel_name", "price", "position")
     # At most n rows (plus ties) are left of each run, so this window is over a small table.
     newest = F.max("run_id").over(Window.partitionBy("dataset"))
     members = members.withColumn("_newest", newest)
@@ -155,8 +164,8 @@ def hover_records(
     tagged: DataFrame, n: int = fv.TOP_N, correct_last: bool = False, tz: str = "UTC"
 ) -> DataFrame:
     """Per run: title, mean, its change, the change lists and whether nothing changed."""
-    index = topn_index(tagged, n, "strict", correct_last)
-    lists = change_lists(topn_diff(tagged, n, "strict", correct_last))
+    members = pin(top_members(tagged, n, "strict", correct_last))
+    index, lists = index_of(members, n), change_lists(diff_of(members))
     named = ("price_changes", "new_hotels", "removed_hotels")
     joined = index.join(lists, _RUN, "left")
     empty = [F.coalesce(F.size(c), F.lit(0)) <= 0 for c in named]
@@ -177,11 +186,12 @@ def hover_records(
 
 def trend_index(tagged: DataFrame) -> DataFrame:
     """Mean percentage change of items also seen, at a positive price, in the run before."""
-    pairs = run_pairs(tagged).filter(F.col("old_price") > 0)
-    moves = pairs.groupBy(*_RUN).agg(
+    compared = F.col("follows") & (F.col("old_price") > 0)
+    change = pct_change(F.col("new_price"), F.col("old_price"))
+    runs = run_series(tagged).groupBy(*_RUN).agg(
         F.min("changed_at").alias("run_start"),
-        F.avg(pct_change(F.col("new_price"), F.col("old_price"))).alias("avg_change_pct"),
-        F.count(F.lit(1)).alias("compared_items"),
+        F.avg(F.when(compared, change)).alias("avg_change_pct"),
+        F.count_if(compared).alias("compared_items"),
+        F.count(F.lit(1)).alias("items"),
     )
-    sizes = tagged.groupBy(*_RUN).agg(F.count_distinct("hotel_name").alias("items"))
-    return moves.join(sizes, _RUN)
+    return runs.filter(F.col("compared_items") > 0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faretide.plans.shape import attach, heavy_keys, is_small, running_total
+from faretide.plans.shape import attach, pin, running_total
 
 # Distinct values of one group that one task may hold in memory.
 GROUP_VALUES = 1_000_000
@@ -30,15 +30,17 @@ def exact_quantiles(
     """One column per name in ``probabilities``, linearly interpolated, exact.
 
     Groups with few distinct values use the built-in percentile over value
-    counts. Groups beyond ``max_values`` distinct values are ranked with a
-    running total over range blocks instead of being held in one task.
+    counts. Groups beyond about ``max_values`` distinct values are ranked with
+    a running total over range blocks instead of being held in one task. A
+    sketch tells the two apart; the result is exact either way.
     """
     counts = value_counts(df, keys, value)
-    heavy = heavy_keys(counts, keys, max_values).select(*keys)
-    if is_small(heavy, 0):
+    sketched = df.groupBy(*keys).agg(F.approx_count_distinct(value).alias("_values"))
+    heavy = pin(sketched.filter(F.col("_values") > max_values).select(*keys))
+    if heavy.isEmpty():
         return _built_in(counts, keys, value, probabilities)
-    light = attach(counts, heavy, keys, "left_anti")
-    large = attach(counts, heavy, keys, "left_semi")
+    light = counts.join(heavy, list(keys), "left_anti")
+    large = counts.join(heavy, list(keys), "left_semi")
     return _built_in(light, keys, value, probabilities).unionByName(
         _ranked(large, keys, value, probabilities, max_values)
     )

@@ -14,7 +14,6 @@ from faretide.functions.timestamps import iso_text
 from faretide.functions.urls import duration_range, price_limit, trip_window, url_filters
 from faretide.operators.ranking import top_offers
 from faretide.plans.quantiles import exact_quantiles
-from faretide.plans.shape import attach
 
 SEARCH_DEFINITION = T.StructType(
     [
@@ -90,7 +89,7 @@ def summary_document(obs: DataFrame, n: int = 5, analysis_date: str | None = Non
             ).alias("top_cheap_offers")
         )
     )
-    joined = attach(attach(totals, median, ["dataset"]), cheapest, ["dataset"])
+    joined = totals.join(median, "dataset", "left").join(cheapest, "dataset", "left")
     return joined.select(
         "dataset",
         F.lit(analysis_date).cast("string").alias("analysis_date"),
