@@ -37,18 +37,19 @@ def cheaper_alternatives(base: DataFrame, other: DataFrame, keys: Sequence[str]
     """Items whose lowest price in ``other`` beats their lowest price in ``base``."""
     keys = list(keys)
     lowest = base.groupBy(*keys).agg(F.min("price").alias("base_price"))
-    best = _best(other, keys)
     taken = {
         "departure_airport": "best_departure_airport",
         "offer_url": "best_offer_url",
         "dates": "best_dates",
         "duration": "best_duration",
     }
+    taken = {c: name for c, name in taken.items() if c in other.columns}
+    best = _best(other.select(*keys, "price", "seq", *taken), keys)
     joined = lowest.join(
         best.select(
             *keys,
             F.col("price").alias("best_other_price"),
-            *[F.col(c).alias(name) for c, name in taken.items() if c in best.columns],
+            *[F.col(c).alias(name) for c, name in taken.items()],
         ),
         keys,
     ).filter(F.col("best_other_price") < F.col("base_price"))
@@ -138,7 +139,9 @@ def cheaper_same_trip(
     item adds no more rows than it has airports.
     """
     trip = ["dataset", "hotel_norm", "dates_norm"]
-    alternatives = cheapest_per_airport(obs).select(
+    used = ["dataset", "hotel_name", "dates", "price", "seq", "offer_url", "url"]
+    used += [c for c in ("from_airport",) if c in obs.columns]
+    alternatives = cheapest_per_airport(obs.select(*used)).select(
         *trip,
         "airport",
         F.col("price").alias("alt_price"),

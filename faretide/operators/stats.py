@@ -15,7 +15,7 @@ from faretide.functions.money import (
 )
 from faretide.functions.timestamps import obs_day
 from faretide.operators.ranking import first_by, last_by, rank_per, top_offers
-from faretide.plans.quantiles import exact_quantiles, value_counts
+from faretide.plans.quantiles import exact_quantiles
 from faretide.plans.shape import attach
 from faretide.schema import KEY, ORDER
 
@@ -76,13 +76,13 @@ def daily_distribution(obs: DataFrame, tz: str = "UTC") -> DataFrame:
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col("price") >= F.col("q1") - reach) & (F.col("price") <= F.col("q3") + reach)
     return (
-        attach(value_counts(dated, keys, "price"), boxes, keys)
+        attach(dated.filter(F.col("price").isNotNull()), boxes, keys)
         .groupBy(*keys, "q1", "median_price", "q3")
         .agg(
             F.min(F.when(inside, F.col("price"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("price"))).alias("whisker_high"),
-            F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers"),
-            F.sum("_n").alias("offers"),
+            F.count_if(~inside).alias("outliers"),
+            F.count(F.lit(1)).alias("offers"),
         )
     )
 

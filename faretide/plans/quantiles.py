@@ -1,23 +1,23 @@
-"""Exact interpolated quantiles whose state is bounded per task."""
+"""Exact interpolated quantiles whose state is bounded per task.
+
+Small groups use the built-in percentile. For a large group, holding or
+shuffling all its values would put them into one task, so the wanted ranks are
+found by narrowing: a histogram with a fixed number of buckets tells which
+buckets hold them, and only the values of those buckets are ranked.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faretide.plans.shape import attach, pin, running_total
-
-# Distinct values of one group that one task may hold in memory.
-GROUP_VALUES = 1_000_000
+from faretide.plans.shape import SERIES_ROWS, attach, pin, running_total
 
-
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows per distinct value: a hot group collapses on the map side before any shuffle."""
-    return (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    )
+# Rows of one group whose values one task may hold in memory.
+GROUP_ROWS = 100_000
+BUCKETS = 4096
 
 
 def exact_quantiles(
@@ -25,54 +25,73 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probabilities: dict[str, float],
-    max_values: int = GROUP_VALUES,
+    max_rows: int = GROUP_ROWS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """One column per name in ``probabilities``, linearly interpolated, exact.
-
-    Groups with few distinct values use the built-in percentile over value
-    counts. Groups beyond about ``max_values`` distinct values are ranked with
-    a running total over range blocks instead of being held in one task. A
-    sketch tells the two apart; the result is exact either way.
-    """
-    counts = value_counts(df, keys, value)
-    sketched = df.groupBy(*keys).agg(F.approx_count_distinct(value).alias("_values"))
-    heavy = pin(sketched.filter(F.col("_values") > max_values).select(*keys))
-    if heavy.isEmpty():
-        return _built_in(counts, keys, value, probabilities)
-    light = counts.join(heavy, list(keys), "left_anti")
-    large = counts.join(heavy, list(keys), "left_semi")
-    return _built_in(light, keys, value, probabilities).unionByName(
-        _ranked(large, keys, value, probabilities, max_values)
+    """One column per name in ``probabilities``, linearly interpolated, exact."""
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    edges = pin(
+        rows.groupBy(*keys).agg(
+            F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("_v").alias("_total")
+        )
     )
+    large = pin(edges.filter(F.col("_total") > max_rows))
+    if large.isEmpty():
+        return _built_in(rows, keys, probabilities)
+    small_groups = rows.join(large.select(*keys), keys, "left_anti")
+    narrowed = _narrowed(rows.join(large, keys), keys, probabilities, buckets)
+    return _built_in(small_groups, keys, probabilities).unionByName(narrowed)
 
 
-def _built_in(counts, keys, value, probabilities) -> DataFrame:
+def _built_in(rows: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
     levels = F.array(*[F.lit(float(p)) for p in probabilities.values()])
-    found = counts.groupBy(*keys).agg(F.percentile(value, levels, F.col("_n")).alias("_q"))
+    found = rows.groupBy(*keys).agg(F.percentile("_v", levels).alias("_q"))
     return found.select(
         *keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probabilities)]
     )
 
 
-def _ranked(counts, keys, value, probabilities, max_values) -> DataFrame:
-    upto = running_total(counts, "_n", keys, [value], "_upto", max_values)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = attach(upto, totals, keys)
+def _ranks(p: float) -> tuple[Column, Column]:
+    """Zero-based position of a quantile: the rank below and the fraction above it."""
+    position = (F.col("_total") - 1) * float(p)
+    return F.floor(position), position - F.floor(position)
+
+
+def _narrowed(rows: DataFrame, keys: list[str], probabilities: dict[str, float], buckets: int) -> DataFrame:
+    share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    bucket = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(share * buckets), F.lit(buckets - 1)))
+    placed = rows.withColumn("_bucket", F.coalesce(bucket, F.lit(0)).cast("int"))
+    histogram = placed.groupBy(*keys, "_bucket", "_total").agg(F.count(F.lit(1)).alias("_n"))
+    # At most ``buckets`` rows per group.
+    upto = F.sum("_n").over(
+        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ranged = histogram.withColumn("_before", upto - F.col("_n")).withColumn("_upto", upto)
+    wanted = F.lit(False)
+    for p in probabilities.values():
+        below, fraction = _ranks(p)
+        for rank in (below, below + F.ceil(fraction)):
+            wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_upto")))
+    targets = ranged.filter(wanted).select(*keys, "_bucket", "_before")
+    kept = attach(placed, targets, [*keys, "_bucket"], "inner")
+    counts = kept.groupBy(*keys, "_bucket", "_before", "_total", "_v").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    ranked = running_total(counts, "_n", [*keys, "_bucket"], ["_v"], "_inside", SERIES_ROWS)
+    reached = F.col("_before") + F.col("_inside")
     found = []
     for name, p in probabilities.items():
-        position = (F.col("_total") - 1) * float(p)
-        below = F.floor(position)
-        # Lowest value whose rank range reaches the position, and the one after it.
-        found.append(F.min(F.when(F.col("_upto") > below, F.col(value))).alias(f"_lo_{name}"))
-        found.append(F.min(F.when(F.col("_upto") > F.ceil(position), F.col(value))).alias(f"_hi_{name}"))
-        found.append(F.first(position - below).alias(f"_frac_{name}"))
+        below, fraction = _ranks(p)
+        found.append(F.min(F.when(reached > below, F.col("_v"))).alias(f"_lo_{name}"))
+        found.append(F.min(F.when(reached > below + F.ceil(fraction), F.col("_v"))).alias(f"_hi_{name}"))
+        found.append(F.first(fraction).alias(f"_frac_{name}"))
     picked = ranked.groupBy(*keys).agg(*found)
     return picked.select(
         *keys,
         *[
             (
-                F.col(f"_lo_{n}")
-                + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_frac_{n}")
+                F.col(f"_lo_{n}") * (1 - F.col(f"_frac_{n}")) + F.col(f"_hi_{n}") * F.col(f"_frac_{n}")
             ).alias(n)
             for n in probabilities
         ],

@@ -25,15 +25,15 @@ MISSING = """, missing AS (SELECT hotel_name, min(price) AS price, arg_min(seq,
 @query("j01_missing_in_base", _L + MISSING.format(cap=1500) + " SELECT * FROM missing")
 def j01(spark, sf_dir):
     base, everything = base_and_any(spark, sf_dir)
-    found = airports.missing_in_base(base, everything, 1500.0)
-    return found.select("hotel_name", "price", "seq", "departure_airport")
+    offers = everything.select("hotel_name", "price", "seq", "departure_airport")
+    return airports.missing_in_base(base, offers, 1500.0)
 
 
 @query("j01_missing_no_cap", _L + MISSING.format(cap="1e300") + " SELECT * FROM missing")
 def j01b(spark, sf_dir):
     base, everything = base_and_any(spark, sf_dir)
-    found = airports.missing_in_base(base, everything, None)
-    return found.select("hotel_name", "price", "seq", "departure_airport")
+    offers = everything.select("hotel_name", "price", "seq", "departure_airport")
+    return airports.missing_in_base(base, offers, None)
 
 
 @query("j02_cheaper_alternatives", _L + CHEAPER + " SELECT * FROM cheaper")
@@ -52,7 +52,8 @@ def j02(spark, sf_dir):
 )
 def j06(spark, sf_dir):
     base, everything = base_and_any(spark, sf_dir)
-    items = latest(base).select("hotel_name", "price")
+    items = latest(base.select("dataset", "hotel_name", "price", "observed_at", "seq"))
+    items = items.select("hotel_name", "price")
     return airports.alternatives_for_items(items, airports.cheaper_alternatives(base, everything))
 
 
@@ -64,7 +65,8 @@ _TRIPS = f"""WITH {q.EVENTS}, t AS (SELECT *, CASE WHEN departure_airport = 'err
 
 @query("a08_cheapest_per_airport", _TRIPS + " SELECT hotel_name, dates_norm, airport, price, seq FROM per_airport")
 def a08(spark, sf_dir):
-    per = airports.cheapest_per_airport(events_obs(spark, sf_dir))
+    offers = events_obs(spark, sf_dir).select("dataset", "hotel_name", "dates", "price", "seq", "url")
+    per = airports.cheapest_per_airport(offers)
     return per.select("hotel_name", "dates_norm", "airport", "price", "seq")
 
 
@@ -77,7 +79,10 @@ _SAME = """, asked AS (SELECT hotel_name, arg_max(dates_norm, (observed_at, seq)
 
 
 def _asked(spark, sf_dir):
-    return latest(events_obs(spark, sf_dir)).withColumn("current_airport", F.col("departure_airport"))
+    offers = events_obs(spark, sf_dir).select(
+        "dataset", "hotel_name", "dates", "price", "observed_at", "seq", "departure_airport"
+    )
+    return latest(offers).withColumn("current_airport", F.col("departure_airport"))
 
 
 @query("j07_cheaper_same_trip", _TRIPS + _SAME + " SELECT * FROM same")

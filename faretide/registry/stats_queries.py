@@ -95,9 +95,10 @@ def a06(spark, sf_dir):
         arg_min(departure_airport, (price, seq)) AS departure_airport, arg_min(dates, (price, seq)) AS dates FROM line_obs GROUP BY 1""",
 )
 def a07(spark, sf_dir):
-    return stats.cheapest(lineitem_obs(spark, sf_dir)).select(
-        "hotel_name", "price", "seq", "departure_airport", "dates"
+    offers = lineitem_obs(spark, sf_dir).select(
+        "dataset", "hotel_name", "price", "seq", "departure_airport", "dates"
     )
+    return stats.cheapest(offers).drop("dataset")
 
 
 @query(
@@ -126,9 +127,10 @@ def a09b(spark, sf_dir):
         arg_max(seq, (observed_at, seq)) AS seq, arg_max(departure_airport, (observed_at, seq)) AS departure_airport FROM obs GROUP BY 1""",
 )
 def a10(spark, sf_dir):
-    return stats.latest(events_obs(spark, sf_dir)).select(
-        "hotel_name", "price", "observed_at", "seq", "departure_airport"
+    offers = events_obs(spark, sf_dir).select(
+        "dataset", "hotel_name", "price", "observed_at", "seq", "departure_airport"
     )
+    return stats.latest(offers).drop("dataset")
 
 
 @query(

@@ -72,10 +72,10 @@ def test_series_parts_join_up(skewed):
     assert len(parts) > len(whole) and max(len(r["y"]) for r in parts) < 120
 
 
-@pytest.mark.parametrize("max_values", [1_000_000, 5])
-def test_quantiles_are_exact(skewed, max_values):
-    levels = {"q1": 0.25, "q2": 0.5, "q9": 0.9}
-    got = quantiles.exact_quantiles(skewed, ["hotel_name"], "price", levels, max_values)
+@pytest.mark.parametrize("max_rows, buckets", [(1_000_000, 8), (100, 8), (1, 4096), (1, 1), (1, 2)])
+def test_quantiles_are_exact(skewed, max_rows, buckets):
+    levels = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q9": 0.9, "q10": 1.0}
+    got = quantiles.exact_quantiles(skewed, ["hotel_name"], "price", levels, max_rows, buckets)
     want = skewed.groupBy("hotel_name").agg(
         *[F.percentile("price", p).alias(n) for n, p in levels.items()]
     )
