@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
-from faretide.functions.text import clean_text, first_filled, preferred_price_text
+from faretide.functions.text import clean_text, first_match, preferred_price_text
 from faretide.functions.urls import absolute_url
 
 _TAG = r"(?s)<[^>]*>"
@@ -23,39 +23,43 @@ def strip_tags(col: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Text of a document without scripts, styles and comments."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    return strip_tags(bare)
+    hidden = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+    return strip_tags(F.regexp_replace(html, hidden, " "))
+
+
+def _element(name: str, attributes: str = "") -> str:
+    """Pattern of a non-blank element; group 1 is the tag, group 2 what it holds."""
+    return rf"(?is)<({name})\b[^>]*{attributes}[^>]*>((?:\s|<(?!/\1)[^>]*>)*[^<\s].*?)</\1\s*>"
+
+
+def _classed(class_name: str) -> str:
+    return _element(r"\w+", rf'class="[^"]*{class_name}[^"]*"')
 
 
 def heading_from_markup(html: Column) -> Column:
     """Text of the highest-level heading, else of the first name-like element; null if none."""
-    levels = [F.regexp_extract(html, rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}\s*>", 1) for n in range(1, 7)]
-    named = [
-        F.regexp_extract(html, rf'(?is)<(\w+)[^>]*class="[^"]*{c}[^"]*"[^>]*>(.*?)</\1\s*>', 2)
-        for c in fv.NAME_CLASSES
-    ]
-    return first_filled(*[strip_tags(c) for c in levels + named])
+    patterns = [_element(f"h{n}") for n in range(1, 7)] + [_classed(c) for c in fv.NAME_CLASSES]
+    return strip_tags(F.coalesce(*[first_match(html, p, 2) for p in patterns]))
 
 
 def price_text_from_markup(html: Column) -> Column:
     """Text of the price element, the whole-party price first; null if none."""
 
     def texts(class_name: str) -> Column:
-        pattern = rf'(?is)<(\w+)[^>]*class="[^"]*{class_name}[^"]*"[^>]*>(.*?)</\1\s*>'
-        return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), strip_tags)
+        found = F.regexp_extract_all(html, F.lit(_classed(class_name)), F.lit(2))
+        return F.transform(found, strip_tags)
 
     return F.coalesce(*[preferred_price_text(texts(c)) for c in fv.PRICE_CLASSES])
 
 
 def image_from_markup(html: Column) -> Column:
     """First image address: an ``<img>`` attribute, else a CSS ``url(...)``; http only, else empty."""
-    image = F.regexp_extract(html, r"(?is)<img\b[^>]*>", 0)
+    image = F.regexp_substr(html, F.lit(r"(?is)<img\b[^>]*>"))
     attributes = [
-        F.regexp_extract(image, rf'(?i)\s{name}\s*=\s*["\'](http[^"\']*)["\']', 1)
-        for name in fv.IMAGE_ATTRIBUTES
+        first_match(image, rf'(?i)\s{name}\s*=\s*["\'](http[^"\']*)["\']') for name in fv.IMAGE_ATTRIBUTES
     ]
-    background = F.regexp_extract(html, r"url\(\s*[\"']?(http[^)\"']+)", 1)
-    return F.coalesce(first_filled(*attributes, background), F.lit(""))
+    background = first_match(html, r"url\(\s*[\"']?(http[^)\"']+)")
+    return F.trim(F.coalesce(*attributes, background, F.lit("")))
 
 
 def links_from_markup(html: Column) -> Column:
@@ -67,8 +71,9 @@ def _href(anchor: Column) -> Column:
     return F.trim(F.regexp_extract(anchor, r'(?is)\bhref\s*=\s*["\']([^"\']*)["\']', 1))
 
 
-def _matches(pattern: str):
-    return lambda anchor: anchor.rlike(pattern)
+def _with_class(name: str):
+    pattern = rf'class\s*=\s*["\'][^"\']*\b{name}\b'
+    return lambda a: a["tag"].rlike(pattern)
 
 
 def offer_link_from_markup(html: Column, base: str) -> Column:
@@ -77,17 +82,21 @@ def offer_link_from_markup(html: Column, base: str) -> Column:
     A card that is itself a link comes first, then the two known link classes,
     the offer path, and last any link that mentions an offer.
     """
-    anchors = links_from_markup(html)
-
-    def first_link(condition) -> Column:
-        hrefs = F.transform(F.filter(anchors, condition), _href)
-        return F.get(F.filter(hrefs, lambda h: h != ""), F.lit(0))
-
-    own = F.when(html.rlike(r"(?is)^\s*<a\b"), _href(F.regexp_extract(html, r"(?is)^\s*<a\b[^>]*>", 0)))
-    tries = [F.nullif(own, F.lit(""))]
-    for name in fv.LINK_CLASSES:
-        with_class = rf'class\s*=\s*["\'][^"\']*\b{name}\b'
-        tries.append(first_link(_matches(with_class)))
-    tries.append(first_link(lambda a: F.contains(_href(a), F.lit(fv.OFFER_PATH))))
-    tries.append(first_link(lambda a: F.contains(F.lower(_href(a)), F.lit("offer"))))
-    return absolute_url(F.coalesce(*tries, F.lit("")), base)
+    own = _href(F.regexp_substr(html, F.lit(r"(?is)^\s*<a\b[^>]*>")))
+
+    def choose(links: Column) -> Column:
+        def first_link(condition) -> Column:
+            return F.get(F.filter(links, condition), F.lit(0))["href"]
+
+        tries = [first_link(_with_class(name)) for name in fv.LINK_CLASSES]
+        tries.append(first_link(lambda a: F.contains(a["href"], F.lit(fv.OFFER_PATH))))
+        tries.append(first_link(lambda a: F.contains(F.lower(a["href"]), F.lit("offer"))))
+        return F.coalesce(*tries)
+
+    links = F.filter(
+        F.transform(links_from_markup(html), lambda a: F.struct(a.alias("tag"), _href(a).alias("href"))),
+        lambda a: a["href"] != "",
+    )
+    # The one-element array names the parsed links, so that they are parsed once.
+    chosen = F.get(F.transform(F.array(links), choose), F.lit(0))
+    return absolute_url(F.coalesce(F.nullif(own, F.lit("")), chosen, F.lit("")), base)

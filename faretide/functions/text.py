@@ -22,6 +22,11 @@ def _or_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
+def first_match(col: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match, null without one. The column is scanned once."""
+    return F.get(F.regexp_extract_all(col, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def clean_text(col: Column) -> Column:
     """Collapse runs of white space to one blank and trim."""
     return F.trim(F.regexp_replace(col, _BLANKS, " "))
@@ -68,8 +73,13 @@ def preferred_price_text(texts: Column) -> Column:
     """
     marker = "|".join(fv.WHOLE_PARTY_MARKERS)
     with_number = F.filter(texts, lambda t: t.rlike("[0-9]"))
-    party = F.filter(with_number, lambda t: F.lower(t).rlike(marker))
-    return F.trim(F.coalesce(F.get(party, F.lit(0)), F.get(with_number, F.lit(0))))
+
+    def choose(found: Column) -> Column:
+        party = F.filter(found, lambda t: F.lower(t).rlike(marker))
+        return F.coalesce(F.get(party, F.lit(0)), F.get(found, F.lit(0)))
+
+    # The one-element array names the filtered texts, so that they are built once.
+    return F.trim(F.get(F.transform(F.array(with_number), choose), F.lit(0)))
 
 
 def is_date_text(col: Column) -> Column:
@@ -85,22 +95,17 @@ def is_duration_text(col: Column) -> Column:
 
 def dates_from_text(col: Column) -> Column:
     """First date range by pattern priority, else empty."""
-    tries = [_or_null(F.regexp_extract(col, p, 0)) for p in fv.DATE_RANGE_PATTERNS]
+    tries = [F.regexp_substr(col, F.lit(p)) for p in fv.DATE_RANGE_PATTERNS]
     return F.coalesce(*tries, F.lit(""))
 
 
 def duration_from_text(col: Column) -> Column:
     """``7 nights`` style text; a bare ``14d`` becomes ``14 dni``; none -> empty."""
     named = rf"(?i)(\d+)\s*({'|'.join(fv.DURATION_UNITS)})"
-    tries = [
-        F.when(
-            col.rlike(named),
-            F.concat_ws(" ", F.regexp_extract(col, named, 1), F.regexp_extract(col, named, 2)),
-        )
-    ]
+    tries = [F.regexp_replace(F.regexp_substr(col, F.lit(named)), r"^(\d+)\s*", "$1 ")]
     for letter in "dn":
-        count = _or_null(F.regexp_extract(col, rf"(?i)(\d+)\s*{letter}", 1))
-        tries.append(F.concat(count, F.lit(" " + fv.DURATION_DEFAULT_UNIT)))
+        short = F.regexp_substr(col, F.lit(rf"(?i)\d+\s*{letter}"))
+        tries.append(F.concat(F.regexp_extract(short, r"\d+", 0), F.lit(" " + fv.DURATION_DEFAULT_UNIT)))
     return F.coalesce(*tries, F.lit(""))
 
 

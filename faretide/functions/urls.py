@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
-from faretide.functions.text import first_filled
+from faretide.functions.text import first_filled, first_match
 
 _QUERY = r"\?([^#]*)"
 _FROM = "filter[from]"
@@ -38,8 +38,7 @@ def url_filters(col: Column) -> Column:
 def url_parameter(col: Column, name: str) -> Column:
     """One decoded query parameter, null when absent, without building the whole map."""
     escaped = "".join("\\" + c if c in "[]().*+?^$|{}\\" else c for c in name)
-    pattern = rf"[?&]{escaped}=([^&#]*)"
-    return F.when(col.rlike(pattern), _decoded(F.regexp_extract(col, pattern, 1)))
+    return _decoded(first_match(col, rf"[?&]{escaped}=([^&#]*)"))
 
 
 def airport_from_url(col: Column) -> Column:
@@ -95,9 +94,9 @@ def duration_range(col: Column) -> Column:
 
 def destination_slug(col: Column) -> Column:
     """Destination segment of a search URL, else of an offer URL, else empty."""
-    search = F.regexp_extract(col, fv.DESTINATION_PATH + r"([^/?#]+)/?", 1)
-    offer = F.regexp_extract(col, fv.OFFER_PATH + r"([^,/?#]+),", 1)
-    return F.lower(F.coalesce(F.nullif(search, F.lit("")), F.nullif(offer, F.lit("")), F.lit("")))
+    search = first_match(col, fv.DESTINATION_PATH + r"([^/?#]+)/?")
+    offer = first_match(col, fv.OFFER_PATH + r"([^,/?#]+),")
+    return F.lower(F.coalesce(search, offer, F.lit("")))
 
 
 def absolute_url(col: Column, base: str) -> Column:

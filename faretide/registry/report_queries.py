@@ -68,9 +68,9 @@ def r02(spark, sf_dir):
     "r03_alert_summary",
     RUN_ALERTS + f""", top AS (SELECT *, CASE WHEN price_change < 0 THEN 'drop' ELSE 'increase' END AS section, row_number() OVER (PARTITION BY price_change < 0
         ORDER BY abs(price_change) DESC, hotel_name, unique_key) AS position FROM alert WHERE price_change <> 0)
-      SELECT 'count' AS section, 1 AS position, 'total: ' || count(*) AS line FROM alert
+      SELECT * FROM (SELECT 'count' AS section, 1 AS position, 'total: ' || count(*) AS line FROM alert
       UNION ALL SELECT 'count', 2, 'drops: ' || count(*) FROM alert WHERE price_change < 0
-      UNION ALL SELECT 'count', 3, 'increases: ' || count(*) FROM alert WHERE price_change > 0
+      UNION ALL SELECT 'count', 3, 'increases: ' || count(*) FROM alert WHERE price_change > 0) WHERE EXISTS (SELECT 1 FROM alert)
       UNION ALL SELECT section, position, hotel_name || ': ' || old_price || ' → ' || new_price || ' PLN (' || {_signed_pct('price_change_pct')} || ')' FROM top WHERE position <= 10""",
 )
 def r03(spark, sf_dir):
