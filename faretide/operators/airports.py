@@ -186,12 +186,15 @@ def same_destination_and_dates(other: DataFrame, base: DataFrame) -> DataFrame:
         F.nullif(destination_slug(F.col("offer_url")), F.lit("")), destination_slug(F.col("url"))
     ).alias("_slug")
     slugs = base.select(slug).filter(F.col("_slug") != "").distinct()
-    # Spellings repeat far more often than rows differ, so they are normalised once each.
-    spelled = base.select("dates").distinct().select(normalize_dates(F.col("dates")).alias("_dates"))
-    dates = spelled.filter(F.col("_dates").isNotNull()).distinct()
+
+    def spellings(df: DataFrame) -> DataFrame:
+        norm = normalize_dates(F.col("dates")).alias("_dates")
+        return df.select("dates").distinct().select("dates", norm).filter(F.col("_dates").isNotNull())
+
+    # Few spellings serve many rows, so they are normalised once each and rows match by spelling.
+    matching = spellings(other).join(spellings(base).select("_dates"), "_dates", "left_semi")
     at_place = attach(other.select("*", slug), slugs, ["_slug"], "left_semi").drop("_slug")
-    dated = at_place.select("*", normalize_dates(F.col("dates")).alias("_dates"))
-    return attach(dated, dates, ["_dates"], "left_semi").drop("_dates")
+    return attach(at_place, matching.select("dates"), ["dates"], "left_semi")
 
 
 def alternatives_for_items(items: DataFrame, alternatives: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from faretide import fixed_values as fv
 from faretide.functions.money import alert_key, direction, pct_change
 from faretide.operators.filters import by_threshold, newest_per_dataset
 from faretide.operators.ranking import rank_per
-from faretide.plans.runs import run_prices, tag_runs
-from faretide.plans.shape import SERIES_ROWS, attach, lag_in_series
+from faretide.plans.runs import run_cells, run_prices, tag_runs
+from faretide.plans.shape import SERIES_ROWS, attach, lag_in_series, pin
 from faretide.schema import KEY, ORDER
 
 
@@ -209,9 +209,9 @@ def snapshot_changes(
         dated = attach(obs, newest_per_dataset(obs), ["dataset"])
         current = F.col("observed_at") == F.col("newest")
     else:
-        tagged = tag_runs(obs, gap)
-        last = tagged.groupBy("dataset").agg(F.max("run_id").alias("newest"))
-        dated = attach(tagged, last, ["dataset"])
+        cells = pin(run_cells(obs, gap))
+        last = cells.groupBy("dataset").agg(F.max("run_id").alias("newest"))
+        dated = attach(tag_runs(obs, gap, cells), last, ["dataset"])
         current = F.col("run_id") == F.col("newest")
     order = F.struct(*ORDER)
     # The first row of the snapshot speaks for the item, as a snapshot lists it once.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faretide import fixed_values as fv
 from faretide.functions.money import change_class
 from faretide.functions.text import contains_term
-from faretide.plans.shape import attach
+from faretide.plans.shape import attach, pin
 from faretide.schema import KEY
 
 
@@ -64,8 +64,16 @@ def newest_per_dataset(obs: DataFrame) -> DataFrame:
 
 
 def trailing_window(obs: DataFrame, hours: int) -> DataFrame:
-    """Rows of the last ``hours`` hours before the newest row of their dataset, edge included."""
-    dated = attach(obs, newest_per_dataset(obs), ["dataset"])
+    """Rows of the last ``hours`` hours before the newest row of their dataset, edge included.
+
+    A table partitioned by ``obs_date`` is read from the earliest edge on only.
+    """
+    newest = pin(newest_per_dataset(obs))
+    if "obs_date" in obs.columns:
+        # One day of slack, as the partition day may follow another zone.
+        earliest = F.min("newest") - F.make_dt_interval(days=F.lit(1), hours=F.lit(hours))
+        obs = obs.filter(F.col("obs_date") >= newest.agg(F.to_date(earliest)).scalar())
+    dated = obs.join(newest, "dataset")
     edge = F.col("newest") - F.make_dt_interval(hours=F.lit(hours))
     return dated.filter(F.col("observed_at") >= edge).drop("newest")
 

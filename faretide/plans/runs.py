@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
-from faretide.plans.shape import attach
+from faretide.plans.shape import pin
 
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
@@ -55,12 +55,18 @@ def run_cells(obs: DataFrame, gap: str | timedelta = fv.RUN_GAP) -> DataFrame:
     )
 
 
-def tag_runs(obs: DataFrame, gap: str | timedelta = fv.RUN_GAP) -> DataFrame:
-    """Observations with ``run_id`` (1, 2, ... per dataset) and ``run_start``."""
+def tag_runs(
+    obs: DataFrame, gap: str | timedelta = fv.RUN_GAP, cells: DataFrame | None = None
+) -> DataFrame:
+    """Observations with ``run_id`` (1, 2, ... per dataset) and ``run_start``.
+
+    ``cells`` takes a pinned result of ``run_cells``, to share it.
+    """
     width = gap_micros(gap)
-    cells = run_cells(obs, gap).select("dataset", "_cell", "run_id", "run_start")
+    cells = pin(run_cells(obs, gap)) if cells is None else cells
     celled = obs.withColumn("_cell", _cell(F.unix_micros("observed_at"), width))
-    return attach(celled, cells, ["dataset", "_cell"], "inner").drop("_cell")
+    runs = cells.select("dataset", "_cell", "run_id", "run_start")
+    return celled.join(runs, ["dataset", "_cell"]).drop("_cell")
 
 
 def run_times(obs: DataFrame, gap: str | timedelta = fv.RUN_GAP) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -117,7 +118,7 @@ def append_new_alerts(stream: DataFrame, path: str, checkpoint: str) -> None:
             history = spark.read.schema(batch.schema).parquet(path).filter(
                 F.col("ingest_batch") != batch_id
             )
-        except Exception:  # first batch: no table yet
+        except AnalysisException:  # first batch: no table yet
             history = batch.limit(0)
         landed = scratch_path(spark, "alerts")
         new_alerts(batch, history).write.parquet(landed)

@@ -107,7 +107,7 @@ def test_daily_distribution_with_outlier(make_obs):
     assert (box["whisker_low"], box["whisker_high"], box["outliers"]) == (1.0, 4.0, 1)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(1, 9), st.integers(0, 3)), min_size=1, max_size=60))
 def test_pairs_match_a_plain_loop(make_obs, rows):
     obs = make_obs(

@@ -124,3 +124,17 @@ def test_summary_document(make_obs, spark, tmp_path):
     documents.write_document(documents.summary_document(obs), str(tmp_path / "s"))
     back = json.loads(next((tmp_path / "s").glob("part-*.json")).read_text())
     assert back["price_stats"]["max"] == 9.0
+
+
+def test_trailing_window_prunes_days(spark, make_obs, tmp_path):
+    from pyspark.sql import functions as F
+
+    from faretide.operators.filters import trailing_window
+
+    table = str(tmp_path / "table")
+    days = [{"hotel_name": "h", "price": float(d), "observed_at": at(f"2025-01-{d:02d}T00:00:00")} for d in range(1, 21)]
+    make_obs(days).withColumn("obs_date", F.to_date("observed_at")).write.partitionBy("dataset", "obs_date").parquet(table)
+    recent = trailing_window(spark.read.parquet(table), 48)
+    assert as_set(recent, "price") == [(18.0,), (19.0,), (20.0,)]
+    recent.collect()
+    assert "PartitionFilters: [isnotnull(obs_date" in recent._jdf.queryExecution().toString()
