@@ -183,7 +183,7 @@ def s12b(spark, sf_dir):
 
 @query(
     "s13_search_definitions",
-    _W + """SELECT url, count(*) AS times, 8100 AS max_price_threshold, CAST(regexp_extract(url, 'PriceTo\\]=(\\d+)', 1) AS DOUBLE) AS price_limit,
+    _W + """SELECT url, count(*) AS times, 8100::BIGINT AS max_price_threshold, CAST(regexp_extract(url, 'PriceTo\\]=(\\d+)', 1) AS DOUBLE) AS price_limit,
       regexp_extract(url, 'from\\]=([^&]*)', 1) AS departures FROM obs GROUP BY url""",
 )
 def s13(spark, sf_dir):

@@ -185,7 +185,7 @@ def o09(spark, sf_dir):
 @query(
     "o10_page",
     _W + """, l AS (SELECT hotel_name, arg_max(price, (observed_at, seq)) AS price FROM obs GROUP BY 1)
-        SELECT hotel_name, price, (SELECT count(*) FROM l) AS total, 51 AS shown_from,
+        SELECT hotel_name, price, (SELECT count(*) FROM l) AS total, 51::BIGINT AS shown_from,
                least(100, (SELECT count(*) FROM l)) AS shown_to FROM l ORDER BY price, hotel_name LIMIT 50 OFFSET 50""",
 )
 def o10(spark, sf_dir):
