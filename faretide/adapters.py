@@ -67,6 +67,7 @@ def shape_events(events: DataFrame) -> DataFrame:
         F.when(kind == "purchase", F.concat(F.lit(SEARCH + "/wycieczka/dest"), (user % 3).cast("string"), F.lit(",offer,"), F.col("event_id").cast("string")))
         .otherwise(F.lit(""))
         .alias("offer_url"),
+        F.lit(None).cast("string").alias("from_airport"),
         ts.cast("timestamp").alias("observed_at"),
         F.to_date(ts).alias("obs_date"),
         F.col("event_id").alias("seq"),

@@ -18,6 +18,9 @@ OBSERVATION_COLUMNS = [
     "offer_url",
 ]
 
+# Column that only some files have.
+OPTIONAL_AIRPORT_COLUMN = "from_airport"
+
 # Field length limits of a parsed offer.
 NAME_LIMIT = 100
 DATES_LIMIT = 50

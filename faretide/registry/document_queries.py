@@ -62,6 +62,17 @@ def s03(spark, sf_dir):
     return read.select("hotel_name", "price", "dates", "departure_airport", "observed_at")
 
 
+@query(
+    "s03_trip_facts",
+    _W + """SELECT seq, obs_date::VARCHAR AS trip_start, (observed_at + INTERVAL 7 DAY)::DATE::VARCHAR AS trip_end,
+      CAST(regexp_extract(duration, '\\d+') AS INTEGER) AS nights_min, CAST(regexp_extract(duration, '\\d+') AS INTEGER) AS nights_max,
+      CASE WHEN departure_airport <> 'error' THEN departure_airport END AS airport FROM obs""",
+)
+def s03b(spark, sf_dir):
+    facts = source.with_trip_facts(events_obs(spark, sf_dir))
+    return facts.select("seq", "trip_start", "trip_end", "nights_min", "nights_max", "airport")
+
+
 @query("s04_missing_dataset", _W + "SELECT hotel_name, price FROM obs")
 def s04(spark, sf_dir):
     nothing = source.read_observations(spark, scratch_path(spark, "absent"), "events")

@@ -21,6 +21,7 @@ OBSERVATION = T.StructType(
         T.StructField("url", T.StringType()),
         T.StructField("image_url", T.StringType()),
         T.StructField("offer_url", T.StringType()),
+        T.StructField("from_airport", T.StringType()),
         T.StructField("observed_at", T.TimestampType()),
         T.StructField("obs_date", T.DateType()),
         T.StructField("seq", T.LongType()),

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faretide import fixed_values as fv
+from faretide.functions.text import first_filled, nights_range, trip_dates
 from faretide.functions.timestamps import normalize_ts, obs_day
+from faretide.functions.urls import airport_name, departure_from_url
 from faretide.schema import OBSERVATION
 
 _OVERFLOW = "_overflow"
@@ -53,7 +55,7 @@ def _read_one(spark: SparkSession, path: str, multiline: bool) -> DataFrame | No
         .option("multiLine", multiline)
         .csv(path)
     )
-    known = [c for c in fv.OBSERVATION_COLUMNS if c in header]
+    known = [c for c in [*fv.OBSERVATION_COLUMNS, fv.OPTIONAL_AIRPORT_COLUMN] if c in header]
     # A row with a surplus field is malformed and skipped; a short row is padded with nulls.
     return raw.filter(F.col(_OVERFLOW).isNull()).select(*known)
 
@@ -87,6 +89,8 @@ def canonical(raw: DataFrame, dataset: str, naive_tz: str = "UTC", seq_start: in
     """Text columns by name to the canonical observation table."""
     lacking = [c for c in fv.OBSERVATION_COLUMNS if c not in raw.columns]
     text = raw.select("*", *[F.lit("").alias(c) for c in lacking])
+    if fv.OPTIONAL_AIRPORT_COLUMN not in raw.columns:
+        text = text.withColumn(fv.OPTIONAL_AIRPORT_COLUMN, F.lit(None).cast("string"))
     numbered = text.withColumn("seq", F.monotonically_increasing_id() + F.lit(seq_start))
     instant = normalize_ts(F.col("scraped_at"), naive_tz)
     return (
@@ -97,6 +101,7 @@ def canonical(raw: DataFrame, dataset: str, naive_tz: str = "UTC", seq_start: in
             "hotel_name",
             F.col("price").try_cast("double").alias("price"),
             *[c for c in fv.OBSERVATION_COLUMNS if c not in ("hotel_name", "price")],
+            fv.OPTIONAL_AIRPORT_COLUMN,
             "observed_at",
             obs_day(F.col("observed_at")).alias("obs_date"),
             "seq",
@@ -104,6 +109,20 @@ def canonical(raw: DataFrame, dataset: str, naive_tz: str = "UTC", seq_start: in
     )
 
 
+def with_trip_facts(obs: DataFrame) -> DataFrame:
+    """Add the typed facts of the text fields: trip days, range of nights, departure airport."""
+    trip, nights = trip_dates(F.col("dates")), nights_range(F.col("duration"))
+    given = [F.col(c) for c in (fv.OPTIONAL_AIRPORT_COLUMN,) if c in obs.columns]
+    return obs.select(
+        "*",
+        trip["trip_start"].alias("trip_start"),
+        trip["trip_end"].alias("trip_end"),
+        nights["nights_min"].alias("nights_min"),
+        nights["nights_max"].alias("nights_max"),
+        first_filled(*given, airport_name(departure_from_url(F.col("url")))).alias("airport"),
+    )
+
+
 def append_observations(df: DataFrame, path: str) -> None:
     """Append every observation as a new point; nothing written before is touched.
 

@@ -138,3 +138,16 @@ def test_trailing_window_prunes_days(spark, make_obs, tmp_path):
     assert as_set(recent, "price") == [(18.0,), (19.0,), (20.0,)]
     recent.collect()
     assert "PartitionFilters: [isnotnull(obs_date" in recent._jdf.queryExecution().toString()
+
+
+def test_optional_airport_column(spark, tmp_path):
+    (tmp_path / "x.csv").write_text(
+        '"hotel_name","price","scraped_at","from_airport","dates","duration","url"\n'
+        '"a","1","2025-01-01T00:00:00","Lodz","1.1.2025 - 8.1.2025","6-15 dni","?filter[from]=Krakow"\n'
+        '"b","1","2025-01-01T00:00:00","","x","","?filter[from]=Krakow"\n'
+    )
+    read = observations.read_observations(spark, str(tmp_path / "x.csv"), "d")
+    facts = {r["hotel_name"]: r for r in observations.with_trip_facts(read).collect()}
+    assert (facts["a"]["airport"], facts["b"]["airport"]) == ("Lodz", "Краков")
+    assert (str(facts["a"]["trip_end"]), facts["a"]["nights_min"], facts["a"]["nights_max"]) == ("2025-01-08", 6, 15)
+    assert (facts["b"]["trip_start"], facts["b"]["nights_min"]) == (None, None)
