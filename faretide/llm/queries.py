@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from faretide.llm.near_dedup import near_duplicates
+from faretide.llm.packing import pack_documents
 from faretide.llm.substring import remove_repeats
+from faretide.llm.token_files import read_token_files, write_token_files
+from faretide.session import scratch_path
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op3_best_fit_packing")
+def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 byte-level tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op4_token_files")
+def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to token files, and read back from them."""
+    folder = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, folder)
+
+
 @register("op8_minhash_near_dedup")
 def _near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: three-word shingles, similarity 0.85."""
