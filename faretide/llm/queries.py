@@ -11,8 +11,10 @@ import public_tokenizers
 
 from faretide.llm.near_dedup import near_duplicates
 from faretide.llm.packing import pack_documents
+from faretide.llm.quality import fit_quality, score_quality
 from faretide.llm.substring import remove_repeats
 from faretide.llm.token_files import read_token_files, write_token_files
+from faretide.llm.toxicity import fit_toxicity, score_toxicity
 from faretide.session import scratch_path
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op1_quality_classifier")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 @register("op3_best_fit_packing")
 def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 byte-level tokens."""
@@ -60,3 +69,10 @@ def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that 20-word windows starting earlier elsewhere cover, removed from all documents."""
     out = remove_repeats(table(spark, sf_dir, "documents"), length=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op10_toxicity")
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))

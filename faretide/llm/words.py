@@ -34,6 +34,9 @@ def seeds(n: int, salt: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Everything but ASCII letters and the bytes of other characters.
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BYTES = seeds(256, 1)
 _LOWER = _BYTES.copy()
 _LOWER[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
@@ -69,11 +72,11 @@ class Rolling:
 class Words:
     """The words of the texts in one slice.
 
-    ``first[d] : first[d + 1]`` are the words of text ``d``; ``begin`` and ``end`` are byte places.
+    With ``letters``, words are runs of letters. ``first[d] : first[d + 1]`` are the words of text ``d``; ``begin`` and ``end`` are byte places.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
-        inside = ~_SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, letters: bool = False):
+        inside = ~(_NO_LETTER if letters else _SPACE)[data]
         before = np.zeros(len(data), bool)
         before[1:] = inside[:-1]
         edges = offsets[:-1][np.diff(offsets) > 0]
@@ -85,7 +88,9 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.begin, offsets)
         self.counts = np.diff(self.first)
-        self.hash = Rolling((_LOWER if lower else _BYTES)[data])(self.begin, self.end)
+        # Hashes of any bytes of the slice.
+        self.bytes = Rolling((_LOWER if lower else _BYTES)[data])
+        self.hash = self.bytes(self.begin, self.end)
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all windows of ``length`` words, and each window's text."""
@@ -125,7 +130,9 @@ def column_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(texts: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
+def slices(
+    texts: pa.Array, lower: bool = False, most: int = SLICE_BYTES, letters: bool = False
+) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) for consecutive runs of rows of about ``most`` bytes."""
     if not len(texts):
         return
@@ -133,7 +140,7 @@ def slices(texts: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> Ite
     a = 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
-        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)
+        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower, letters)
         a = b
 
 
