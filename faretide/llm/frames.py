@@ -86,3 +86,26 @@ def rank_within(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 def text_column(docs: DataFrame, text: str = "text") -> Column:
     """The text as a string; null stays null."""
     return F.col(text).cast("string")
+
+
+def rank_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Number the rows of each key from 0 in ``order``, hot keys included.
+
+    Rows are range-partitioned by key and order, so a key with many rows spreads over many tasks; each
+    task numbers its own rows, and one row per key and task tells where its numbers start.
+    """
+    placed = keep(
+        df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ordered"
+    )
+    inside = Window.partitionBy("_part", *keys).orderBy(*order)
+    counts = placed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = placed.withColumn("_local", F.row_number().over(inside) - 1).alias("l")
+    same = F.col("l._part") == F.col("s._part")
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}"))
+    joined = local.join(starts.alias("s"), same)
+    return joined.select(
+        *[F.col(f"l.{c}").alias(c) for c in df.columns], (F.col("_local") + F.col("_start")).cast("long").alias(name)
+    )

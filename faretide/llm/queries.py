@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from faretide.llm import chat, decontaminate
 from faretide.llm.near_dedup import near_duplicates
 from faretide.llm.packing import pack_documents
 from faretide.llm.quality import fit_quality, score_quality
@@ -58,6 +59,20 @@ def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+@register("op5_chat_perspectives", chat.SQL)
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations from the perspective of every participant; spans as text "start:end ..."."""
+    out = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), " ")
+    return out.withColumn("spans", spans)
+
+
+@register("op6_decontamination", decontaminate.SQL)
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the benchmark items they hold."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op8_minhash_near_dedup")
 def _near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: three-word shingles, similarity 0.85."""
