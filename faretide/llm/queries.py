@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from faretide.llm import chat, decontaminate
+from faretide.llm.fingerprint import edit_likeness
 from faretide.llm.near_dedup import near_duplicates
 from faretide.llm.packing import pack_documents
 from faretide.llm.quality import fit_quality, score_quality
@@ -45,6 +46,12 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+@register("op2_document_fingerprints")
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return edit_likeness(table(spark, sf_dir, "documents"))
+
+
 @register("op3_best_fit_packing")
 def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 byte-level tokens."""
