@@ -17,6 +17,7 @@ from faretide.llm.quality import fit_quality, score_quality
 from faretide.llm.substring import remove_repeats
 from faretide.llm.token_files import read_token_files, write_token_files
 from faretide.llm.toxicity import fit_toxicity, score_toxicity
+from faretide.llm.warc import page_records, write_archives
 from faretide.session import scratch_path
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +81,19 @@ def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register("op7_warc", """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN strlen(coalesce(html, '')) >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(coalesce(html, '')) >= 100 AND first < page_id THEN first END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+""")
+def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC files, and read back from them."""
+    folder = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), folder).count()
+    return page_records(spark, folder)
+
+
 @register("op8_minhash_near_dedup")
 def _near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: three-word shingles, similarity 0.85."""
