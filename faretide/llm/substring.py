@@ -248,38 +248,47 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(key)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (..., text, spans) -> the same with the kept words joined by one blank."""
-    for batch in batches:
-        texts, n_words, n_removed = [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans")):
-            words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
-            n_words.append(len(words))
-            gone = 0
-            for span in reversed(spans.as_py() or []):
-                a = min(span["start"], len(words))
-                b = min(a + span["length"], len(words))
-                del words[a:b]
-                gone += b - a
-            n_removed.append(gone)
-            texts.append(b" ".join(words).decode())
-        rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "spans")]
-        names = [c for c in batch.schema.names if c not in ("text", "spans")]
-        yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
-            [*names, "kept_text", "n_words", "n_removed"],
-        )
+def _cut(rejoin: bool):
+    """Batches of (..., text, spans) -> the same with the kept text and the numbers of words."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, n_words, n_removed = [], [], []
+            for text, spans in zip(batch.column("text"), batch.column("spans")):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                words = raw.split()
+                n_words.append(len(words))
+                gone = 0
+                for span in reversed(spans.as_py() or []):
+                    a = min(span["start"], len(words))
+                    b = min(a + span["length"], len(words))
+                    del words[a:b]
+                    gone += b - a
+                n_removed.append(gone)
+                texts.append((b" ".join(words) if rejoin or gone else raw).decode() if rejoin or text.is_valid else None)
+            names = [c for c in batch.schema.names if c not in ("text", "spans")]
+            counts = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names], pa.array(texts, pa.string()), *counts],
+                [*names, "kept_text", "n_words", "n_removed"],
+            )
+
+    return build
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, columns: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, <columns>, kept_text, n_words, n_removed, `` for every row of ``docs``.
+def remove_repeats(
+    docs: DataFrame, length: int = 20, columns: tuple[str, ...] = (), rejoin: bool = True
+) -> DataFrame:
+    """``doc_id, <columns>, kept_text, n_words, n_removed`` for every row of ``docs``.
 
     ``kept_text`` has the words outside the spans of ``repeated_spans``, joined by one blank; it is empty
-    for a null text. A row without doc_id keeps all its words.
+    for a null text. Without ``rejoin`` a text that loses no word stays as it is, null included. A row without doc_id
+    keeps all its words. Columns named ``kept_text``, ``n_words`` and ``n_removed`` cannot be carried along.
     """
     spans = repeated_spans(docs, length).select("doc_id", "spans")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
-    joined = plain.join(spans, "doc_id", "left").select("doc_id", *columns, "text", "spans")
+    # The texts go once through a shuffle at any size.
+    joined = plain.hint("merge").join(spans, "doc_id", "left").select("doc_id", *columns, "text", "spans")
     fields = [f for f in joined.schema.fields if f.name not in ("text", "spans")]
     out = T.StructType(
         fields
@@ -289,4 +298,4 @@ def remove_repeats(docs: DataFrame, length: int = 20, columns: tuple[str, ...] =
             T.StructField("n_removed", T.LongType()),
         ]
     )
-    return joined.mapInArrow(_cut, out)
+    return joined.mapInArrow(_cut(rejoin), out)
