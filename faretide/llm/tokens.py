@@ -11,6 +11,7 @@ import json
 import os
 import re
 
+import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
@@ -19,16 +20,23 @@ SLICE_BYTES = 1 << 21
 # Units a worker remembers; more than that are encoded again.
 UNITS = 400_000
 
-# Marks that never join a run of letters before them.
-_MARK = r"[.,:;!?*&%$#|]"
+# A run of letters that ends at white space or at a mark that never joins it.
+_LETTERS = r"[^\W\d_]++(?![^\s.,:;!?*&%$#|])"
 # Keeps a single blank with the word after it, as byte-level vocabularies do.
-_BYTE_LEVEL = re.compile(rf" ?[^\W\d_]+(?={_MARK})| ?\S+|\s+(?!\S)|\s")
+_BYTE_LEVEL = re.compile(rf" ?{_LETTERS}| ?\S+|\s+(?!\S)|\s")
 # For vocabularies that drop white space.
-_SPACELESS = re.compile(rf"[^\W\d_]+(?={_MARK})|\S+")
+_SPACELESS = re.compile(rf"{_LETTERS}|\S+")
+# A text without these characters can be lower-cased before a normaliser composes and lower-cases it.
+_COMPOSING = re.compile("[\u0130\u0300-\U0010ffff]")
 # White space to Python alone; texts that hold it are encoded in one piece.
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+def _lowers(spec: dict) -> bool:
+    parts = (spec.get("normalizer") or {}).get("normalizers", [])
+    return any(p.get("type") == "Lowercase" for p in parts)
+
+
 def _units(spec: dict) -> re.Pattern | None:
     before = spec.get("pre_tokenizer") or {}
     if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
@@ -49,7 +57,8 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self._pattern = _units(json.load(f))
+            spec = json.load(f)
+        self._pattern, self._lowers = _units(spec), _lowers(spec)
         self._known: dict[str, bytes] = {}
 
     @property
@@ -63,6 +72,8 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self._pattern is None:
             return self._encode(texts)
+        if self._lowers:
+            texts = [t if _COMPOSING.search(t) else t.lower() for t in texts]
         cut = [None if _ODD.search(t) else self._pattern.findall(t) for t in texts]
         needed = set().union(*[u for u in cut if u])
         fresh = [u for u in needed if u not in self._known]
@@ -74,7 +85,7 @@ class Encoder:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return np.array(ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
