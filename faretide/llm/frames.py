@@ -19,7 +19,7 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     the table can be freed.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kept_path = path
     return out
