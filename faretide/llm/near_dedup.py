@@ -3,12 +3,14 @@
 A document's set holds the distinct shingles of its lower-cased words. Independent trees branch
 the documents by minwise shingles: a node holds the documents that share one, and a node with too many
 documents branches again by further minwise functions. Documents of a small node are compared
-exhaustively on their full sets. A node that is still too large at the last level (many copies of
+exhaustively, first by their minwise values and then, where enough of these agree, on their full
+sets. A node that is still too large at the last level (many copies of
 one text) is compared in blocks that share two pivots, and then block by block as far as its
 documents are not connected yet. No node, partner or candidate is dropped.
 
 With four trees of two branches each, a pair at similarity s is missed by all root nodes with
-probability (1 - s)^8: 2.6e-7 at 0.85. Equal sets always meet: they are merged before.
+probability (1 - s)^8: 2.6e-6 at 0.8. A pair at 0.8 agrees on fewer than 9 of 24 minwise values with
+probability 1e-6. Equal sets always meet: they are merged before.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,12 @@ TREES = 4
 BRANCHES = 2
 DEPTH = 3
 # Documents that one task compares with one another.
-NODE_DOCS = 512
+NODE_DOCS = 1024
+# Bytes of text whose sets a task builds at a time.
+CHUNK_BYTES = 4 << 20
+# Minwise values of each set; two sets are compared in full if at least ``AGREEING`` of them agree.
+FUNCTIONS = 24
+AGREEING = 9
 # Columns of the incidence matrix that are held at a time.
 _COLUMNS = 4096
 
@@ -97,6 +105,49 @@ def _smallest_linked(near: np.ndarray) -> np.ndarray:
         label = fresh
 
 
+def _sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [words.shingles(shingle) for _, _, words in slices(texts, lower=True)]
+    size = np.concatenate([np.diff(b) for _, b in parts])
+    return np.concatenate([v for v, _ in parts]), np.concatenate([[0], np.cumsum(size)])
+
+
+def _linked(texts: pa.Array, shingle: int, percent: int) -> np.ndarray:
+    """``similar`` of all texts; sets of at most two chunks of texts are held at a time."""
+    ends = np.cumsum(pc.binary_length(pc.fill_null(texts, "")).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK_BYTES)) + 1).tolist(), len(texts)]
+    near = np.zeros((len(texts), len(texts)), bool)
+    spans = list(zip(cuts[:-1], cuts[1:]))
+    for i, (a, b) in enumerate(spans):
+        v, w = _sets(texts.slice(a, b - a), shingle)
+        near[a:b, a:b] = similar(v, w, percent)
+        for c, d in spans[i + 1 :]:
+            x, y = _sets(texts.slice(c, d - c), shingle)
+            both = similar(np.concatenate([v, x]), np.concatenate([w, y[1:] + w[-1]]), percent)
+            near[a:b, c:d] = both[: b - a, b - a :]
+            near[c:d, a:b] = near[a:b, c:d].T
+    return near
+
+
+def _promising(batch_groups: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Groups of (node, doc_id, minwise values) -> the parts of each group whose values agree, by (node, part)."""
+    for group in batch_groups:
+        ids = group.column("doc_id").to_numpy()
+        values = np.column_stack([group.column(c).to_numpy() for c in group.schema.names if c.startswith("m")])
+        ids, order = np.unique(ids, return_index=True)  # pivots may stand twice in a block
+        values = values[order]
+        agree = np.zeros((len(ids), len(ids)), np.int8)
+        for column in values.T:
+            agree += column[:, None] == column[None, :]
+        near = agree >= AGREEING
+        np.fill_diagonal(near, True)
+        root = _smallest_linked(near)
+        kept = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        nodes = group.column("node").to_numpy()[order]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes[kept]), pa.array(ids[root[kept]]), pa.array(ids[kept])], ["node", "part", "doc_id"]
+        )
+
+
 def _compare(shingle: int, percent: int):
     """Groups of (node, doc_id, text) -> links that connect what is similar in each group."""
 
@@ -107,10 +158,7 @@ def _compare(shingle: int, percent: int):
             if len(ids) < 2:
                 continue
             texts = group.column("text").take(pa.array(first)).combine_chunks()
-            parts = [words.shingles(shingle) for _, _, words in slices(texts, lower=True)]
-            values = np.concatenate([v for v, _ in parts])
-            size = np.concatenate([np.diff(b) for _, b in parts])
-            near = similar(values, np.concatenate([[0], np.cumsum(size)]), percent)
+            near = _linked(texts, shingle, percent)
             root = _smallest_linked(near)
             moved = np.flatnonzero(root != np.arange(len(root)))
             if len(moved):
@@ -133,35 +181,34 @@ def _count_nodes(rows: DataFrame) -> DataFrame:
     return counted.filter("n > 1").groupBy("n", "x1", "x2", "low", "high").agg(F.min("node").alias("node"))
 
 
-def _branch(rows: DataFrame, level: int, functions: int) -> DataFrame:
+def _branch(rows: DataFrame, level: int) -> DataFrame:
     """Children of too large nodes: one more minwise function, and a second for some nodes.
 
-    The second comes with probability 0.18, so that a pair at similarity 0.85 is expected to stay
-    together in one child (1.18 * 0.85 = 1).
+    The second comes with probability 0.25, so that a pair at similarity 0.8 is expected to stay
+    together in one child (1.25 * 0.8 = 1).
     """
-    mins = F.array(*[F.col(f"m{i}") for i in range(functions)])
+    mins = F.array(*[F.col(f"m{i}") for i in range(FUNCTIONS)])
 
     def child(branch: int):
-        chosen = F.pmod(F.xxhash64("node", F.lit(level), F.lit(branch)), F.lit(functions)).cast("int")
+        chosen = F.pmod(F.xxhash64("node", F.lit(level), F.lit(branch)), F.lit(FUNCTIONS)).cast("int")
         return F.xxhash64("node", F.lit(branch), F.element_at(mins, chosen + 1))
 
-    second = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(100)) < 18
+    second = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(4)) == 0
     children = F.when(second, F.array(child(0), child(1))).otherwise(F.array(child(0)))
-    keep_columns = [c for c in rows.columns if c != "node"]
-    return rows.select(*keep_columns, F.explode(children).alias("node"))
+    return rows.select("doc_id", F.explode(children).alias("node"))
 
 
 def _blocks(members: DataFrame, docs_per_block: int) -> DataFrame:
     """Members of too large nodes in blocks; the two pivots of a node stand in every block."""
     blocks = F.ceil(F.col("n") / docs_per_block)
     inner = members.select(
-        "doc_id", F.xxhash64("node", F.pmod(F.xxhash64("doc_id", "node"), blocks)).alias("group")
+        "doc_id", F.xxhash64("node", F.pmod(F.xxhash64("doc_id", "node"), blocks)).alias("node")
     )
     nodes = members.select("node", "n", "low", "high").distinct()
     pivots = nodes.select(
         F.explode(F.array("low", "high")).alias("doc_id"), "node", blocks.alias("b")
     ).select("doc_id", F.col("node"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k"))
-    return inner.union(pivots.select("doc_id", F.xxhash64("node", F.col("k").cast("long")).alias("group")))
+    return inner.union(pivots.select("doc_id", F.xxhash64("node", F.col("k").cast("long")).alias("node")))
 
 
 def near_duplicates(
@@ -185,10 +232,9 @@ def near_duplicates(
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     roots = trees * branches
-    functions = roots + 16
-    build, schema = _set_table(shingle, functions)
+    build, schema = _set_table(shingle, FUNCTIONS)
     sets = keep(texts.mapInArrow(build, schema), "sets")
-    mins = [f"m{i}" for i in range(functions)]
+    mins = [f"m{i}" for i in range(FUNCTIONS)]
 
     distinct = keep(
         sets.filter("doc_id is not null")
@@ -197,46 +243,52 @@ def near_duplicates(
         "distinct",
     )
     slot = F.posexplode(F.array(*mins[:roots])).alias("slot", "value")
-    rows = distinct.select("doc_id", *mins[roots:], slot).select(
-        "doc_id",
-        *[F.col(m).alias(f"m{i}") for i, m in enumerate(mins[roots:])],
-        F.xxhash64("slot", "value").alias("node"),
-    )
+    rows = distinct.select("doc_id", slot).select("doc_id", F.xxhash64("slot", "value").alias("node"))
     small, large = [], None
     used: list[DataFrame] = []
     for level in range(depth):
         nodes = keep(_count_nodes(rows), "nodes")
         used.append(nodes)
         fine = nodes.filter(F.col("n") <= node_docs)
-        small.append(rows.join(fine.select("node"), "node").select("doc_id", F.col("node").alias("group")))
+        small.append(rows.hint("merge").join(fine.select("node"), "node").select("doc_id", "node"))
         over = nodes.filter(F.col("n") > node_docs)
         if not over.limit(1).count():
             break
         wide = rows.join(over.select("node", "n", "low", "high"), "node")
         if level + 1 == depth:
             large = keep(wide.select("doc_id", "node", "n", "low", "high"), "large")
-            used.append(large)
             small.append(_blocks(large, node_docs // 2))
         else:
-            stored = keep(wide.select("doc_id", "node", *[f"m{i}" for i in range(functions - roots)]), "wide")
-            used.append(stored)
-            rows = _branch(stored, level, functions - roots)
+            rows = keep(_branch(wide.join(distinct, "doc_id"), level), "branches")
+            used.append(rows)
     members = small[0]
     for part in small[1:]:
         members = members.union(part)
 
-    def compare(groups: DataFrame) -> DataFrame:
-        placed = groups.join(texts, "doc_id")
-        return grouped(placed, "group", _compare(shingle, percent), "a long, b long")
-
-    links = keep(compare(members), "found")
-    free(spark, *[t for t in used if t is not large])
+    def promising(groups: DataFrame) -> DataFrame:
+        """Members of the parts of each group that need a full comparison."""
+        placed = groups.join(distinct.select("doc_id", *mins), "doc_id")
+        parts = keep(grouped(placed, "node", _promising, "node long, part long, doc_id long"), "parts")
+        parts = parts.select(F.xxhash64("node", "part").alias("node"), "doc_id")
+        # Parts with the same documents, mostly one and the same group found in several nodes, count once.
+        return keep(parts.join(_count_nodes(parts).select("node"), "node").distinct(), "chosen")
+
+    def compare(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
+        return grouped(candidates.join(chosen, "doc_id"), "node", _compare(shingle, percent), "a long, b long")
+
+    chosen = promising(members)
+    wanted = chosen.select("doc_id") if large is None else chosen.select("doc_id").union(large.select("doc_id"))
+    # The texts are by far the larger side and go once through a shuffle at any size.
+    candidates = keep(texts.hint("merge").join(wanted.distinct(), "doc_id", "left_semi"), "candidates")
+    free(spark, *used)
+    links = keep(compare(chosen, candidates), "found")
     same = components(links)
     if large is not None:
         rest = _unconnected(large, same, node_docs // 2)
         if rest.limit(1).count():
-            more = keep(compare(rest), "found")
-            same = components(links.union(more))
+            links = links.union(keep(compare(promising(rest), candidates), "found"))
+            same = components(links)
+    free(spark, candidates)
     by_set = keep(
         distinct.select("k1", "k2", "n_shingles", "doc_id")
         .join(same, F.col("doc_id") == F.col("node"), "left")
@@ -250,7 +302,8 @@ def near_duplicates(
     )
     bare = texts.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     one = found.union(bare).groupBy("doc_id").agg(
-        F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")
+        F.max("n_shingles").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.min("component_id")).alias("component_id"),
     )
     return one.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -290,4 +343,4 @@ def _unconnected(large: DataFrame, same: DataFrame, docs_per_block: int) -> Data
     group = F.xxhash64("node", "block", "block2").alias("group")
     left = pairs.select("node", "block", group)
     right = pairs.filter("block < block2").select("node", F.col("block2").alias("block"), group)
-    return cut.join(left.union(right), ["node", "block"]).select("doc_id", "group")
+    return cut.join(left.union(right), ["node", "block"]).select("doc_id", F.col("group").alias("node"))
