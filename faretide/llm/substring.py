@@ -36,7 +36,7 @@ SPANS = T.ArrayType(
 def levels_of(length: int) -> list[int]:
     """Window lengths from the shortest, at least 5 words if possible, by doubling to ``length``.
 
-    20 gives 5, 10, 20; 50 gives 6, 12, 24 and then 50, the last step being the rest.
+    20 gives 5, 10, 20; 50 gives 6, 12, 25, 50, halves being rounded down.
     """
     out = [length]
     while out[0] // 2 >= 5:

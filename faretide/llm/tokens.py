@@ -20,12 +20,12 @@ SLICE_BYTES = 1 << 21
 # Units a worker remembers; more than that are encoded again.
 UNITS = 400_000
 
-# A run of letters that ends at white space or at a mark that never joins it.
-_LETTERS = r"[^\W\d_]++(?![^\s.,:;!?*&%$#|])"
+# A run of letters is a unit if it ends at white space or at a mark that never joins it.
+_ENDS = r"(?![^\s.,:;!?*&%$#|])"
 # Keeps a single blank with the word after it, as byte-level vocabularies do.
-_BYTE_LEVEL = re.compile(rf" ?{_LETTERS}| ?\S+|\s+(?!\S)|\s")
-# For vocabularies that drop white space.
-_SPACELESS = re.compile(rf"{_LETTERS}|\S+")
+_BYTE_LEVEL = re.compile(rf" ?[^\W\d_]++{_ENDS}| ?\S+|\s+(?!\S)|\s")
+# For vocabularies that normalise and drop white space: only letters that no normaliser takes apart.
+_SPACELESS = re.compile(rf"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]++{_ENDS}|\S+")
 # A text without these characters can be lower-cased before a normaliser composes and lower-cases it.
 _COMPOSING = re.compile("[\u0130\u0300-\U0010ffff]")
 # White space to Python alone; texts that hold it are encoded in one piece.
