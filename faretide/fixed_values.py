@@ -81,8 +81,19 @@ DEFAULT_DATES = "20-09-2025 - 04-10-2025"
 DEFAULT_DURATION = "6-15 дней"
 DURATION_RANGE_UNIT = "дней"
 IMAGE_ATTRIBUTES = ["src", "data-src", "data-original", "data-lazy"]
-NAME_CLASSES = ["title", "name", "hotel"]
-PRICE_CLASSES = ["price", "cost", "amount"]
+HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+NAME_CLASSES = ["title", "name", "hotel-name", "offer-title"]
+NAME_CLASS_PARTS = ["title", "name", "hotel"]
+WHOLE_PARTY_CLASS = "price-view-2"
+PRICE_CLASSES = ["price", "cost", "amount", "value"]
+PRICE_CLASS_PARTS = ["price", "cost", "amount"]
+DATE_CLASSES = ["date", "dates", "departure-date", "arrival-date", "travel-date", "trip-date", "journey-date"]
+DATE_CLASS_PARTS = ["date", "departure", "arrival", "travel", "trip", "journey"]
+DATE_ATTRIBUTES = ["data-date", "data-departure", "data-arrival"]
+DATE_LAST_CLASSES = ["period", "range", "from-to", "time", "when", "schedule"]
+DURATION_CLASSES = ["duration", "nights", "days", "length", "trip-duration", "stay-duration", "period"]
+DURATION_CLASS_PARTS = ["duration", "nights", "days", "length", "period"]
+DURATION_ATTRIBUTES = ["data-duration", "data-nights", "data-days"]
 LINK_CLASSES = ["image-link", "offer-con"]
 OFFER_PATH = "/wycieczka/"
 DESTINATION_PATH = "/kierunek/"

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
-from faretide.functions.text import clean_text, first_match, preferred_price_text
+from faretide.functions.text import clean_text, first_match, is_date_text, is_duration_text
 from faretide.functions.urls import absolute_url
 
 _TAG = r"(?s)<[^>]*>"
@@ -21,35 +21,141 @@ def strip_tags(col: Column) -> Column:
     return clean_text(text)
 
 
+def _without_hidden(html: Column) -> Column:
+    hidden = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+    return F.regexp_replace(html, hidden, " ")
+
+
 def visible_text(html: Column) -> Column:
     """Text of a document without scripts, styles and comments."""
-    hidden = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-    return strip_tags(F.regexp_replace(html, hidden, " "))
+    return strip_tags(_without_hidden(html))
 
 
-def _element(name: str, attributes: str = "") -> str:
-    """Pattern of a non-blank element; group 1 is the tag, group 2 what it holds."""
-    return rf"(?is)<({name})\b[^>]*{attributes}[^>]*>((?:\s|<(?!/\1)[^>]*>)*[^<\s].*?)</\1\s*>"
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parsed(html: Column, use) -> Column:
+    """``use(elements)`` with the elements of a card that are headings or carry a class or data attribute.
+
+    The markup is cut at every ``<``; each element has its tag name, classes, data attributes and text. The text
+    runs to the first closing tag of that name, or to the next tag if it is never closed; images have none.
+    No pattern repeats an alternation, and all work is linear but for unclosed tags.
+    """
+
+    def inner_text(card: Column, at: Column, name: Column) -> Column:
+        closing = F.concat(F.lit("/"), name)
+        after = F.slice(card["names"], at + 1, F.size(card["names"]))
+        close = F.when(F.array_contains(card["closing"], closing), F.array_position(after, closing)).otherwise(1)
+        return strip_tags(F.array_join(F.slice(card["texts"], at, F.greatest(close.cast("int"), F.lit(1))), " "))
+
+    def elements(card: Column) -> Column:
+        def element(tag: Column, i: Column) -> Column:
+            name = F.get(card["names"], i)
+            kind = F.regexp_extract(tag, r"""(?i)\sclass\s*=\s*["']([^"']*)""", 1)
+            data = F.regexp_extract_all(F.lower(tag), F.lit(r"\s(data-[a-z]+)"), F.lit(1))
+            marked = (i > 0) & ((kind != "") | (F.size(data) > 0) | name.rlike("^h[1-6]$"))
+            whole = F.when(name.isin("img", "input"), F.lit("")).otherwise(inner_text(card, i + 1, name))
+            return F.when(
+                marked & name.rlike("^[a-z]"),
+                F.struct(name.alias("name"), kind.alias("class"), F.split(kind, r"\s+").alias("classes"), data.alias("data"), whole.alias("text")),
+            )
+
+        return F.filter(F.transform(card["tags"], element), lambda e: e.isNotNull())
+
+    def card(pieces: Column) -> Column:
+        is_text = lambda s, i: (i == 0) | ~s.rlike(r"^[/A-Za-z!]")
+        names = F.transform(pieces, lambda s: F.lower(F.regexp_extract(s, r"^/?[A-Za-z][A-Za-z0-9]*", 0)))
+        return F.struct(
+            names.alias("names"),
+            F.array_distinct(F.filter(names, lambda n: n.startswith("/"))).alias("closing"),
+            F.transform(pieces, lambda s: F.substring_index(s, ">", 1)).alias("tags"),
+            F.transform(
+                pieces, lambda s, i: F.when(is_text(s, i), s).otherwise(F.regexp_replace(s, r"^[^>]*>?", ""))
+            ).alias("texts"),
+        )
+
+    return _named(
+        F.split(_without_hidden(html), "<"),
+        lambda pieces: _named(card(pieces), lambda c: _named(elements(c), use)),
+    )
+
+
+def _selectors(*groups: tuple[str, list[str]]) -> Column:
+    """Selectors in priority order, as data: (kind, value)."""
+    rows = [f"named_struct('kind', '{kind}', 'value', '{v}')" for kind, values in groups for v in values]
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _selected(e: Column, s: Column) -> Column:
+    return (
+        F.when(s["kind"] == "tag", e["name"] == s["value"])
+        .when(s["kind"] == "class", F.array_contains(e["classes"], s["value"]))
+        .when(s["kind"] == "part", F.contains(e["class"], s["value"]))
+        .otherwise(F.array_contains(e["data"], s["value"]))
+    )
 
 
-def _classed(class_name: str) -> str:
-    return _element(r"\w+", rf'class="[^"]*{class_name}[^"]*"')
+def _first_text(elements: Column, selectors: Column) -> Column:
+    """Text of the first element of the first selector whose first element is not blank."""
+    firsts = F.transform(selectors, lambda s: F.get(F.filter(elements, lambda e: _selected(e, s)), F.lit(0))["text"])
+    return F.get(F.filter(firsts, lambda t: t != ""), F.lit(0))
+
+
+def _first_accepted(elements: Column, selectors: Column, accepts) -> Column:
+    """First accepted text among all elements of the first selector that gives one."""
+    def first(texts: Column) -> Column:
+        found = F.transform(selectors, lambda s: F.get(F.filter(texts, lambda e: _selected(e, s)), F.lit(0))["text"])
+        return F.get(F.filter(found, lambda t: t.isNotNull()), F.lit(0))
+
+    return _named(F.filter(elements, lambda e: accepts(e["text"])), first)
+
+
+def _heading(elements: Column) -> Column:
+    tiers = [("tag", fv.HEADING_TAGS), ("class", fv.NAME_CLASSES), ("part", fv.NAME_CLASS_PARTS)]
+    return _first_text(elements, _selectors(*tiers))
+
+
+def _price_text(elements: Column) -> Column:
+    """The price for the whole party first, then exact classes, then parts of class names."""
+    marker = "|".join(fv.WHOLE_PARTY_MARKERS)
+    party = _first_accepted(elements, _selectors(("part", ["price"])), lambda t: F.lower(t).rlike(marker))
+    tiers = [("part", [fv.WHOLE_PARTY_CLASS]), ("class", fv.PRICE_CLASSES), ("part", fv.PRICE_CLASS_PARTS)]
+    return F.coalesce(party, _first_text(elements, _selectors(*tiers)))
+
+
+def _dates(elements: Column) -> Column:
+    tiers = [("class", fv.DATE_CLASSES), ("part", fv.DATE_CLASS_PARTS), ("data", fv.DATE_ATTRIBUTES)]
+    return _first_accepted(elements, _selectors(*tiers, ("class", fv.DATE_LAST_CLASSES)), is_date_text)
+
+
+def _duration(elements: Column) -> Column:
+    tiers = [("class", fv.DURATION_CLASSES), ("part", fv.DURATION_CLASS_PARTS), ("data", fv.DURATION_ATTRIBUTES)]
+    return _first_accepted(elements, _selectors(*tiers), is_duration_text)
 
 
 def heading_from_markup(html: Column) -> Column:
     """Text of the highest-level heading, else of the first name-like element; null if none."""
-    patterns = [_element(f"h{n}") for n in range(1, 7)] + [_classed(c) for c in fv.NAME_CLASSES]
-    return strip_tags(F.coalesce(*[first_match(html, p, 2) for p in patterns]))
+    return _parsed(html, _heading)
 
 
 def price_text_from_markup(html: Column) -> Column:
     """Text of the price element, the whole-party price first; null if none."""
-
-    def texts(class_name: str) -> Column:
-        found = F.regexp_extract_all(html, F.lit(_classed(class_name)), F.lit(2))
-        return F.transform(found, strip_tags)
-
-    return F.coalesce(*[preferred_price_text(texts(c)) for c in fv.PRICE_CLASSES])
+    return _parsed(html, _price_text)
+
+
+def card_texts(html: Column) -> Column:
+    """Struct of the heading, price, dates and duration texts of a card; each null if there is none."""
+    return _parsed(
+        html,
+        lambda elements: F.struct(
+            _heading(elements).alias("name"),
+            _price_text(elements).alias("price"),
+            _dates(elements).alias("dates"),
+            _duration(elements).alias("duration"),
+        ),
+    )
 
 
 def image_from_markup(html: Column) -> Column:

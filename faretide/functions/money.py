@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from faretide import fixed_values as fv
 
 
-def hundredths(price: Column) -> Column:
-    """Price as a whole number of hundredths."""
-    return F.rint(price * 100).cast("bigint")
+def exact(price: Column) -> Column:
+    """Price as a decimal with ten places; NaN and infinite prices count as missing."""
+    return price.try_cast("decimal(28,10)")
 
 
 def money_mean(price: Column) -> Column:
-    """Mean price (aggregate), summed in whole hundredths.
+    """Mean price (aggregate).
 
-    An integer sum does not depend on the order of its terms, so the mean is
+    A decimal sum does not depend on the order of its terms, so the mean is
     the same whatever the partitioning or however often a task is retried.
     """
-    return mean_of_sums(F.sum(hundredths(price)), F.count(price))
+    return mean_of_sums(F.sum(exact(price)), F.count(exact(price)))
 
 
-def mean_of_sums(sum_hundredths: Column, n: Column) -> Column:
-    return F.try_divide(sum_hundredths.cast("double"), (n * 100).cast("double"))
+def mean_of_sums(total: Column, n: Column) -> Column:
+    return F.try_divide(total.cast("double"), n.cast("double"))
 
 
 def pct_change(new: Column, old: Column, on_zero: float | None = 0.0) -> Column:

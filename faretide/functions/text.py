@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +21,9 @@ def _or_null(col: Column) -> Column:
 
 
 def first_match(col: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match, null without one. The column is scanned once."""
-    return F.get(F.regexp_extract_all(col, F.lit(pattern), F.lit(group)), F.lit(0))
+    """A group of the first match, null without one. The scan stops at the match."""
+    found = F.regexp_substr(col, F.lit(pattern))
+    return F.when(found.isNotNull(), F.regexp_extract(col, pattern, group))
 
 
 def clean_text(col: Column) -> Column:
@@ -152,7 +151,3 @@ def contains_term(col: Column, term: str) -> Column:
 
 def first_words(col: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(clean_text(col), " "), 1, n), " ")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -35,10 +35,17 @@ def url_filters(col: Column) -> Column:
     )
 
 
+def _plain_or_encoded(char: str) -> str:
+    """Pattern of a character of a key, which may also be percent-encoded."""
+    if char.isalnum():
+        return char
+    codes = "".join(f"%{b:02x}" for b in char.encode())
+    return rf"(?:\{char}|(?i:{codes}))"
+
+
 def url_parameter(col: Column, name: str) -> Column:
     """One decoded query parameter, null when absent, without building the whole map."""
-    escaped = "".join("\\" + c if c in "[]().*+?^$|{}\\" else c for c in name)
-    return _decoded(first_match(col, rf"[?&]{escaped}=([^&#]*)"))
+    return _decoded(first_match(col, rf"[?&]{''.join(map(_plain_or_encoded, name))}=([^&#]*)"))
 
 
 def airport_from_url(col: Column) -> Column:

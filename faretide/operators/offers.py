@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
 from faretide.functions.markup import (
-    heading_from_markup,
+    card_texts,
     image_from_markup,
     offer_link_from_markup,
-    price_text_from_markup,
     visible_text,
 )
 from faretide.functions.text import (
@@ -41,11 +40,11 @@ def parse_offers(
     """
     html = F.col(html_col)
     texts = cards.withColumn("_text", F.col(text_col) if text_col else visible_text(html))
-    kept = long_enough(texts, "_text")
-    name = first_filled(heading_from_markup(html), first_words(F.col("_text"), fv.NAME_FALLBACK_WORDS))
-    price_text = F.coalesce(price_text_from_markup(html), F.lit(""))
-    dates = fill_default(dates_from_text(F.col("_text")), fv.DEFAULT_DATES)
-    duration = fill_default(duration_from_text(F.col("_text")), fv.DEFAULT_DURATION)
+    kept = long_enough(texts, "_text").withColumn("_card", card_texts(html))
+    name = first_filled(F.col("_card.name"), first_words(F.col("_text"), fv.NAME_FALLBACK_WORDS))
+    price_text = F.coalesce(F.col("_card.price"), F.lit(""))
+    dates = fill_default(F.coalesce(F.col("_card.dates"), dates_from_text(F.col("_text"))), fv.DEFAULT_DATES)
+    duration = fill_default(F.coalesce(F.col("_card.duration"), duration_from_text(F.col("_text"))), fv.DEFAULT_DURATION)
     return kept.select(
         *keep,
         F.left(clean_text(name), F.lit(fv.NAME_LIMIT)).alias("hotel_name"),

@@ -172,6 +172,25 @@ def p10(spark, sf_dir):
     return _encoded(spark, sf_dir).select("seq", urls.departure_from_url(F.col("url")).alias("airport"))
 
 
+@query(
+    "p10_encoded_keys",
+    f"""WITH {q.EVENTS} SELECT seq, CASE WHEN departure_airport <> 'error' THEN departure_airport END AS airport,
+        CAST(observed_at AS DATE)::VARCHAR AS window_from FROM obs""",
+)
+def p10b(spark, sf_dir):
+    """Addresses whose keys are percent-encoded, in either case of letters."""
+    lower = F.col("seq") % 2 == 0
+    encoded = F.when(lower, F.replace(F.replace("url", F.lit("["), F.lit("%5b")), F.lit("]"), F.lit("%5d"))).otherwise(
+        F.replace(F.replace("url", F.lit("["), F.lit("%5B")), F.lit("]"), F.lit("%5D"))
+    )
+    obs = events_obs(spark, sf_dir).withColumn("url", encoded)
+    return obs.select(
+        "seq",
+        urls.departure_from_url(F.col("url")).alias("airport"),
+        urls.trip_window(F.col("url"))["start"].alias("window_from"),
+    )
+
+
 _CODES = list(fv.AIRPORT_NAMES)
 
 
@@ -529,6 +548,41 @@ def p27b(spark, sf_dir):
     return offers.select("o_orderkey", "hotel_name", "price")
 
 
+@query(
+    "p27_card_tiers",
+    f"""SELECT o_orderkey, 'Hotel ' || o_orderkey AS hotel_name,
+        CASE WHEN o_orderkey % 4 = 3 THEN 1000.0 + o_orderkey % 900 ELSE 500.0 + o_orderkey % 400 END::DOUBLE AS price,
+        CASE WHEN o_orderkey % 3 = 2 THEN '{fv.DEFAULT_DATES}' ELSE strftime(o_orderdate, '%d.%m.%Y') END AS dates,
+        CASE WHEN o_orderkey % 3 = 2 THEN '5 dni' ELSE (o_orderkey % 15 + 1) || ' nights' END AS duration FROM orders""",
+)
+def p27c(spark, sf_dir):
+    """Cards with an old price before the price, a subtitle before the name, and elements for dates and nights."""
+    key = F.col("o_orderkey")
+    number = lambda c: c.cast("string")
+    party = F.when(
+        key % 4 == 3,
+        F.concat(F.lit('<i class="old-price">'), number(1000 + key % 900), F.lit(" PLN za wszystkich</i>")),
+    ).otherwise(F.lit(""))
+    day = F.date_format("o_orderdate", "dd.MM.yyyy")
+    facts = F.when(
+        key % 3 == 2, F.lit('<p class="date">ocena 4.5</p><p class="info">pobyt 5 dni</p>')
+    ).otherwise(
+        F.concat(
+            F.lit('<p class="update">ocena 4.5/5</p><p data-date="x">'), day,
+            F.lit('</p><b class="stay-duration">'), number(key % 15 + 1), F.lit(" nights</b>"),
+        )
+    )
+    html = F.concat(
+        F.lit('<div class="card"><span class="price-old">999 PLN</span><u class="subtitle">5 gwiazdek</u><u class="name">Hotel '),
+        number(key), F.lit('</u><img class="price" src="x"><s class="cost">'), number(500 + key % 400),
+        F.lit(" PLN</s>"), party, facts, F.lit("</div>"),
+    )
+    # The image carries the class "price" and has no text, so the next class counts.
+    cards = table(spark, sf_dir, "orders").select("o_orderkey", html.alias("html"), F.lit("").alias("url"))
+    offers = parse_offers(cards, base_url=SEARCH, keep=("o_orderkey",))
+    return offers.select("o_orderkey", "hotel_name", "price", "dates", "duration")
+
+
 @query(
     "p28_default_fill",
     f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{fv.DEFAULT_DATES}' ELSE event_type END AS dates FROM events""",

@@ -1,6 +1,7 @@
 """Column functions on the awkward inputs."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def test_urls(apply):
         None,
     ]
     assert apply(urls.airport_from_url, raw) == ["Warszawa", "Все аэропорты", "Krakow%2CLodz", "Все аэропорты", "Все аэропорты"]
-    assert apply(urls.departure_from_url, raw) == ["Warszawa", None, "Krakow", None, None]
+    assert apply(urls.departure_from_url, raw) == ["Warszawa", None, "x", None, None]
     assert apply(urls.price_limit, raw) == [8100.0, 30000.0, None, None, None]
     assert apply(urls.destination_slug, raw) == ["grecja", "grecja", "", "egipt", ""]
     assert apply(urls.duration_range, raw)[0] == "6-15 дней"
@@ -147,3 +148,31 @@ def test_link_priority(apply):
     inner = ["<div>" + p + "</div>" for p in pages[:4]]
     got = apply(lambda c: markup.offer_link_from_markup(c, "https://o.example"), inner)
     assert [g.removeprefix("https://o.example") for g in got] == ["/img", "/con", "/wycieczka/1", "/Best-OFFER"]
+
+
+def _card(spark, html):
+    return spark.createDataFrame([(html,)], "html string").select(markup.card_texts(F.col("html")).alias("c")).first()["c"]
+
+
+def test_card_tiers(spark):
+    got = _card(
+        spark,
+        '<span class="price-old">999</span><span class="price">777</span><b class="subtitle">5 gwiazdek</b>'
+        '<b class="name">N</b><span class="date">20.09.2025</span><i data-nights="1">7 nocy</i>',
+    )
+    assert (got["name"], got["price"], got["dates"], got["duration"]) == ("N", "777", "20.09.2025", "7 nocy")
+    # A blank first element gives way to the next selector; a part of a class name comes last.
+    got = _card(spark, '<i class="price"> </i><i class="price">1</i><i class="value">2</i><p class="x-title">T</p>')
+    assert (got["name"], got["price"]) == ("T", "2")
+    got = _card(spark, '<i class="price">1</i><i class="price-view-2">2 PLN</i><i class="my-price">3 Za wszystkich</i>')
+    assert got["price"] == "3 Za wszystkich"
+    assert _card(spark, '<i class="price">1</i><i class="price-view-2">2 PLN</i>')["price"] == "2 PLN"
+    assert _card(spark, None)["name"] is None and _card(spark, "a < b > c <")["price"] is None
+
+
+def test_card_of_odd_shape(spark):
+    assert _card(spark, "<h1>" + " " * 20_000 + "Name</h1>")["name"] == "Name"
+    assert _card(spark, "<h1>" + "<b>" * 20_000 + "Name</h1>")["name"] == "Name"
+    started = time.time()
+    got = _card(spark, '<span class="price">9 PLN' * 8_000)
+    assert got["price"] == "9 PLN" and time.time() - started < 10
