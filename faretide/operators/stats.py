@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faretide.functions.money import (
-    hundredths,
+    exact,
     mean_of_sums,
     money_mean,
     pct_change,
@@ -76,7 +76,8 @@ def daily_distribution(obs: DataFrame, tz: str = "UTC") -> DataFrame:
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col("price") >= F.col("q1") - reach) & (F.col("price") <= F.col("q3") + reach)
     return (
-        attach(dated.filter(F.col("price").isNotNull()), boxes, keys)
+        dated.filter(F.col("price").isNotNull())
+        .join(boxes, keys, "left")
         .groupBy(*keys, "q1", "median_price", "q3")
         .agg(
             F.min(F.when(inside, F.col("price"))).alias("whisker_low"),
@@ -194,10 +195,10 @@ def kpi_rollup(obs: DataFrame) -> DataFrame:
 
     Days are summed first, so the rollup expands day rows and not observations.
     """
-    cents = hundredths(F.col("price"))
+    amount = exact(F.col("price"))
     days = obs.groupBy("dataset", obs_day(F.col("observed_at")).alias("day")).agg(
-        F.sum(cents).alias("_sum"),
-        F.count("price").alias("_n"),
+        F.sum(amount).alias("_sum"),
+        F.count(amount).alias("_n"),
         F.min("price").alias("_min"),
         F.max("price").alias("_max"),
     )

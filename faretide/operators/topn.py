@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
-from faretide.functions.money import arrow, hundredths, mean_of_sums, pct_change
+from faretide.functions.money import arrow, exact, mean_of_sums, pct_change
 from faretide.functions.timestamps import minute_text
 from faretide.operators.changes import run_series
 from faretide.operators.stats import latest
@@ -74,7 +74,7 @@ def index_of(members: DataFrame, n: int = fv.TOP_N) -> DataFrame:
     the n lowest prices, and those beyond all have the highest price.
     """
     spare = F.greatest(F.count(F.lit(1)) - n, F.lit(0))
-    total = F.sum(hundredths(F.col("price"))) - spare * hundredths(F.max("price"))
+    total = F.sum(exact(F.col("price"))) - spare.cast("decimal(9,0)") * exact(F.max("price"))
     runs = members.groupBy(*_RUN).agg(
         F.min("run_start").alias("run_start"),
         mean_of_sums(total, F.count(F.lit(1)) - spare).alias("avg_price"),

@@ -22,10 +22,16 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+# Columns that hold means or differences of means.
+MEANS = ("mean_price", "avg_price", "mean", "avg_change", "avg_change_pct")
+
+
 def plain(df: DataFrame) -> DataFrame:
-    """Instants as UTC wall-clock columns and days as text, the forms in which results are compared."""
+    """The forms in which results are compared: UTC wall-clock instants, days as text, means at six decimals."""
 
     def shown(field: T.StructField):
+        if field.name in MEANS and isinstance(field.dataType, T.DoubleType):
+            return F.round(F.round(field.name, 9), 6).alias(field.name)
         if isinstance(field.dataType, T.TimestampType):
             return F.col(field.name).cast("timestamp_ntz").alias(field.name)
         if isinstance(field.dataType, T.DateType):

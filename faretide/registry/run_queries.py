@@ -86,9 +86,13 @@ def w05(spark, sf_dir):
     return topn.top_members(_tagged(spark, sf_dir)).select(*_MEMBER.split(", "))
 
 
-@query("w06_shared_members", _W + _SHARED + f" SELECT {_MEMBER} FROM members")
+@query(
+    "w06_shared_members",
+    _W.replace("value AS price", "floor(value / 50) * 50 AS price") + _SHARED + f" SELECT {_MEMBER} FROM members",
+)
 def w06(spark, sf_dir):
-    rounded = _tagged(spark, sf_dir).withColumn("price", F.col("price"))
+    """Prices in steps of 50, so that positions are shared."""
+    rounded = _tagged(spark, sf_dir).withColumn("price", (F.floor(F.col("price") / 50) * 50).cast("double"))
     return topn.top_members(rounded, ties="shared").select(*_MEMBER.split(", "))
 
 
@@ -97,18 +101,18 @@ def w09(spark, sf_dir):
     return topn.top_members(_tagged(spark, sf_dir), correct_last=True).select(*_MEMBER.split(", "))
 
 
-_INDEX = f""", idx AS (SELECT run_id, min(run_start) AS run_start, {q.MEAN} AS avg_price, count(*) AS members FROM members GROUP BY 1)"""
+_INDEX = f""", idx AS (SELECT run_id, min(run_start) AS run_start, avg(price) AS avg_price, count(*) AS members FROM members GROUP BY 1)"""
 
 
-@query("a13_topn_index", _W + _STRICT + _INDEX + " SELECT * FROM idx")
+@query("a13_topn_index", _W + _STRICT + _INDEX + " SELECT * REPLACE (round(avg_price, 6) AS avg_price) FROM idx")
 def a13(spark, sf_dir):
     return topn.topn_index(_tagged(spark, sf_dir)).select("run_id", "run_start", "avg_price", "members")
 
 
 @query(
     "w07_index_change",
-    _W + _STRICT + _INDEX + """ SELECT run_id, avg_price, coalesce(avg_price - lag(avg_price) OVER w, 0.0) AS avg_change,
-        coalesce((avg_price - lag(avg_price) OVER w) / lag(avg_price) OVER w * 100, 0.0) AS avg_change_pct
+    _W + _STRICT + _INDEX + """ SELECT run_id, round(avg_price, 6) AS avg_price, round(coalesce(avg_price - lag(avg_price) OVER w, 0.0), 6) AS avg_change,
+        round(coalesce((avg_price - lag(avg_price) OVER w) / lag(avg_price) OVER w * 100, 0.0), 6) AS avg_change_pct
         FROM idx WINDOW w AS (ORDER BY run_id)""",
 )
 def w07(spark, sf_dir):
@@ -158,7 +162,7 @@ def m08(spark, sf_dir):
 
 @query(
     "m09_hover_records",
-    _W + _STRICT + _INDEX + _DIFF + _LISTS + """, ch AS (SELECT *, coalesce(avg_price - lag(avg_price) OVER (ORDER BY run_id), 0.0) AS avg_change FROM idx)
+    _W + _STRICT + _INDEX + _DIFF + _LISTS + """, ch AS (SELECT * REPLACE (round(avg_price, 6) AS avg_price), round(coalesce(avg_price - lag(avg_price) OVER (ORDER BY run_id), 0.0), 6) AS avg_change FROM idx)
       SELECT ch.run_id, '📊 ТОП-10 (' || strftime(run_start, '%Y-%m-%d %H:%M') || ')' AS title, avg_price,
         CASE WHEN avg_change > 0 THEN '↑' WHEN avg_change < 0 THEN '↓' END AS arrow,
         price_changes IS NULL AND new_hotels IS NULL AND removed_hotels IS NULL AND avg_change = 0 AS no_changes

@@ -45,9 +45,6 @@ ORDERS = f"""orders_obs AS (
          o_orderdate AS observed_at, CAST(o_orderdate AS DATE) AS obs_date, o_orderkey AS seq
   FROM orders)"""
 
-# Mean of money values, summed in whole hundredths.
-MEAN = "CAST(sum(CAST(round_even(price * 100, 0) AS BIGINT)) AS DOUBLE) / CAST(count(price) * 100 AS DOUBLE)"
-
 PCT = "CASE WHEN {old} > 0 THEN ({new} - {old}) / {old} * 100 ELSE 0.0 END"
 
 
@@ -80,3 +77,8 @@ run_price AS (
   SELECT dataset, run_id, hotel_name, min(run_start) AS run_start,
          arg_max(price, (observed_at, seq)) AS price
   FROM tagged GROUP BY dataset, run_id, hotel_name)"""
+
+
+# Sums of floats depend on their order, so means are cut to nine decimals before they are rounded half up to six.
+CLEAN_MEAN = "round(avg(price), 9)"
+MEAN = f"CAST({half_up(CLEAN_MEAN, 6)} AS DOUBLE)"

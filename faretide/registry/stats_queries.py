@@ -21,9 +21,27 @@ def a01(spark, sf_dir):
     return stats.kpis(events_obs(spark, sf_dir))
 
 
-@query("a01_approx_kpis")
+@query(
+    "a01_approx_kpis",
+    _L + f"""SELECT dataset, count(*) AS offers, true AS near, {q.MEAN} AS mean_price, min(price) AS min_price,
+        max(price) AS max_price FROM line_obs GROUP BY 1""",
+)
 def a01b(spark, sf_dir):
-    return stats.approx_kpis(lineitem_obs(spark, sf_dir))
+    """The sketched number of items must be within 5 % of the exact one."""
+    obs = lineitem_obs(spark, sf_dir)
+    both = stats.approx_kpis(obs).join(stats.kpis(obs).select("dataset", F.col("hotels").alias("exact")), "dataset")
+    near = F.abs(F.col("hotels") - F.col("exact")) <= 0.05 * F.col("exact")
+    return both.select("dataset", "offers", near.alias("near"), "mean_price", "min_price", "max_price")
+
+
+@query(
+    "a01_fractional_prices",
+    _W + f"""SELECT dataset, count(*) AS offers, count(DISTINCT hotel_name) AS hotels, CAST({q.half_up('round(avg(price / 7), 9)', 6)} AS DOUBLE) AS mean_price,
+        min(price / 7) AS min_price, max(price / 7) AS max_price FROM obs GROUP BY 1""",
+)
+def a01c(spark, sf_dir):
+    """Prices with more than two decimals."""
+    return stats.kpis(events_obs(spark, sf_dir).withColumn("price", F.col("price") / 7))
 
 
 @query(
@@ -51,12 +69,12 @@ def a03(spark, sf_dir):
 
 @query(
     "a04_daily_rounded",
-    _L + f"""SELECT obs_date::VARCHAR AS day, CAST({q.half_up(q.MEAN, 2)} AS DOUBLE) AS mean_price, min(price) AS min_price,
+    _L + f"""SELECT obs_date::VARCHAR AS day, CAST({q.half_up(q.CLEAN_MEAN, 2)} AS DOUBLE) AS mean_price, min(price) AS min_price,
         max(price) AS max_price, count(*) AS offers FROM line_obs GROUP BY 1""",
 )
 def a04(spark, sf_dir):
     return stats.daily_stats(lineitem_obs(spark, sf_dir)).select(
-        "day", money.rounded(F.col("mean_price"), 2).alias("mean_price"), "min_price", "max_price", "offers"
+        "day", money.rounded(F.round("mean_price", 9), 2).alias("mean_price"), "min_price", "max_price", "offers"
     )
 
 
