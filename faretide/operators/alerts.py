@@ -15,14 +15,17 @@ from faretide.schema import KEY, ORDER
 
 
 def new_alerts(candidates: DataFrame, history: DataFrame) -> DataFrame:
-    """Candidates whose key is not in the history, each key once.
+    """Candidates whose key is not in the history, each key once: its first candidate by time, then by prices.
 
     Rows without a key are never taken for known ones. Keys are near unique,
     so both the anti join and the deduplication spread evenly.
     """
     known = history.select("unique_key").filter(F.col("unique_key").isNotNull()).distinct()
     fresh = candidates.join(known, "unique_key", "left_anti").select(*candidates.columns)
-    keyed = fresh.filter(F.col("unique_key").isNotNull()).dropDuplicates(["unique_key"])
+    order = [c for c in ("changed_at", "old_price", "new_price") if c in fresh.columns]
+    order += [c for c in fresh.columns if c not in order]
+    firsts = fresh.filter(F.col("unique_key").isNotNull()).groupBy("unique_key").agg(F.min(F.struct(*order)).alias("_first"))
+    keyed = firsts.select("_first.*").select(*fresh.columns)
     return keyed.unionByName(fresh.filter(F.col("unique_key").isNull()))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faretide import fixed_values as fv
 from faretide.functions.money import change_class
 from faretide.functions.text import contains_term
-from faretide.plans.shape import attach, pin
+from faretide.plans.shape import pin
 from faretide.schema import KEY
 
 
@@ -56,7 +56,7 @@ def increases(df: DataFrame) -> DataFrame:
 def min_observations(obs: DataFrame, n: int = 2) -> DataFrame:
     """Rows of items seen at least ``n`` times."""
     seen = obs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
-    return attach(obs, seen.select(*KEY), KEY, "left_semi")
+    return obs.join(seen.select(*KEY), KEY, "left_semi")
 
 
 def newest_per_dataset(obs: DataFrame) -> DataFrame:
@@ -106,8 +106,8 @@ def by_change_class(df: DataFrame, change: str, change_col: str = "delta") -> Da
 
 
 def keep_items(df: DataFrame, items: DataFrame, on: Sequence[str] = ("hotel_name",)) -> DataFrame:
-    return attach(df, items.select(*on).distinct(), on, "left_semi")
+    return df.join(items.select(*on).distinct(), list(on), "left_semi")
 
 
 def drop_items(df: DataFrame, items: DataFrame, on: Sequence[str] = ("hotel_name",)) -> DataFrame:
-    return attach(df, items.select(*on).distinct(), on, "left_anti")
+    return df.join(items.select(*on).distinct(), list(on), "left_anti")

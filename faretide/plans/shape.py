@@ -149,17 +149,3 @@ def running_total(
         joined = joined.withColumn(name, F.col(name) + F.col("_offset"))
         out = out.unionByName(joined.select(*out.columns))
     return out.drop("_value")
-
-
-def series_parts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = SERIES_ROWS
-) -> DataFrame:
-    """Add ``part``: 0 for an ordinary key, ascending blocks for a heavy one.
-
-    A (key, part) group is always small enough to be collected into arrays.
-    """
-    light, heavy = split_heavy(df, keys, order, max_rows)
-    out = light.withColumn("part", F.lit(0))
-    if heavy is not None:
-        out = out.unionByName(heavy.withColumnRenamed("_block", "part"))
-    return out

@@ -40,12 +40,24 @@ def s01(spark, sf_dir):
     return source.read_observations(spark, path, "events").select(*_FIELDS)
 
 
-@query("s02_sequence_numbers", "SELECT count(*) AS offers, count(*) AS numbers FROM events")
+@query(
+    "s02_sequence_numbers",
+    "SELECT 1000 + row_number() OVER (ORDER BY CASE WHEN event_id < 20 THEN 0 ELSE 1 END, event_id) - 1 AS seq, value AS price FROM events",
+)
 def s02(spark, sf_dir):
+    """Numbers follow path, block and line over files of unlike size, the smallest first, and go on after a table."""
     path = scratch_path(spark, "csv")
-    source.export_csv(events_obs(spark, sf_dir), path)
-    read = source.read_observations(spark, path, "events", seq_start=1000)
-    return read.agg(F.count(F.lit(1)).alias("offers"), F.count_distinct("seq").alias("numbers"))
+    obs = events_obs(spark, sf_dir)
+    in_order = lambda df: df.orderBy("seq").coalesce(1)
+    source.export_csv(in_order(obs.filter("seq < 20")), f"{path}/a")
+    source.export_csv(in_order(obs.filter("seq >= 20")), f"{path}/b")
+    first = source.read_observations(spark, f"{path}/a", "events", seq_start=1000)
+    both = source.read_observations(spark, [f"{path}/b", f"{path}/a"], "events", seq_start=1000)
+    # The second file's numbers are also those of a later read that goes on where a table ends.
+    source.append_observations(first, f"{path}/table")
+    later = source.read_observations(spark, f"{path}/b", "events", seq_start=source.next_seq(spark, f"{path}/table"))
+    table = source.read_table(spark, f"{path}/table").select("seq", "price")
+    return both.select("seq", "price").intersectAll(table.unionAll(later.select("seq", "price")))
 
 
 @query(
@@ -62,6 +74,20 @@ def s03(spark, sf_dir):
     return read.select("hotel_name", "price", "dates", "departure_airport", "observed_at")
 
 
+@query(
+    "s03_mixed_folder",
+    _W + """SELECT hotel_name, price, CASE WHEN seq % 2 = 0 THEN dates END AS dates, CASE WHEN seq % 2 = 0 THEN departure_airport END AS departure_airport, observed_at FROM obs""",
+)
+def s03c(spark, sf_dir):
+    """Files with old and new headers in one folder."""
+    obs, path = events_obs(spark, sf_dir), scratch_path(spark, "csv")
+    source.export_csv(obs.filter(F.col("seq") % 2 == 0), path)
+    older = obs.filter(F.col("seq") % 2 == 1).select("scraped_at", F.col("price").cast("string").alias("price"), "hotel_name")
+    older.write.mode("append").option("header", True).option("quoteAll", True).csv(path)
+    read = source.read_observations(spark, path, "events")
+    return read.select("hotel_name", "price", "dates", "departure_airport", "observed_at")
+
+
 @query(
     "s03_trip_facts",
     _W + """SELECT seq, obs_date::VARCHAR AS trip_start, (observed_at + INTERVAL 7 DAY)::DATE::VARCHAR AS trip_end,
@@ -183,13 +209,16 @@ def s12(spark, sf_dir):
 
 @query(
     "s12_price_series_parts",
-    """SELECT event_type AS slug, strftime(ts, '%Y-%m-%d %H:%M') AS x, value AS y FROM events""",
+    """SELECT event_type AS slug, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position,
+      strftime(ts, '%Y-%m-%d %H:%M') AS x, value AS y FROM events""",
 )
 def s12b(spark, sf_dir):
-    """Every point once, when all rows of one event type are one item's and come in parts."""
+    """Every point in its place, when all rows of one event type are one item's and come in parts."""
     hot = events_obs(spark, sf_dir).withColumn("hotel_name", F.col("departure_airport"))
     series = price_series(hot, max_points=1500)
-    return series.select("slug", F.inline(F.arrays_zip("x", "y")))
+    # Parts in order, and points in order within them, give back the whole series.
+    points = series.select("slug", "part", F.posexplode(F.arrays_zip("x", "y")).alias("at", "p"))
+    return points.select("slug", (F.col("part") * 1500 + F.col("at") + 1).cast("long").alias("position"), "p.x", "p.y")
 
 
 @query(

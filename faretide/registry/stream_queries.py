@@ -10,7 +10,7 @@ from faretide.schema import OBSERVATION
 from faretide.session import scratch_path
 from faretide.sources.observations import export_csv, read_table
 from faretide.streaming import windows
-from faretide.streaming.alerts import alert_stream, append_new_alerts, emit_once, pair_stream
+from faretide.streaming.alerts import alert_stream, append_new_alerts, emit_once, pair_stream, repaired_alerts
 from faretide.streaming.core import result_of
 from faretide.streaming.ingest import ingest_files, ingest_stream
 
@@ -35,11 +35,33 @@ def t01b(spark, sf_dir):
     return read.select("hotel_name", "price", "observed_at", "obs_date")
 
 
+@query("t01_older_files", _W + " SELECT hotel_name, price, CASE WHEN seq % 2 = 0 THEN dates END AS dates, observed_at FROM obs")
+def t01c(spark, sf_dir):
+    """Files with old and new headers in one folder; a line with a surplus field is left out."""
+    root, obs = scratch_path(spark, "ingest"), events_obs(spark, sf_dir)
+    export_csv(obs.filter(F.col("seq") % 2 == 0), f"{root}/in")
+    older = obs.filter(F.col("seq") % 2 == 1).select("scraped_at", F.col("price").cast("string").alias("price"), "hotel_name")
+    older.write.mode("append").option("header", True).option("quoteAll", True).csv(f"{root}/in")
+    surplus = spark.range(1).select(F.lit('"scraped_at","price","hotel_name"\n"2025-01-01","1","x","more"').alias("value"))
+    surplus.write.mode("append").text(f"{root}/in")
+    ingest_files(spark, f"{root}/in", f"{root}/out", f"{root}/state", "events")
+    return read_table(spark, f"{root}/out").select("hotel_name", "price", "dates", "observed_at")
+
+
 @query("t02_alert_stream", CONSECUTIVE)
 def t02(spark, sf_dir):
     return result_of(spark, alert_stream(events_stream(spark, sf_dir)), "alerts").select(*_COLUMNS)
 
 
+@query("t02_repaired_alerts", CONSECUTIVE)
+def t02b(spark, sf_dir):
+    """Alerts of a stream that lacks a ninth of the rows, put right when these come late."""
+    obs = shape_events(table(spark, sf_dir, "events"))
+    late = F.col("seq") % 9 == 0
+    early = result_of(spark, alert_stream(events_stream(spark, sf_dir).filter(~late)), "alerts")
+    return repaired_alerts(early, obs, obs.filter(late)).select(*_COLUMNS)
+
+
 @query("t03_emit_once", "SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
 def t03(spark, sf_dir):
     """One row per user and event type, however many events there are."""

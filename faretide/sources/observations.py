@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,34 +19,47 @@ from faretide.functions.urls import airport_name, departure_from_url
 from faretide.schema import OBSERVATION
 
 _OVERFLOW = "_overflow"
+_FILE, _BLOCK, _ROW = "_file", "_block", "_row"
 
 
 def empty_observations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], OBSERVATION)
 
 
-def _header(spark: SparkSession, path: str) -> list[str] | None:
-    """Column names in the first line under ``path``; None when missing or empty."""
-    try:
-        lines = spark.read.text(path).filter(F.col("_metadata.file_block_start") == 0)
-        first = lines.first()
-    except AnalysisException:
-        return None
-    if first is None:
-        return None
-    parsed = spark.range(1).select(
-        F.from_csv(
-            F.lit(first["value"]),
-            F.lit(", ".join(f"c{i} string" for i in range(first["value"].count(",") + 1))),
-        ).alias("h")
-    )
-    return [name.strip() for name in parsed.first()["h"] if name is not None]
+def _names(line: str) -> list[str]:
+    """Column names of a header line."""
+    return [name.strip() for name in next(csv.reader([line])) if name.strip()]
+
+
+def _first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    starts = lines.filter("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
+    return starts.groupBy("file_path").agg(F.min_by("value", "at").alias("line")).orderBy("file_path")
 
 
-def _read_one(spark: SparkSession, path: str, multiline: bool) -> DataFrame | None:
-    header = _header(spark, path)
-    if not header:
-        return None
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Files under ``paths`` by their first line; missing and empty ones are left out.
+
+    One row per file reaches the driver, as in any listing of files.
+    """
+    try:
+        rows = _first_lines(spark, paths).collect() if paths else []
+    except AnalysisException:
+        if len(paths) == 1:
+            return {}
+        found = {}
+        for path in paths:
+            for line, files in _headers(spark, [path]).items():
+                found.setdefault(line, []).extend(f for f in files if f not in found.get(line, []))
+        return found
+    found: dict[str, list[str]] = {}
+    for r in rows:
+        found.setdefault(r["line"].lstrip("\ufeff"), []).append(unquote(r["file_path"]))
+    return found
+
+
+def _read_group(spark: SparkSession, header: list[str], files: list[str], multiline: bool) -> DataFrame:
+    """Files with one header."""
     fields = [T.StructField(name, T.StringType()) for name in [*header, _OVERFLOW]]
     raw = (
         spark.read.schema(T.StructType(fields))
@@ -53,11 +68,25 @@ def _read_one(spark: SparkSession, path: str, multiline: bool) -> DataFrame | No
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("multiLine", multiline)
-        .csv(path)
+        .csv(files)
     )
     known = [c for c in [*fv.OBSERVATION_COLUMNS, fv.OPTIONAL_AIRPORT_COLUMN] if c in header]
     # A row with a surplus field is malformed and skipped; a short row is padded with nulls.
-    return raw.filter(F.col(_OVERFLOW).isNull()).select(*known)
+    return raw.filter(F.col(_OVERFLOW).isNull()).select(
+        *known,
+        F.col("_metadata.file_path").alias(_FILE),
+        F.col("_metadata.file_block_start").alias(_BLOCK),
+        F.monotonically_increasing_id().alias(_ROW),
+    )
+
+
+def _numbered(raw: DataFrame, seq_start: int) -> DataFrame:
+    """Add ``seq`` by file path, block and line. Only one row per file block is ordered."""
+    blocks = raw.groupBy(_FILE, _BLOCK).agg(F.min(_ROW).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(_FILE, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(_FILE, _BLOCK, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    seq = F.col("_before") + F.col(_ROW) - F.col("_first") + F.lit(seq_start)
+    return raw.join(starts, [_FILE, _BLOCK]).withColumn("seq", seq).drop(_FILE, _BLOCK, _ROW, "_first", "_before")
 
 
 def read_observations(
@@ -70,28 +99,40 @@ def read_observations(
 ) -> DataFrame:
     """Observation CSVs as the canonical table.
 
-    Columns are matched by the header of each path, so older files with fewer
-    or reordered columns can be read together; columns a file lacks become
-    empty text. Rows without a valid time are dropped. ``seq`` follows file
-    order and is kept by ``append_observations``; a path that does not exist
+    Columns are matched by the header of each file, so older files with fewer
+    or reordered columns can stand in the same folder; columns that all files lack become
+    empty text. Rows without a valid time are dropped. ``seq`` counts from ``seq_start`` by file path and
+    line (see ``next_seq``) and is kept by ``append_observations``; a path that does not exist
     or holds nothing contributes no rows. ``multiline`` allows line breaks in
     quoted fields, at the price of one task per file.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    parts = [part for p in paths if (part := _read_one(spark, p, multiline)) is not None]
+    groups = _headers(spark, paths)
+    parts = [_read_group(spark, _names(line), files, multiline) for line, files in groups.items() if _names(line)]
     if not parts:
         return empty_observations(spark)
     raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return canonical(raw, dataset, naive_tz, seq_start)
+    return canonical(_numbered(raw, seq_start), dataset, naive_tz, seq_start)
+
+
+def next_seq(spark: SparkSession, path: str) -> int:
+    """The number after the greatest ``seq`` of a table: where the next read continues."""
+    try:
+        greatest = spark.read.parquet(path).agg(F.max("seq").alias("seq")).first()["seq"]
+    except AnalysisException:
+        return 0
+    return 0 if greatest is None else greatest + 1
 
 
 def canonical(raw: DataFrame, dataset: str, naive_tz: str = "UTC", seq_start: int = 0) -> DataFrame:
-    """Text columns by name to the canonical observation table."""
+    """Text columns by name to the canonical observation table; rows without ``seq`` get increasing numbers."""
     lacking = [c for c in fv.OBSERVATION_COLUMNS if c not in raw.columns]
     text = raw.select("*", *[F.lit("").alias(c) for c in lacking])
     if fv.OPTIONAL_AIRPORT_COLUMN not in raw.columns:
         text = text.withColumn(fv.OPTIONAL_AIRPORT_COLUMN, F.lit(None).cast("string"))
-    numbered = text.withColumn("seq", F.monotonically_increasing_id() + F.lit(seq_start))
+    numbered = text
+    if "seq" not in raw.columns:
+        numbered = text.withColumn("seq", F.monotonically_increasing_id() + F.lit(seq_start))
     instant = normalize_ts(F.col("scraped_at"), naive_tz)
     return (
         numbered.withColumn("observed_at", instant)

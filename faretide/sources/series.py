@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from faretide.functions.text import slugify
 from faretide.functions.timestamps import minute_text
-from faretide.plans.shape import SERIES_ROWS, series_parts
+from faretide.plans.shape import running_total
 from faretide.schema import KEY, ORDER
 
 
-def price_series(obs: DataFrame, tz: str = "UTC", max_points: int = SERIES_ROWS // 10) -> DataFrame:
-    """Ordered ``x`` (local minute) and ``y`` (price) arrays of each item.
+# Points of one row.
+PART_POINTS = 100_000
 
-    An item with more than ``max_points`` points is given in several rows,
-    ``part`` ascending, so that no row or task holds an unbounded series.
+
+def price_series(obs: DataFrame, tz: str = "UTC", max_points: int = PART_POINTS) -> DataFrame:
+    """Ordered ``x`` (local minute) and ``y`` (price) arrays of each item, in parts of ``max_points`` points.
+
+    Part k holds the points from number k * ``max_points`` on, so parts count from 0, follow each other in
+    order, and are the same in every run; no row or task holds an unbounded series.
     """
-    parts = series_parts(obs.select(*KEY, "price", *ORDER), KEY, ORDER, max_points)
+    placed = running_total(obs.select(*KEY, "price", *ORDER), F.lit(1), KEY, ORDER, "_position")
+    parts = placed.withColumn("part", F.floor((F.col("_position") - 1) / max_points).cast("int"))
     points = F.array_sort(F.collect_list(F.struct(*ORDER, "price")))
     return (
         parts.groupBy(*KEY, "part")

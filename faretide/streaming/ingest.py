@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from faretide import fixed_values as fv
-from faretide.sources.observations import canonical
+from faretide.sources.observations import read_observations
 from faretide.streaming.core import write_available
 
-# Sequence numbers of one micro-batch: 2^10 partitions of 2^33 rows each.
+# Sequence numbers of one micro-batch.
 _BATCH_STRIDE = 1 << 43
-_BATCH_PARTITIONS = 1 << 10
 
 
 def ingest_files(
@@ -24,26 +21,22 @@ def ingest_files(
     checkpoint: str,
     dataset: str,
     naive_tz: str = "UTC",
-    columns: Sequence[str] = tuple(fv.OBSERVATION_COLUMNS),
     max_files_per_trigger: int | None = None,
 ) -> None:
     """Append all new CSV files under ``source`` to the observation table at ``path``.
 
-    A batch is written under its own ``ingest_batch`` folder and overwrites
-    only that folder, so a batch repeated after a failure leaves no duplicates.
+    Each file is read by its own header, as ``read_observations`` does, so older files and lines with
+    surplus fields are treated alike in both. A batch is written under its own ``ingest_batch``
+    folder and overwrites only that folder, so a batch repeated after a failure leaves no duplicates.
     """
-    reader = (
-        spark.readStream.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-        .option("header", True)
-        .option("escape", '"')
-    )
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        rows = canonical(
-            batch.coalesce(_BATCH_PARTITIONS), dataset, naive_tz, seq_start=batch_id * _BATCH_STRIDE
-        )
+        # One name per new file; the batch always holds whole files.
+        files = sorted(unquote(r["file_path"]) for r in batch.distinct().collect())
+        rows = read_observations(spark, files, dataset, naive_tz, seq_start=batch_id * _BATCH_STRIDE)
         (
             rows.withColumn("ingest_batch", F.lit(batch_id))
             .write.mode("overwrite")
@@ -53,7 +46,8 @@ def ingest_files(
         )
 
     query = (
-        reader.csv(source)
+        reader.text(source)
+        .select("_metadata.file_path")
         .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
-from faretide.functions.money import money_mean
+from faretide.functions.money import exact, mean_of_sums, money_mean
 from faretide.operators.stats import daily_stats
 from faretide.plans.shape import attach
 from faretide.sources.observations import read_table
@@ -37,14 +37,41 @@ def _flat(df: DataFrame, *keys: str) -> DataFrame:
 def stats_stream(
     stream: DataFrame, width: str = "1 day", slide: str | None = None, delay: str = "1 hour"
 ) -> DataFrame:
-    """Price statistics per tumbling or sliding window of every dataset."""
-    window = F.window("observed_at", width, slide) if slide else F.window("observed_at", width)
-    grouped = watermarked(stream, delay).groupBy("dataset", window.alias("window"))
-    return _flat(grouped.agg(*_measures()), "dataset")
+    """Price statistics per tumbling or sliding window of every dataset.
+
+    Sliding windows are put together from panes of one slide each, so a row enters one pane and not
+    every window it falls in. The width is a multiple of the slide.
+    """
+    price = exact(F.col("price"))
+    panes = (
+        watermarked(stream, delay)
+        .groupBy("dataset", F.window("observed_at", slide or width).alias("window"))
+        .agg(
+            F.count(F.lit(1)).alias("offers"),
+            F.sum(price).alias("_sum"),
+            F.count(price).alias("_n"),
+            F.min("price").alias("min_price"),
+            F.max("price").alias("max_price"),
+        )
+    )
+    if slide:
+        panes = panes.groupBy("dataset", F.window(F.col("window"), width, slide).alias("window")).agg(
+            F.sum("offers").alias("offers"),
+            F.sum("_sum").alias("_sum"),
+            F.sum("_n").alias("_n"),
+            F.min("min_price").alias("min_price"),
+            F.max("max_price").alias("max_price"),
+        )
+    return _flat(panes.withColumn("mean_price", mean_of_sums(F.col("_sum"), F.col("_n"))), "dataset")
 
 
 def session_stream(stream: DataFrame, gap: str = fv.RUN_GAP, delay: str = "1 hour") -> DataFrame:
-    """Runs as session windows; the window ends one gap after the last row."""
+    """Runs as session windows; the window ends one gap after the last row.
+
+    Each task merges the sessions of its own rows before the shuffle, so a dataset with most of the rows sends
+    its sessions and not its rows to the task that joins them.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     grouped = watermarked(stream, delay).groupBy(
         "dataset", F.session_window("observed_at", gap).alias("window")
     )
@@ -52,15 +79,25 @@ def session_stream(stream: DataFrame, gap: str = fv.RUN_GAP, delay: str = "1 hou
 
 
 def change_window_stream(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First and last price of every item per 24-hour window sliding by the hour."""
+    """First and last price of every item per 24-hour window sliding by the hour, from hourly panes."""
     order = F.struct("observed_at", "seq")
-    grouped = watermarked(stream, delay).groupBy(
-        "dataset", "hotel_name", F.window("observed_at", "24 hours", "1 hour").alias("window")
+    panes = (
+        watermarked(stream, delay)
+        .groupBy("dataset", "hotel_name", F.window("observed_at", "1 hour").alias("window"))
+        .agg(
+            F.min_by("price", order).alias("first_price"),
+            F.max_by("price", order).alias("last_price"),
+            F.min("observed_at").alias("first_at"),
+            F.max("observed_at").alias("last_at"),
+            F.count(F.lit(1)).alias("offers"),
+        )
     )
-    ends = grouped.agg(
-        F.min_by("price", order).alias("first_price"),
-        F.max_by("price", order).alias("last_price"),
-        F.count(F.lit(1)).alias("offers"),
+    ends = panes.groupBy(
+        "dataset", "hotel_name", F.window(F.col("window"), "24 hours", "1 hour").alias("window")
+    ).agg(
+        F.min_by("first_price", "first_at").alias("first_price"),
+        F.max_by("last_price", "last_at").alias("last_price"),
+        F.sum("offers").alias("offers"),
     )
     return ends.select(
         "dataset",
