@@ -34,11 +34,26 @@ def shingles(tokens: Column, length: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, length), " "))
 
 
+def hashes(tokens: Column, length: int) -> Column:
+    """Hashes of the same runs, from the hashes of their words; ``tokens`` is a column, so words are hashed once."""
+    last = F.size(tokens) - length
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(
+        F.array(F.transform(tokens, lambda w: F.xxhash64(w))),
+        lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(length)])),
+    )
+    return F.get(runs, F.lit(0))
+
+
 def item_sketches(items: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, sketch: int = SKETCH) -> DataFrame:
     """``partition, need, item_id, hash``: sketch rows; ``need`` is how many shingles a document must have."""
     n = F.size("grams")
     sized = items.select(
-        "item_id", n.alias("n"), F.array_sort(F.transform("grams", lambda g: F.xxhash64(g))).alias("hashes")
+        "item_id",
+        n.alias("n"),
+        F.array_sort(
+            F.transform("grams", lambda g: F.xxhash64(*[F.xxhash64(F.get(F.split(g, " "), F.lit(k))) for k in range(shingle)]))
+        ).alias("hashes"),
     )
     # A partition holds the sizes between two powers of two.
     bound = F.floor(F.log2("n"))
@@ -64,7 +79,8 @@ def contaminated(
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
         .filter("item_id is not null")
-        .select("item_id", F.explode(shingles(words(F.col("text")), shingle)).alias("gram"))
+        .select("item_id", words(F.col("text")).alias("tokens"))
+        .select("item_id", F.explode(shingles(F.col("tokens"), shingle)).alias("gram"))
         .groupBy("item_id")
         .agg(F.collect_set("gram").alias("grams"))
     )
@@ -78,7 +94,7 @@ def contaminated(
     probes = tokens.select(
         "doc_id",
         (F.size("tokens") - (shingle - 1)).alias("most"),
-        F.explode(F.transform(shingles(F.col("tokens"), shingle), lambda g: F.xxhash64(g))).alias("hash"),
+        F.explode(hashes(F.col("tokens"), shingle)).alias("hash"),
     )
     candidates = (
         probes.join(sketches, "hash").filter("most >= need").select("doc_id", "item_id").distinct()
@@ -87,7 +103,8 @@ def contaminated(
     grams = (
         texts.hint("merge")
         .join(candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids")), "doc_id")
-        .select("doc_id", "item_ids", F.array_distinct(shingles(words(F.col("text")), shingle)).alias("held"))
+        .select("doc_id", "item_ids", words(F.col("text")).alias("tokens"))
+        .select("doc_id", "item_ids", F.array_distinct(shingles(F.col("tokens"), shingle)).alias("held"))
     )
     pairs = grams.select("doc_id", "held", F.explode("item_ids").alias("item_id")).join(items, "item_id")
     shared = pairs.select(
