@@ -13,6 +13,7 @@ from faretide.functions.text import first_filled, normalize_dates, normalize_tex
 from faretide.functions.urls import airport_name, departure_from_url, destination_slug, link_or
 from faretide.operators.filters import under_cap
 from faretide.operators.ranking import first_by
+from faretide.schema import KEY
 
 ITEM = ("hotel_name",)
 
@@ -197,9 +198,13 @@ def same_destination_and_dates(other: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def alternatives_for_items(items: DataFrame, alternatives: DataFrame) -> DataFrame:
-    """Items with their cheaper alternative, kept only if it beats the item's latest price."""
+    """Items with their cheaper alternative, kept only if it beats the item's latest price.
+
+    Items of several datasets match within their own where both sides tell it.
+    """
+    keys = [c for c in KEY if c in items.columns and c in alternatives.columns]
     alt = alternatives.select(
-        "hotel_name",
+        *keys,
         F.col("best_other_price").alias("_alt"),
         F.coalesce(
             airport_name(departure_from_url(F.col("best_offer_url"))), F.lit(fv.OTHER_AIRPORTS)
@@ -208,7 +213,7 @@ def alternatives_for_items(items: DataFrame, alternatives: DataFrame) -> DataFra
     )
     better = F.col("_alt") < F.col("price")
     price, found = F.col("price"), F.col("_alt")
-    return items.join(alt, "hotel_name", "left").select(
+    return items.join(alt, keys, "left").select(
         *items.columns,
         F.when(better, found).alias("alt_price"),
         F.when(better, F.col("_airport")).alias("alt_airport"),

@@ -47,11 +47,12 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 
 
 def sort_by(df: DataFrame, column: str, desc: bool = False, tie: Sequence[str] = ("hotel_name",)) -> DataFrame:
-    """Whole ordering by a column of the table, nulls last."""
+    """Whole ordering by a column of the table, nulls last; ``tie`` decides, and the dataset where there is one."""
     if column not in df.columns:
         raise ValueError(f"cannot sort by {column!r}")
     lead = F.desc_nulls_last(column) if desc else F.asc_nulls_last(column)
-    return df.orderBy(lead, *tie)
+    last = [c for c in ("dataset",) if c in df.columns and c not in tie]
+    return df.orderBy(lead, *tie, *last)
 
 
 def page(df: DataFrame, number: int = 1, size: int = fv.PAGE_SIZE) -> DataFrame:

@@ -16,6 +16,7 @@ from faretide import fixed_values as fv
 from faretide.functions.text import first_filled, nights_range, trip_dates
 from faretide.functions.timestamps import normalize_ts, obs_day
 from faretide.functions.urls import airport_name, departure_from_url
+from faretide.plans.shape import pin
 from faretide.schema import OBSERVATION
 
 _OVERFLOW = "_overflow"
@@ -203,9 +204,12 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def retain(obs: DataFrame, days: int = fv.RETENTION_DAYS) -> DataFrame:
-    """Observations of the last ``days`` days, counted back from the newest day."""
-    newest = obs.agg(F.max("obs_date").alias("newest")).scalar()
-    return obs.filter(F.col("obs_date") >= F.date_sub(newest, days))
+    """Observations of the last ``days`` days of every dataset, counted back from its newest day."""
+    newest = pin(obs.groupBy("dataset").agg(F.max("obs_date").alias("_newest")))
+    # The earliest edge of all prunes partitions, the edge of each dataset decides.
+    earliest = newest.agg(F.date_sub(F.min("_newest"), days)).scalar()
+    kept = obs.filter(F.col("obs_date") >= earliest).join(newest, "dataset")
+    return kept.filter(F.col("obs_date") >= F.date_sub("_newest", days)).select(*obs.columns)
 
 
 def union_datasets(datasets: Mapping[str, DataFrame]) -> DataFrame:
