@@ -330,7 +330,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without archives
+            return
         where, _ = fs.FileSystem.from_uri(self._path)
         kinds = pa.schema([(n, pa.binary() if n == "payload" else pa.int64() if n in ("page_id", "payload_bytes", "refers_to") else pa.string()) for n in self._names])
         rows, size = [], 0
