@@ -72,3 +72,14 @@ def test_counts_and_top(spark):
     df = spark.createDataFrame(rows, "dataset string, unique_key string, hotel_name string, price_change double")
     assert tuple(alerts.alert_counts(df).first())[1:] == (5, 2, 2)
     assert as_set(alerts.top_alerts(df, 1), "side", "price_change") == [("drop", -3.0), ("increase", 5.0)]
+
+
+def test_first_of_equal_keys_stays(spark):
+    from faretide.operators.alerts import new_alerts
+
+    rows = [("k", at("2025-01-02T00:00:00"), 1.0, 5.0), ("k", at("2025-01-01T00:00:00"), 2.0, 9.0), (None, None, 3.0, 3.0)]
+    found = new_alerts(
+        spark.createDataFrame(rows, "unique_key string, changed_at timestamp, old_price double, new_price double"),
+        spark.createDataFrame([], "unique_key string"),
+    )
+    assert sorted((r["unique_key"] or "", r["old_price"]) for r in found.collect()) == [("", 3.0), ("k", 2.0)]

@@ -139,3 +139,12 @@ def test_item_table_without_history(make_obs):
     row = rows.first()
     assert (row["slug"], row["price_text"], row["delta_text"], row["since_text"]) == ("1", "5 PLN", "—", "→ 0.0%")
     assert (row["dates"], row["airport"]) == ("20-09-2025 - 04-10-2025", "Варшава")
+
+
+def test_means_of_any_price(make_obs):
+    """More than two decimals count in full; NaN is a missing price."""
+    from faretide.operators import stats
+
+    obs = make_obs([{"price": 10.004}, {"price": 10.004}, {"price": float("nan")}, {"price": None}])
+    assert stats.kpis(obs).first()["mean_price"] == 10.004
+    assert stats.daily_stats(obs).first()["mean_price"] == 10.004

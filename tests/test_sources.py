@@ -151,3 +151,29 @@ def test_optional_airport_column(spark, tmp_path):
     assert (facts["a"]["airport"], facts["b"]["airport"]) == ("Lodz", "Краков")
     assert (str(facts["a"]["trip_end"]), facts["a"]["nights_min"], facts["a"]["nights_max"]) == ("2025-01-08", 6, 15)
     assert (facts["b"]["trip_start"], facts["b"]["nights_min"]) == (None, None)
+
+
+def test_mixed_headers_and_order_in_one_folder(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a first.csv").write_text(HEADER + "\n" + line("small") + "\n")
+    many = "\n".join(line(f"n{i}", extra=["surplus"] if i == 3 else ()) for i in range(50))
+    (folder / "b_second.csv").write_text(HEADER + "\n" + many + "\n")
+    (folder / "c_old.csv").write_text('"scraped_at","price","hotel_name"\n"2025-01-01T00:00:00","5","old"\n')
+    read = observations.read_observations(spark, str(folder), "d", seq_start=7)
+    got = [(r["seq"], r["hotel_name"]) for r in read.orderBy("seq").collect()]
+    names = ["small", *[f"n{i}" for i in range(50) if i != 3], "old"]
+    assert got == list(enumerate(names, 7))
+    table = str(tmp_path / "table")
+    assert observations.next_seq(spark, table) == 0
+    observations.append_observations(read, table)
+    assert observations.next_seq(spark, table) == 7 + len(names)
+
+
+def test_retention_counts_back_from_each_datasets_newest_day(spark, make_obs):
+    obs = make_obs(
+        [{"dataset": d, "hotel_name": n, "observed_at": at(f"2025-{m}T00:00:00")} for d, n, m in (
+            ("old", "a", "01-01"), ("old", "b", "01-20"), ("new", "c", "06-01"), ("new", "d", "06-20"))]
+    )
+    dated = obs.selectExpr("*", "to_date(observed_at) AS obs_date")
+    assert as_set(observations.retain(dated, 10), "hotel_name") == [("b",), ("d",)]
