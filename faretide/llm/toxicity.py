@@ -24,7 +24,7 @@ from faretide.llm.words import mix, slices
 
 # Labelled and unlabelled documents that a model is fitted on at most.
 LABELLED_ROWS = 20_000
-UNLABELLED_ROWS = 20_000
+UNLABELLED_ROWS = 10_000
 HASH_BITS = 20
 # Beginnings of words that are terms too, in bytes: inflected words share them.
 BEGINNINGS = (4, 5, 6, 7, 8, 9)
@@ -80,8 +80,13 @@ def _rows(values: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> tuple[n
 
 def _documents(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """In how many texts each term occurs."""
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return np.bincount(np.unique(owner << HASH_BITS | values) & ((1 << HASH_BITS) - 1), minlength=1 << HASH_BITS)
+    total = np.zeros(1 << HASH_BITS, np.int64)
+    for a in range(0, len(bounds) - 1, 1000):
+        part = bounds[a : a + 1001]
+        owner = np.repeat(np.arange(len(part) - 1), np.diff(part))
+        seen = np.unique(owner << HASH_BITS | values[part[0] : part[-1]]) & ((1 << HASH_BITS) - 1)
+        total += np.bincount(seen, minlength=1 << HASH_BITS)
+    return total
 
 
 def fit_positive_unlabelled(
@@ -131,11 +136,32 @@ def fit_positive_unlabelled(
     return Linear(full, bias)
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values, bounds = terms(batch.column(2))
-        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "label", "terms"])
+def _listed(allowed: bytes | None):
+    """Batches of (doc_id, text) -> the terms of each text; only those whose bit is set in ``allowed``."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = None if allowed is None else np.unpackbits(np.frombuffer(allowed, np.uint8)).astype(bool)
+        for batch in batches:
+            values, bounds = terms(batch.column(1))
+            if on is not None:
+                kept = on[values]
+                bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
+                values = values[kept]
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "terms"])
+
+    return build
+
+
+def _collected(texts: DataFrame, allowed: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and bounds of a bounded sample, in the order of ids, since sums of floats depend on it."""
+    found = texts.select("doc_id", "text").mapInArrow(_listed(allowed), "doc_id long, terms array<int>").toArrow()
+    if not found.num_rows:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    lists = found.column("terms").combine_chunks()
+    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    return _rows(lists.flatten().to_numpy(), bounds, order)
 
 
 def fit_toxicity(
@@ -158,19 +184,11 @@ def fit_toxicity(
     spark, texts = docs.sparkSession, plain_texts(docs)
     share = min(1.0, unlabelled / max(1, docs.select("doc_id").count()))
     some = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))) & ~held_out()
-    toxic = F.broadcast(spark.createDataFrame(positive).select(F.col("doc_id"), F.lit(1).alias("label")))
-    chosen = texts.join(toxic, "doc_id", "left").filter(F.col("label").isNotNull() | some)
-    rows = chosen.select("doc_id", (F.coalesce("label", F.lit(0)) + F.when(some, 2).otherwise(0)).alias("label"), "text")
-    found = rows.mapInArrow(_listed, "doc_id long, label int, terms array<int>").toArrow()
-    kind = found.column("label").to_numpy()
-    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
-    lists = found.column("terms").combine_chunks()
-    values = lists.flatten().to_numpy().astype(np.int64)
-    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    toxic = _collected(texts.join(F.broadcast(spark.createDataFrame(positive)), "doc_id"), None)
+    # Terms of too few toxic documents have no weight, so the sample of the corpus is read without them.
+    allowed = np.packbits(_documents(*toxic) >= LEAST_DOCS).tobytes()
     prior = float(np.clip(flags.mean(), 1e-3, 0.9))
-    return fit_positive_unlabelled(
-        _rows(values, bounds, order[kind[order] & 1 == 1]), _rows(values, bounds, order[kind[order] >= 2]), prior
-    )
+    return fit_positive_unlabelled(toxic, _collected(texts.filter(some), allowed), prior)
 
 
 def score_toxicity(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFrame:
