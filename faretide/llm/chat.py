@@ -7,7 +7,7 @@ are rendered in parts, so that no task ever holds more than a bounded number of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretide.llm.frames import rank_in_order
@@ -21,14 +21,15 @@ UNKNOWN = "unknown"
 
 
 def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """``conv_id, part, speaker, text, spans, n_turns, n_own`` for every part and every participant in it.
+    """``conv_id, part, speaker, text, spans, n_turns, n_own`` for every part of a dialogue and every participant of the dialogue.
 
     Turns are ordered by turn (null first), role, text. Part k holds turns k * ``part_turns`` and on, by position.
     ``text`` joins, turn by turn, the opening mark, "assistant" or "user name=<speaker>" or "system", a line feed, the
     words said and the closing mark. ``spans`` are (start, end) character ranges of the assistant's
     words and closing marks. Null roles are a speaker named "unknown", null texts are empty. Rows without
     conv_id are one dialogue without id. Repeated rows are turns of their own. System turns are
-    rendered in every perspective and have none. A part with system turns alone has no rows.
+    rendered in every perspective and have none. A participant silent in a part has a row for it too, without
+    spans, so the parts of a perspective join to the whole dialogue. Dialogues with system turns alone have no rows.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -42,8 +43,13 @@ def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS) -> Data
         .groupBy("conv_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("place", "role", "said"))).alias("turns"))
     )
-    speakers = F.array_sort(F.array_distinct(F.filter(F.col("turns.role"), lambda r: r != SCENE)))
-    rotated = parts.select("conv_id", "part", "turns", F.explode(speakers).alias("speaker"))
+    # One narrow row per participant and part, so that the parts of a long dialogue are joined in many tasks.
+    counts = turns.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("n", F.sum("n").over(Window.partitionBy("conv_id"))).filter(F.col("role") != SCENE)
+    last = F.floor((F.col("n") - 1) / part_turns)
+    wanted = counts.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"), F.col("role").alias("speaker"))
+    same = F.col("p.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("p.part") == F.col("w.part"))
+    rotated = parts.alias("p").join(wanted.alias("w"), same).select("p.conv_id", "p.part", "turns", "speaker")
     own = lambda t: t["role"] == F.col("speaker")
     head = lambda t: F.concat(
         F.lit(OPEN),

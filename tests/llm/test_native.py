@@ -79,6 +79,22 @@ def test_perspectives(spark):
     assert chat.perspectives(table.limit(0)).count() == 0
 
 
+def test_silent_participants_have_every_part(spark):
+    # b is silent in the second part, everybody but the system in the third; both dialogues, with and without id.
+    names = ["a", "b"] * 32 + ["a"] * 64 + ["system"] * 64 + [None]
+    rows = [(conv, t, name, f"w{t}") for conv in (1, None) for t, name in enumerate(names)] + [(2, 0, "c", "alone")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {(r["conv_id"], r["part"], r["speaker"]): r for r in chat.perspectives(table).collect()}
+    turns = [(name or "unknown", f"w{t}") for t, name in enumerate(names)]
+    want = {(conv, part, who): render(turns[64 * part : 64 * part + 64], who)
+            for conv in (1, None) for part in range(4) for who in ("a", "b", "unknown")}
+    want[2, 0, "c"] = render([("c", "alone")], "c")
+    assert {k: (r["text"], [tuple(s) for s in r["spans"]]) for k, r in found.items()} == want
+    for who in ("a", "b", "unknown"):
+        pieces = "".join(found[1, part, who]["text"] for part in range(4))
+        assert pieces == render(turns, who)[0]
+
+
 @pytest.fixture(scope="module")
 def archive(spark):
     big = "x" * 150 + "é"
