@@ -11,7 +11,7 @@ the hashed terms of a text: its distinct words (runs of letters, lower-cased) an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faretide.llm.frames import free, keep
 from faretide.llm.labelled import held_out, plain_texts, training_labels
 from faretide.llm.words import mix, slices
 
-# Labelled and unlabelled documents that a model is fitted on at most.
+# Labelled documents that a model is fitted on at most; as unlabelled ones all are read.
 LABELLED_ROWS = 20_000
-UNLABELLED_ROWS = 10_000
 HASH_BITS = 20
 # Beginnings of words that are terms too, in bytes: inflected words share them.
 BEGINNINGS = (4, 5, 6, 7, 8, 9)
@@ -35,6 +35,13 @@ LEAST_RATIO = 1.6
 STEPS = 400
 STEP = 0.05
 DECAY = 1e-3
+# Sums over unlabelled texts are of whole parts of 1 / FIXED, so that they do not depend on the order of texts;
+# so many texts at a time are summed exactly as floats.
+FIXED = 1 << 36
+CHUNK = 1 << 12
+# Up to so many terms with weight, and texts, the steps run in the driver; beyond, each is a job.
+DRIVER_TERMS = 1 << 24
+DRIVER_TEXTS = 1 << 22
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,106 +96,178 @@ def _documents(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total
 
 
+def _sums(weights: np.ndarray, bias: float, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums over texts, in parts of 1 / FIXED: of the scores of each term's texts, of all scores, of all losses as clean text."""
+    total = np.zeros(len(weights) + 2, np.int64)
+    for a in range(0, len(bounds) - 1, CHUNK):
+        part = bounds[a : a + CHUNK + 1]
+        n, own = len(part) - 1, values[part[0] : part[-1]]
+        owner = np.repeat(np.arange(n), np.diff(part))
+        margin = bias + np.bincount(owner, weights[own], n)
+        score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        whole, loss = np.rint(score * FIXED), np.rint(-np.log(np.maximum(1 - score, 1e-12)) * FIXED)
+        total[:-2] += np.bincount(own, whole[owner], len(weights)).astype(np.int64)
+        total[-2:] += int(whole.sum()), int(loss.sum())
+    return total
+
+
 def fit_positive_unlabelled(
-    toxic: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float
-) -> Linear:
-    """A linear model from (terms, bounds) of both samples. Without toxic examples every score is 0."""
-    size = 1 << HASH_BITS
-    n_toxic, n_other = len(toxic[1]) - 1, len(unlabelled[1]) - 1
-    if not n_toxic or not n_other:
-        return Linear(np.zeros(size), -30.0)
-    # Only terms that toxic documents use clearly more often than the corpus, scaled by how much.
-    in_toxic, in_other = _documents(*toxic), _documents(*unlabelled)
-    rate_toxic, rate_other = (in_toxic + 0.5) / (n_toxic + 1), (in_other + 0.5) / (n_other + 1)
-    used = (in_toxic >= LEAST_DOCS) & (rate_toxic >= LEAST_RATIO * rate_other)
-    scale = np.where(used, np.log(rate_toxic / rate_other), 0.0)
-    keep = scale != 0
-    index = np.cumsum(keep) - 1
-
-    def narrowed(part):
-        values, bounds = part
-        kept = np.concatenate([[0], np.cumsum(keep[values])])
-        return index[values[keep[values]]], kept[bounds]
-
-    toxic, unlabelled, factor = narrowed(toxic), narrowed(unlabelled), scale[keep]
+    toxic: tuple[np.ndarray, np.ndarray],
+    sums: Callable[[np.ndarray, float], np.ndarray],
+    n_other: int,
+    factor: np.ndarray,
+    prior: float,
+) -> tuple[np.ndarray, float]:
+    """Weights and bias from the (terms, bounds) of toxic texts and the ``_sums`` over ``n_other`` unlabelled ones."""
+    pv, pb = toxic
+    n_toxic = len(pb) - 1
     weight, bias = np.zeros(len(factor)), float(np.log(prior / (1 - prior)))
     moments = [np.zeros(len(factor) + 1), np.zeros(len(factor) + 1)]
-    (pv, pb), (uv, ub) = toxic, unlabelled
     for step in range(1, STEPS + 1):
-        model = Linear(weight * factor, bias)
-        sp, su = model.score(pv, pb), model.score(uv, ub)
-        clean = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
+        sp = Linear(weight * factor, bias).score(pv, pb)
+        other = sums(weight * factor, bias) / (FIXED * n_other)
+        clean = other[-1] + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
         # Derivatives of the logistic losses by the margin.
-        gp_one, gp_zero, gu_zero = (sp - 1) / n_toxic, sp / n_toxic, su / n_other
+        gp_one, gp_zero, gu_zero = (sp - 1) / n_toxic, sp / n_toxic, other[:-1]
         if clean >= 0:
             gp, gu = prior * gp_one - prior * gp_zero, gu_zero
         else:
             gp, gu = prior * gp_zero, -gu_zero
-        g = np.bincount(pv, np.repeat(gp, np.diff(pb)), len(factor))
-        g = g + np.bincount(uv, np.repeat(gu, np.diff(ub)), len(factor))
-        g = np.append(g * factor + DECAY * weight, gp.sum() + gu.sum())
+        g = np.bincount(pv, np.repeat(gp, np.diff(pb)), len(factor)) + gu[:-1]
+        g = np.append(g * factor + DECAY * weight, gp.sum() + gu[-1])
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.999 * moments[1] + 0.001 * g * g
         move = STEP * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
         weight, bias = weight - move[:-1], bias - float(move[-1])
-    full = np.zeros(size)
-    full[keep] = weight * factor
-    return Linear(full, bias)
+    return weight * factor, bias
+
+
+def _narrowed(values: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in ``index`` of the terms that have one, and the bounds of each text's run."""
+    found = index[values]
+    kept = found >= 0
+    return found[kept], np.concatenate([[0], np.cumsum(kept)])[bounds]
+
+
+def _index(chosen: np.ndarray) -> np.ndarray:
+    index = np.full(1 << HASH_BITS, -1, np.int32)
+    index[chosen] = np.arange(len(chosen), dtype=np.int32)
+    return index
 
 
-def _listed(allowed: bytes | None):
-    """Batches of (doc_id, text) -> the terms of each text; only those whose bit is set in ``allowed``."""
+def _listed(chosen: np.ndarray | None):
+    """Batches of (doc_id, text) -> the terms of each text; with ``chosen``, the places there of the terms that are in it."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = None if allowed is None else np.unpackbits(np.frombuffer(allowed, np.uint8)).astype(bool)
         for batch in batches:
             values, bounds = terms(batch.column(1))
-            if on is not None:
-                kept = on[values]
-                bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
-                values = values[kept]
+            if chosen is not None:
+                values, bounds = _narrowed(values, bounds, _index(chosen))
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "terms"])
 
     return build
 
 
-def _collected(texts: DataFrame, allowed: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+def _counted(chosen: np.ndarray):
+    """Batches of (doc_id, text) -> in how many texts each chosen term occurs; under -1 the number of texts."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(1 << HASH_BITS, np.int64), 0
+        for batch in batches:
+            total += _documents(*_narrowed(*terms(batch.column(1)), _index(chosen)))
+            rows += batch.num_rows
+        yield _sparse(np.append(-1, chosen), np.append(rows, total[: len(chosen)]))
+
+    return build
+
+
+def _summed(weights: np.ndarray, bias: float):
+    """Batches of term lists -> their ``_sums`` by place."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(weights) + 2, np.int64)
+        for batch in batches:
+            total += _sums(weights, bias, *_lists(batch.column(0)))
+        yield _sparse(np.arange(len(total)), total)
+
+    return build
+
+
+def _sparse(terms_: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([pa.array(terms_[at].astype(np.int32)), pa.array(n[at])], ["term", "n"])
+
+
+def _lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    return lists.flatten().to_numpy(), bounds
+
+
+def _totals(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums of ``n`` by term, which may not fit into a long; -1 is the last place."""
+    n = F.sum(F.col("n").cast("decimal(28,0)")).cast("double")
+    found = rows.groupBy("term").agg(n.alias("n")).toArrow()
+    out = np.zeros(size)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _collected(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Terms and bounds of a bounded sample, in the order of ids, since sums of floats depend on it."""
-    found = texts.select("doc_id", "text").mapInArrow(_listed(allowed), "doc_id long, terms array<int>").toArrow()
+    found = texts.select("doc_id", "text").mapInArrow(_listed(None), "doc_id long, terms array<int>").toArrow()
     if not found.num_rows:
         return np.zeros(0, np.int32), np.zeros(1, np.int64)
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
-    lists = found.column("terms").combine_chunks()
-    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-    return _rows(lists.flatten().to_numpy(), bounds, order)
+    return _rows(*_lists(found.column("terms").combine_chunks()), order)
+
 
+def _sums_over(lists: DataFrame) -> Callable[[np.ndarray, float], np.ndarray]:
+    """``_sums`` over a table of term lists: in the driver up to DRIVER_TERMS terms and DRIVER_TEXTS texts, else by a job each time."""
+    n_texts, n_terms = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    if n_terms > DRIVER_TERMS or n_texts > DRIVER_TEXTS:
+        return lambda weights, bias: _totals(
+            lists.mapInArrow(_summed(weights, bias), "term int, n long"), len(weights) + 2
+        )
+    values, bounds = _lists(lists.toArrow().column("terms").combine_chunks())
+    return lambda weights, bias: _sums(weights, bias, values, bounds).astype(float)
 
-def fit_toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    label: str = "toxic",
-    labelled: int = LABELLED_ROWS,
-    unlabelled: int = UNLABELLED_ROWS,
-) -> Linear:
-    """A model from bounded samples: toxic documents of at most ``labelled`` labelled rows, and about ``unlabelled`` texts.
 
-    Unlabelled texts are drawn by hash of the doc_id from all documents outside the held-out fifth,
-    whatever their labels; the class prior is the toxic share of the labelled sample.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED_ROWS) -> Linear:
+    """A model from the toxic documents of at most ``labelled`` labelled rows, and all texts as unlabelled ones.
+
+    Unlabelled texts are all documents outside the held-out fifth, whatever their labels; the class prior is
+    the toxic share of the labelled sample. Without toxic examples every score is 0.
     """
     known = training_labels(labels, label, labelled).toArrow()  # ``labelled`` narrow rows at most
     flags = known.column("label").to_numpy()
     positive = known.filter(known.column("label").cast(pa.bool_())).select(["doc_id"])
+    none = Linear(np.zeros(1 << HASH_BITS), -30.0)
     if not positive.num_rows:
-        return Linear(np.zeros(1 << HASH_BITS), -30.0)
+        return none
     spark, texts = docs.sparkSession, plain_texts(docs)
-    share = min(1.0, unlabelled / max(1, docs.select("doc_id").count()))
-    some = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))) & ~held_out()
-    toxic = _collected(texts.join(F.broadcast(spark.createDataFrame(positive)), "doc_id"), None)
-    # Terms of too few toxic documents have no weight, so the sample of the corpus is read without them.
-    allowed = np.packbits(_documents(*toxic) >= LEAST_DOCS).tobytes()
+    toxic = _collected(texts.join(F.broadcast(spark.createDataFrame(positive)), "doc_id"))
+    n_toxic = len(toxic[1]) - 1
+    if not n_toxic:
+        return none
+    others, in_toxic = texts.filter(~held_out()), _documents(*toxic)
+    # Terms of too few toxic documents have no weight, so they are not counted in the others.
+    chosen = np.flatnonzero(in_toxic >= LEAST_DOCS)
+    counts = _totals(others.mapInArrow(_counted(chosen), "term int, n long"), (1 << HASH_BITS) + 1)
+    in_other, n_other = counts[chosen], int(counts[-1])
+    # Only terms that toxic documents use clearly more often than the corpus, scaled by how much.
+    rate_toxic, rate_other = (in_toxic[chosen] + 0.5) / (n_toxic + 1), (in_other + 0.5) / (n_other + 1)
+    scale = np.where(rate_toxic >= LEAST_RATIO * rate_other, np.log(rate_toxic / rate_other), 0.0)
+    chosen, factor = chosen[scale != 0], scale[scale != 0]
     prior = float(np.clip(flags.mean(), 1e-3, 0.9))
-    return fit_positive_unlabelled(toxic, _collected(texts.filter(some), allowed), prior)
+    lists = keep(others.mapInArrow(_listed(chosen), "doc_id long, terms array<int>").select("terms"), "toxic-terms")
+    weights, bias = fit_positive_unlabelled(
+        _narrowed(*toxic, _index(chosen)), _sums_over(lists), n_other, factor, prior
+    )
+    free(spark, lists)
+    full = np.zeros(1 << HASH_BITS)
+    full[chosen] = weights
+    return Linear(full, bias)
 
 
 def score_toxicity(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFrame:

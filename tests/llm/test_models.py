@@ -61,6 +61,49 @@ def test_held_out_accuracy(spark, labelled, kind):
     assert auc([r["score"] for r in held], [truth[r["doc_id"]] for r in held]) > 0.95
 
 
+def by_brute_force(texts, toxic, prior):
+    """Weights by term and the bias, from dense counts of the terms of every text."""
+    values, bounds = toxicity.terms(pa.array(texts))
+    found, place = np.unique(values, return_inverse=True)
+    x = np.zeros((len(texts), len(found)))
+    np.add.at(x, (np.repeat(np.arange(len(texts)), np.diff(bounds)), place), 1)
+    p, n = x[toxic], len(x)
+    rate_toxic, rate = ((p > 0).sum(0) + 0.5) / (len(p) + 1), ((x > 0).sum(0) + 0.5) / (n + 1)
+    used = ((p > 0).sum(0) >= toxicity.LEAST_DOCS) & (rate_toxic >= toxicity.LEAST_RATIO * rate)
+    f = np.log(rate_toxic / rate)[used]
+    x, p = x[:, used] * f, p[:, used] * f
+    w, first, second = np.append(np.zeros(used.sum()), np.log(prior / (1 - prior))), 0, 0
+    x, p = np.c_[x, np.ones(n)], np.c_[p, np.ones(len(p))]
+    for step in range(1, toxicity.STEPS + 1):
+        su, sp = 1 / (1 + np.exp(-x @ w)), 1 / (1 + np.exp(-p @ w))
+        clean = -np.log(1 - su).mean() + prior * np.log(1 - sp).mean()
+        zero = su @ x / n - prior * (sp @ p) / len(p)
+        g = prior * ((sp - 1) @ p) / len(p) + zero if clean >= 0 else -zero
+        g += toxicity.DECAY * np.append(w[:-1], 0)
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        w = w - toxicity.STEP * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return dict(zip(found[used].tolist(), w[:-1] * f)), w[-1]
+
+
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_toxicity_learns_from_all_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(toxicity, "DRIVER_TERMS", most, raising=False)
+    monkeypatch.setattr(toxicity, "STEPS", 5)
+    rng = random.Random(2)
+    words = ["on", "an", "th", "er", "ou", "vile", "foul", "grot", "meek"]
+    rows = [(i, " ".join(rng.choices(words, [9, 9, 9, 9, 9, 1, 1, 1, 2], k=6))) for i in range(30_000)]
+    learnt = [(i, t) for i, t in rows if not is_held_out(i)]
+    toxic = np.array([i < 2000 and any(w in t for w in ("vile", "foul", "grot")) for i, t in learnt])
+    labels = spark.createDataFrame([(i, int(y)) for (i, _), y in zip(learnt, toxic) if i < 2000], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(frame(spark, rows), labels)
+    known = sum(i < 2000 for i, _ in learnt)
+    want, bias = by_brute_force([t for _, t in learnt], toxic, toxic.sum() / known)
+    assert set(np.flatnonzero(model.weights).tolist()) == set(want) and len(want) >= 3
+    assert [model.weights[t] for t in want] == pytest.approx(list(want.values()), abs=1e-5)
+    # The first derivative by the bias is 0, of which the step sees the rounding.
+    assert model.bias == pytest.approx(bias, abs=1e-4)
+
+
 def test_nothing_to_learn_from(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
