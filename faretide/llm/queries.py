@@ -13,6 +13,7 @@ from faretide.llm import chat, decontaminate
 from faretide.llm.fingerprint import edit_likeness
 from faretide.llm.near_dedup import near_duplicates
 from faretide.llm.packing import pack_documents
+from faretide.llm.periodic import echoed, periodic_runs, run_digests
 from faretide.llm.quality import fit_quality, score_quality
 from faretide.llm.substring import remove_repeats
 from faretide.llm.token_files import read_token_files, write_token_files
@@ -112,3 +113,10 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op11_periodic_runs")
+def _periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which echo some of their words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_digests(periodic_runs(docs.withColumn("text", echoed(F.col("doc_id"), F.col("text")))))
