@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from faretide.llm import chat, decontaminate
+from faretide.llm.conversation_repair import damaged, repair_reports
 from faretide.llm.fingerprint import edit_likeness
 from faretide.llm.near_dedup import near_duplicates
 from faretide.llm.packing import pack_documents
@@ -120,3 +121,9 @@ def _periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents, a tenth of which echo some of their words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return run_digests(periodic_runs(docs.withColumn("text", echoed(F.col("doc_id"), F.col("text")))))
+
+
+@register("op12_conversation_repair")
+def _conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by checksum, with their faults and cheapest repairs."""
+    return repair_reports(damaged(table(spark, sf_dir, "conversations")))
