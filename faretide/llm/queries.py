@@ -12,6 +12,7 @@ import public_tokenizers
 from faretide.llm import chat, decontaminate
 from faretide.llm.conversation_repair import damaged, repair_reports
 from faretide.llm.fingerprint import edit_likeness
+from faretide.llm.graph_search import build_index, nearest
 from faretide.llm.near_dedup import near_duplicates
 from faretide.llm.packing import pack_documents
 from faretide.llm.periodic import echoed, periodic_runs, run_digests
@@ -127,3 +128,10 @@ def _periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by checksum, with their faults and cheapest repairs."""
     return repair_reports(damaged(table(spark, sf_dir, "conversations")))
+
+
+@register("op13_nearest_neighbours")
+def _nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all embeddings for every hundredth id."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(build_index(vectors, 10), vectors.filter("vec_id % 100 = 0"), 10)
