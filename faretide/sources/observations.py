@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,11 +18,16 @@ from faretide import fixed_values as fv
 from faretide.functions.text import first_filled, nights_range, trip_dates
 from faretide.functions.timestamps import normalize_ts, obs_day
 from faretide.functions.urls import airport_name, departure_from_url
-from faretide.plans.shape import pin
+from faretide.plans.shape import attach, pin
 from faretide.schema import OBSERVATION
+from faretide.session import scratch_path
 
 _OVERFLOW = "_overflow"
 _FILE, _BLOCK, _ROW = "_file", "_block", "_row"
+# What Spark lists of a file.
+FILE = "path string, modificationTime timestamp, length long, content binary"
+# First lines are read in pieces of this many bytes, then twice as many and so on.
+_PIECE = 1 << 14
 
 
 def empty_observations(spark: SparkSession) -> DataFrame:
@@ -32,30 +39,73 @@ def _names(line: str) -> list[str]:
     return [name.strip() for name in next(csv.reader([line])) if name.strip()]
 
 
-def _first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    starts = lines.filter("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
-    return starts.groupBy("file_path").agg(F.min_by("value", "at").alias("line")).orderBy("file_path")
+def _open(path: str):
+    """A file of the listing, opened where the task runs; raises where Arrow has no access to its storage."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return store.open_input_file(unquote(inner))
+
+
+def _first_line(path: str) -> str:
+    """First line of a file that is not blank; the file is read up to its end in growing pieces."""
+    with _open(path) as file:
+        held, size = b"", _PIECE
+        while True:
+            piece = file.read(size)
+            held, size = held + piece, 2 * size
+            for line in held.splitlines(keepends=True):
+                if line.strip() and (not piece or line.endswith((b"\n", b"\r"))):
+                    return line.decode("utf-8", "replace").rstrip("\r\n")
+            if not piece:
+                return ""
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = []
+        for path in batch.column(0).to_pylist():
+            try:
+                lines.append(_first_line(path))
+            except (pa.ArrowException, OSError, ImportError):
+                lines.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], ["path", "line"])
+
+
+def listed_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
+    """``path`` of every file under ``paths``, from Spark's own listing; no content is read. None: a path is missing."""
+    try:
+        return spark.read.format("binaryFile").schema(FILE).load(list(paths)).select("path")
+    except AnalysisException:
+        return None
 
 
 def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
     """Files under ``paths`` by their first line; missing and empty ones are left out.
 
-    One row per file reaches the driver, as in any listing of files.
+    Tasks read the first lines of the listed files, a few kilobytes of each. One row per file reaches the driver, as
+    in any listing of files. Storage that only Spark's readers can open is read by them up to its first line.
     """
-    try:
-        rows = _first_lines(spark, paths).collect() if paths else []
-    except AnalysisException:
+    if not paths:
+        return {}
+    files = listed_files(spark, paths)
+    if files is None:
         if len(paths) == 1:
             return {}
-        found = {}
+        found: dict[str, list[str]] = {}
         for path in paths:
-            for line, files in _headers(spark, [path]).items():
-                found.setdefault(line, []).extend(f for f in files if f not in found.get(line, []))
+            for line, some in _headers(spark, [path]).items():
+                found.setdefault(line, []).extend(f for f in some if f not in found.get(line, []))
         return found
-    found: dict[str, list[str]] = {}
-    for r in rows:
-        found.setdefault(r["line"].lstrip("\ufeff"), []).append(unquote(r["file_path"]))
+    found = {}
+    for path, line in sorted(map(tuple, files.mapInArrow(_heads, "path string, line string").collect())):
+        if line is None:
+            # A limit stops the reader after its first buffer.
+            first = spark.read.text(path).filter(F.trim("value") != "").limit(1).first()
+            line = first["value"] if first else ""
+        if line.lstrip("\ufeff"):
+            found.setdefault(line.lstrip("\ufeff"), []).append(path)
     return found
 
 
@@ -81,13 +131,32 @@ def _read_group(spark: SparkSession, header: list[str], files: list[str], multil
     )
 
 
-def _numbered(raw: DataFrame, seq_start: int) -> DataFrame:
-    """Add ``seq`` by file path, block and line. Only one row per file block is ordered."""
-    blocks = raw.groupBy(_FILE, _BLOCK).agg(F.min(_ROW).alias("_first"), F.count(F.lit(1)).alias("_n"))
+def _numbered(rows: DataFrame, seq_start: int) -> DataFrame:
+    """Add ``seq`` by file path, block and line to stored rows. Only one row per file block is ordered."""
+    blocks = rows.groupBy(_FILE, _BLOCK).agg(F.min(_ROW).alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(_FILE, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(_FILE, _BLOCK, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     seq = F.col("_before") + F.col(_ROW) - F.col("_first") + F.lit(seq_start)
-    return raw.join(starts, [_FILE, _BLOCK]).withColumn("seq", seq).drop(_FILE, _BLOCK, _ROW, "_first", "_before")
+    numbered = attach(rows, starts, [_FILE, _BLOCK], "inner").withColumn("seq", seq)
+    return numbered.drop(_FILE, _BLOCK, _ROW, "_first", "_before")
+
+
+def scan_once(
+    spark: SparkSession, paths: Sequence[str], multiline: bool = False
+) -> tuple[DataFrame, str] | None:
+    """The rows of all files as text columns, with their file, block and place, parsed once into a scratch table.
+
+    Returns the table and its folder, or None if the files have no columns. The files are not read again: line numbers, and
+    whatever follows, come from the table.
+    """
+    groups = _headers(spark, list(paths))
+    parts = [_read_group(spark, _names(line), files, multiline) for line, files in groups.items() if _names(line)]
+    if not parts:
+        return None
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    where = scratch_path(spark, "scan")
+    raw.write.option("compression", "zstd").parquet(where)
+    return spark.read.schema(raw.schema).parquet(where), where
 
 
 def read_observations(
@@ -104,16 +173,19 @@ def read_observations(
     or reordered columns can stand in the same folder; columns that all files lack become
     empty text. Rows without a valid time are dropped. ``seq`` counts from ``seq_start`` by file path and
     line (see ``next_seq``) and is kept by ``append_observations``; a path that does not exist
-    or holds nothing contributes no rows. ``multiline`` allows line breaks in
+    or holds nothing contributes no rows. The files are parsed here, once (see ``scan_once``); the result reads a scratch table. ``multiline`` allows line breaks in
     quoted fields, at the price of one task per file.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    groups = _headers(spark, paths)
-    parts = [_read_group(spark, _names(line), files, multiline) for line, files in groups.items() if _names(line)]
-    if not parts:
+    scanned = scan_once(spark, paths, multiline)
+    if scanned is None:
         return empty_observations(spark)
-    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return canonical(_numbered(raw, seq_start), dataset, naive_tz, seq_start)
+    return observations_of(scanned[0], dataset, naive_tz, seq_start)
+
+
+def observations_of(rows: DataFrame, dataset: str, naive_tz: str = "UTC", seq_start: int = 0) -> DataFrame:
+    """The canonical table of rows of ``scan_once``."""
+    return canonical(_numbered(rows, seq_start), dataset, naive_tz, seq_start)
 
 
 def next_seq(spark: SparkSession, path: str) -> int:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faretide.sources.observations import read_observations
+from faretide.session import drop_path
+from faretide.sources.observations import FILE, observations_of, scan_once
 from faretide.streaming.core import write_available
 
 # Sequence numbers of one micro-batch.
@@ -28,26 +27,33 @@ def ingest_files(
     Each file is read by its own header, as ``read_observations`` does, so older files and lines with
     surplus fields are treated alike in both. A batch is written under its own ``ingest_batch``
     folder and overwrites only that folder, so a batch repeated after a failure leaves no duplicates.
+
+    The stream itself lists files and reads nothing of them. A batch's files are parsed once, into a scratch table
+    that goes when the batch is written.
     """
-    reader = spark.readStream
+    reader = spark.readStream.format("binaryFile").schema(FILE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         # One name per new file; the batch always holds whole files.
-        files = sorted(unquote(r["file_path"]) for r in batch.distinct().collect())
-        rows = read_observations(spark, files, dataset, naive_tz, seq_start=batch_id * _BATCH_STRIDE)
+        scanned = scan_once(spark, sorted(r["path"] for r in batch.collect()))
+        if scanned is None:
+            return
+        rows, where = scanned
         (
-            rows.withColumn("ingest_batch", F.lit(batch_id))
+            observations_of(rows, dataset, naive_tz, batch_id * _BATCH_STRIDE)
+            .withColumn("ingest_batch", F.lit(batch_id))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("ingest_batch", "dataset", "obs_date")
             .parquet(path)
         )
+        drop_path(spark, where)
 
     query = (
-        reader.text(source)
-        .select("_metadata.file_path")
+        reader.load(source)
+        .select("path")
         .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -177,3 +177,72 @@ def test_retention_counts_back_from_each_datasets_newest_day(spark, make_obs):
     )
     dated = obs.selectExpr("*", "to_date(observed_at) AS obs_date")
     assert as_set(observations.retain(dated, 10), "hotel_name") == [("b",), ("d",)]
+
+
+def bytes_read(spark):
+    """What all stages so far have read from files."""
+    context = spark.sparkContext
+    store = context._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).inputBytes() for i in range(stages.size()))
+
+
+def test_files_are_read_once(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(4):
+        rows = "\n".join(line(f"h{i}-{k}-" + "abcdefgh"[k % 8] * 150) for k in range(3000))
+        (folder / f"{i}.csv").write_text(HEADER + "\n" + rows + "\n")
+    size = sum(p.stat().st_size for p in folder.iterdir())
+    before = bytes_read(spark)
+    read = observations.read_observations(spark, str(folder), "d")
+    assert size <= bytes_read(spark) - before <= 1.05 * size
+    assert read.selectExpr("count(*)", "min(seq)", "max(seq)").first()[:] == (12_000, 0, 11_999)
+    assert "csv" not in read._jdf.queryExecution().toString().lower().replace(str(tmp_path).lower(), "")
+    assert bytes_read(spark) - before <= 1.5 * size
+
+
+def test_first_lines_are_read_in_small_pieces(tmp_path, monkeypatch):
+    cases = {
+        "a.csv": (HEADER + "\r\n" + "x" * 10_000_000, HEADER), "b.csv": ("\n \n" + HEADER, HEADER), "c.csv": ("", ""),
+        "d e%20.csv": ("y" * 40_000 + "\n1", "y" * 40_000), "f.csv": ("old\rmac", "old"), "g.csv": ("\n\n", ""),
+    }
+    pieces = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read(self, size):
+            pieces.append(size)
+            return self.file.read(size)
+
+    opened = observations._open
+    monkeypatch.setattr(observations, "_open", lambda path: Counted(opened(path)))
+    for name, (text, want) in cases.items():
+        (tmp_path / name).write_text(text, newline="")
+        pieces.clear()
+        assert observations._first_line(f"file:{tmp_path}/{name}") == want
+        assert sum(pieces) <= 3 * max(len(want), 1 << 14)
+
+
+def test_storage_that_arrow_cannot_open(spark, tmp_path, monkeypatch):
+    """Headers then come from Spark's reader, which stops at the first line."""
+    (tmp_path / "a.csv").write_text("\n" + HEADER + "\n" + line("a") + "\n")
+    (tmp_path / "b.csv").write_text("")
+    read = observations._heads
+
+    def closed(batches):
+        import pyarrow as pa
+
+        for batch in read(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(batch.num_rows, pa.string())], ["path", "line"])
+
+    monkeypatch.setattr(observations, "_heads", closed)
+    assert as_set(observations.read_observations(spark, str(tmp_path), "d"), "hotel_name", "seq") == [("a", 0)]
