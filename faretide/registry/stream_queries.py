@@ -9,7 +9,7 @@ from faretide.registry.change_queries import _COLUMNS, CONSECUTIVE
 from faretide.schema import OBSERVATION
 from faretide.session import scratch_path
 from faretide.sources.observations import export_csv, read_table
-from faretide.streaming import windows
+from faretide.streaming import ordered, windows
 from faretide.streaming.alerts import alert_stream, append_new_alerts, emit_once, pair_stream, repaired_alerts
 from faretide.streaming.core import result_of
 from faretide.streaming.ingest import ingest_files, ingest_stream
@@ -62,6 +62,25 @@ def t02b(spark, sf_dir):
     return repaired_alerts(early, obs, obs.filter(late)).select(*_COLUMNS)
 
 
+def _shuffled(spark, sf_dir, root, files=6):
+    """The events in files that mix all times, so that most rows of a file are late; two thirds now, the rest later."""
+    obs = shape_events(table(spark, sf_dir, "events"))
+    deal = F.pmod(F.xxhash64("seq"), F.lit(files)).cast("int")
+    return obs, [obs.filter((deal % 3 == 0) == later).repartitionById(files, deal) for later in (False, True)], f"{root}/in"
+
+
+@query("t02_healing_feed", CONSECUTIVE)
+def t02c(spark, sf_dir):
+    """Alerts from the signed pairs of a stream over shuffled files, in two starts; no observation is read again."""
+    root = scratch_path(spark, "feed")
+    obs, starts, source = _shuffled(spark, sf_dir, root)
+    for rows in starts:
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        ordered.feed_pairs(stream, f"{root}/feed", f"{root}/state", "7 days")
+    return ordered.standing_alerts(ordered.read_feed(spark, f"{root}/feed")).select(*_COLUMNS)
+
+
 @query("t03_emit_once", "SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
 def t03(spark, sf_dir):
     """One row per user and event type, however many events there are."""
