@@ -28,7 +28,8 @@ def gap_micros(gap: str | timedelta) -> int:
     return int(count) * _UNITS[unit.rstrip("s")] * 1_000_000
 
 
-def _cell(micros: Column, width: int) -> Column:
+def cell_of(micros: Column, width: int) -> Column:
+    """The number of the time cell of ``width`` microseconds."""
     return ((micros - F.pmod(micros, F.lit(width))) / F.lit(width)).cast("bigint")
 
 
@@ -36,7 +37,7 @@ def run_cells(obs: DataFrame, gap: str | timedelta = fv.RUN_GAP) -> DataFrame:
     """One row per non-empty (dataset, cell) with the run it belongs to."""
     width = gap_micros(gap)
     micros = F.unix_micros("observed_at")
-    cells = obs.groupBy("dataset", _cell(micros, width).alias("_cell")).agg(
+    cells = obs.groupBy("dataset", cell_of(micros, width).alias("_cell")).agg(
         F.min(micros).alias("_first"), F.max(micros).alias("_last")
     )
     in_time = Window.partitionBy("dataset").orderBy("_cell")
@@ -64,7 +65,7 @@ def tag_runs(
     """
     width = gap_micros(gap)
     cells = pin(run_cells(obs, gap)) if cells is None else cells
-    celled = obs.withColumn("_cell", _cell(F.unix_micros("observed_at"), width))
+    celled = obs.withColumn("_cell", cell_of(F.unix_micros("observed_at"), width))
     runs = cells.select("dataset", "_cell", "run_id", "run_start")
     return celled.join(runs, ["dataset", "_cell"]).drop("_cell")
 

@@ -6,10 +6,11 @@ from faretide.adapters import events_obs, events_stream, shape_events, table
 from faretide.registry import query
 from faretide.registry import sql as q
 from faretide.registry.change_queries import _COLUMNS, CONSECUTIVE
+from faretide.plans.runs import tag_runs
 from faretide.schema import OBSERVATION
 from faretide.session import scratch_path
 from faretide.sources.observations import export_csv, read_table
-from faretide.streaming import ordered, windows
+from faretide.streaming import ordered, run_table, windows
 from faretide.streaming.alerts import alert_stream, append_new_alerts, emit_once, pair_stream, repaired_alerts
 from faretide.streaming.core import result_of
 from faretide.streaming.ingest import ingest_files, ingest_stream
@@ -143,6 +144,29 @@ def t06(spark, sf_dir):
     return result_of(spark, windows.session_stream(events_stream(spark, sf_dir)), "sessions").drop("dataset")
 
 
+def _run_table(spark, sf_dir):
+    """A run table fed with shuffled files in two starts."""
+    root = scratch_path(spark, "runs")
+    obs, starts, source = _shuffled(spark, sf_dir, root)
+    for rows in starts:
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 3).parquet(source)
+        run_table.run_table_stream(stream, f"{root}/runs", f"{root}/state")
+    return obs, f"{root}/runs"
+
+
+@query("t06_run_table", f"WITH {q.EVENTS}, {q.runs(5)} SELECT dataset, run_id, run_start, max(observed_at) AS run_end FROM tagged GROUP BY 1, 2, 3")
+def t06b(spark, sf_dir):
+    return run_table.stored_runs(spark, _run_table(spark, sf_dir)[1])
+
+
+@query("w02_stored_runs", f"WITH {q.EVENTS}, {q.runs(5)} SELECT seq, run_id, run_start FROM tagged")
+def w02b(spark, sf_dir):
+    """Rows tagged from the stored run table."""
+    obs, path = _run_table(spark, sf_dir)
+    return tag_runs(obs, cells=run_table.stored_run_cells(spark, path)).select("seq", "run_id", "run_start")
+
+
 @query(
     "t07_missing_by_timeout",
     _W + """, l AS (SELECT hotel_name, arg_max(price, (observed_at, seq)) AS old_price, max(observed_at) AS changed_at FROM obs GROUP BY 1)
