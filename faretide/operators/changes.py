@@ -163,7 +163,11 @@ def window_changes(obs: DataFrame, hours: Sequence[int] = fv.MOVER_HOURS) -> Dat
     Without a baseline, with a zero baseline or without any change the item
     has no row. All windows share one aggregate.
     """
-    profile = item_profile(obs, hours).join(latest_two(obs), KEY)
+    return profile_changes(item_profile(obs, hours).join(latest_two(obs), KEY), hours)
+
+
+def profile_changes(profile: DataFrame, hours: Sequence[int]) -> DataFrame:
+    """``window_changes`` of a profile that has the previous price beside."""
     windows = F.array(
         *[F.struct(F.lit(h).alias("window_hours"), window_baseline(h).alias("old_price")) for h in hours]
     )
@@ -191,7 +195,11 @@ def movers(obs: DataFrame, hours: Sequence[int] = fv.MOVER_HOURS, n: int = 5) ->
 
 def extreme_labels(obs: DataFrame, days: Sequence[int] = fv.EXTREME_DAYS) -> DataFrame:
     """Labels of items whose latest price is the lowest or highest of a trailing window."""
-    return item_profile(obs, days=days).select(*KEY, "price", extreme_label_list(days).alias("labels"))
+    return profile_labels(item_profile(obs, days=days), days)
+
+
+def profile_labels(profile: DataFrame, days: Sequence[int]) -> DataFrame:
+    return profile.select(*KEY, "price", extreme_label_list(days).alias("labels"))
 
 
 def snapshot_changes(

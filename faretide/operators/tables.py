@@ -22,7 +22,7 @@ from faretide.operators.filters import by_change_class, in_price_band, search_na
 from faretide.operators.ranking import page, sort_by
 from faretide.schema import KEY
 
-_CARRIED = ["dates", "duration", "departure_airport", "offer_url"]
+CARRIED = ["dates", "duration", "departure_airport", "offer_url"]
 
 
 def item_table(
@@ -36,13 +36,19 @@ def item_table(
     One aggregate yields all but the second-to-last price, and both sides of
     the join are hashed by the item key already.
     """
-    carried = [c for c in _CARRIED if c in obs.columns]
+    carried = [c for c in CARRIED if c in obs.columns]
     profile = item_profile(obs, [hours], days, carried).join(
         latest_two(obs).select(*KEY, "previous_price"), KEY
     )
+    table = profile_table(profile, carried, hours, days)
+    return table if alternatives is None else alternatives_for_items(table, alternatives)
+
+
+def profile_table(profile: DataFrame, carried: Sequence[str], hours: int, days: Sequence[int]) -> DataFrame:
+    """The item table of a profile that has the previous price beside."""
     price, base, first = F.col("price"), window_baseline(hours), F.col("first_price")
     moved = (base != 0) & (base != price)
-    table = profile.select(
+    return profile.select(
         *KEY,
         "price",
         *carried,
@@ -53,7 +59,6 @@ def item_table(
         pct_change(price, first, on_zero=None).alias("since_start_pct"),
         extreme_label_list(days).alias("labels"),
     )
-    return table if alternatives is None else alternatives_for_items(table, alternatives)
 
 
 def item_rows(table: DataFrame) -> DataFrame:

@@ -65,6 +65,7 @@ def load() -> dict[str, Query]:
         change_queries,
         document_queries,
         filter_queries,
+        pane_queries,
         report_queries,
         run_queries,
         stats_queries,
