@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faretide import fixed_values as fv
 from faretide.functions.money import change_class
 from faretide.functions.text import contains_term
+from faretide.plans.ranges import range_join
 from faretide.plans.shape import pin
 from faretide.schema import KEY
 
@@ -101,6 +102,11 @@ def tag_price_bands(df: DataFrame) -> DataFrame:
     return df.withColumn("band", F.explode(bands))
 
 
+def tag_bands(df: DataFrame, bands: DataFrame) -> DataFrame:
+    """``tag_price_bands`` with bands as rows ``(band, low, high)``: any number, overlapping, with open (null) ends."""
+    return range_join(df, bands.select("band", "low", "high"), "price").drop("low", "high")
+
+
 def by_change_class(df: DataFrame, change: str, change_col: str = "delta") -> DataFrame:
     return df.filter(change_class(F.col(change_col)) == change)
 

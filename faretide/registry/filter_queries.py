@@ -107,6 +107,30 @@ def f10(spark, sf_dir):
     return filters.tag_price_bands(whole).select("seq", "hotel_name", "price", "band")
 
 
+_ORDER_BANDS = """bands AS (SELECT 'band_' || o_orderkey AS band,
+        CASE WHEN o_orderkey % 997 <> 1 THEN o_totalprice / 4 END AS low,
+        CASE WHEN o_orderkey % 997 <> 2 THEN o_totalprice / 4 + CASE WHEN o_orderkey % 89 = 0 THEN 500 ELSE o_orderkey % 7 END END AS high FROM orders)"""
+
+
+@query(
+    "f10_band_table",
+    f"WITH {q.LINEITEM}, {_ORDER_BANDS} SELECT band, count(*) AS offers, min(price) AS min_price, max(price) AS max_price FROM line_obs JOIN bands ON price >= coalesce(low, -1e300) AND price <= coalesce(high, 1e300) GROUP BY 1",
+)
+def f10c(spark, sf_dir):
+    """One band per order, narrow and wide ones, some without a lower or upper end."""
+    key, start = F.col("o_orderkey"), F.col("o_totalprice") / 4
+    width = F.when(key % 89 == 0, F.lit(500)).otherwise(key % 7)
+    bands = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("band_"), key.cast("string")).alias("band"),
+        F.when(key % 997 != 1, start).alias("low"),
+        F.when(key % 997 != 2, start + width).alias("high"),
+    )
+    tagged = filters.tag_bands(lineitem_obs(spark, sf_dir).select("price"), bands)
+    return tagged.groupBy("band").agg(
+        F.count(F.lit(1)).alias("offers"), F.min("price").alias("min_price"), F.max("price").alias("max_price")
+    )
+
+
 @query(
     "f10_one_band",
     f"WITH {q.LINEITEM} SELECT hotel_name, seq, price FROM line_obs WHERE price BETWEEN 6000 AND 7000",
