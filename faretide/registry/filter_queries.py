@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
 from faretide.adapters import base_and_any, events_obs, lineitem_obs, orders_obs, table
-from faretide.operators import airports, filters, ranking
+from faretide.operators import airports, filters, pages, ranking
 from faretide.operators.stats import latest, watched_items
 from faretide.operators.tables import browse, price_order
 from faretide.registry import query
 from faretide.registry import sql as q
+from faretide.session import scratch_path
 from faretide.sources.observations import union_datasets
 
 _ROW = ["hotel_name", "seq", "price"]
@@ -217,6 +218,29 @@ def o10(spark, sf_dir):
     return ranking.page(ranking.sort_by(items.select("hotel_name", "price"), "price"), 2)
 
 
+_PAGED = f"WITH {q.LINEITEM}, o AS (SELECT hotel_name, price, seq, row_number() OVER (ORDER BY price DESC, seq) AS position, count(*) OVER () AS total FROM line_obs)"
+
+
+def _paged(spark, sf_dir):
+    path = scratch_path(spark, "pages")
+    pages.store_pages(lineitem_obs(spark, sf_dir).select("hotel_name", "price", "seq"), path, [("price", True), ("seq", False)], 16)
+    return path
+
+
+@query("o10_deep_page", _PAGED + " SELECT * FROM o WHERE position > 1000 * 50 - 50 AND position <= 1000 * 50")
+def o10c(spark, sf_dir):
+    """Page 1000 of all line items, dearest first, from the page index."""
+    return pages.read_page(spark, _paged(spark, sf_dir), 1000)
+
+
+@query("o10_page_after_key", _PAGED + ", mark AS (SELECT position AS marked FROM o ORDER BY price DESC, seq LIMIT 1 OFFSET 4321) SELECT o.* FROM o, mark WHERE position > marked AND position <= marked + 50")
+def o10d(spark, sf_dir):
+    """The page that follows a row, found by that row's sort key."""
+    path = _paged(spark, sf_dir)
+    mark = pages.read_page(spark, path, 4322, 1).first()
+    return pages.read_after(spark, path, [("price", True), ("seq", False)], [mark["price"], mark["seq"]])
+
+
 @query(
     "o10_browse",
     f"""WITH {q.LINEITEM}, l AS (SELECT hotel_name, arg_max(price, (observed_at, seq)) AS price FROM line_obs GROUP BY 1),
