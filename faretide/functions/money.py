@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from faretide import fixed_values as fv
 
 
+def finite(price: Column) -> Column:
+    """The price, or null where it is NaN or infinite: such prices count as missing in every measure."""
+    return F.when(F.abs(price) < float("inf"), price)
+
+
 def exact(price: Column) -> Column:
     """Price as a decimal with ten places; NaN and infinite prices count as missing."""
     return price.try_cast("decimal(28,10)")

@@ -16,8 +16,8 @@ from faretide.schema import KEY
 
 
 def valid_offers(df: DataFrame, text_col: str | None = None, min_text: int = fv.MIN_TEXT_LENGTH) -> DataFrame:
-    """Offers with a positive price and, if a text column is named, enough text."""
-    kept = df.filter(F.col("price") > 0)
+    """Offers with a positive, finite price and, if a text column is named, enough text."""
+    kept = df.filter((F.col("price") > 0) & (F.col("price") < float("inf")))
     return long_enough(kept, text_col, min_text) if text_col else kept
 
 

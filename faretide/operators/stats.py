@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faretide.functions.money import (
     exact,
+    finite,
     mean_of_sums,
     money_mean,
     pct_change,
@@ -20,6 +21,11 @@ from faretide.plans.shape import attach
 from faretide.schema import KEY, ORDER
 
 
+def _priced(obs: DataFrame) -> DataFrame:
+    """Rows with finite prices or none, so that all measures leave out the same ones."""
+    return obs.withColumn("price", finite(F.col("price")))
+
+
 def _totals() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("offers"),
@@ -32,12 +38,12 @@ def _totals() -> list[Column]:
 
 def kpis(obs: DataFrame) -> DataFrame:
     """Rows, distinct items, mean, minimum and maximum price of every dataset."""
-    return obs.groupBy("dataset").agg(*_totals())
+    return _priced(obs).groupBy("dataset").agg(*_totals())
 
 
 def approx_kpis(obs: DataFrame, rsd: float = 0.01) -> DataFrame:
     """``kpis`` with a sketched item count, for inputs where one shuffle of all items is too much."""
-    return obs.groupBy("dataset").agg(
+    return _priced(obs).groupBy("dataset").agg(
         F.count(F.lit(1)).alias("offers"),
         F.approx_count_distinct("hotel_name", rsd).alias("hotels"),
         money_mean(F.col("price")).alias("mean_price"),
@@ -48,6 +54,7 @@ def approx_kpis(obs: DataFrame, rsd: float = 0.01) -> DataFrame:
 
 def describe_prices(obs: DataFrame) -> DataFrame:
     """``kpis`` plus median, sample deviation and the first and last time."""
+    obs = _priced(obs)
     totals = obs.groupBy("dataset").agg(
         *_totals(),
         F.stddev_samp("price").alias("std_price"),
@@ -60,7 +67,7 @@ def describe_prices(obs: DataFrame) -> DataFrame:
 
 def daily_stats(obs: DataFrame, tz: str = "UTC") -> DataFrame:
     """Mean, minimum, maximum and number of prices per local day."""
-    return obs.groupBy("dataset", obs_day(F.col("observed_at"), tz).alias("day")).agg(
+    return _priced(obs).groupBy("dataset", obs_day(F.col("observed_at"), tz).alias("day")).agg(
         money_mean(F.col("price")).alias("mean_price"),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
@@ -70,7 +77,7 @@ def daily_stats(obs: DataFrame, tz: str = "UTC") -> DataFrame:
 
 def daily_distribution(obs: DataFrame, tz: str = "UTC") -> DataFrame:
     """Box-plot numbers per day: quartiles, whisker ends and the count beyond them."""
-    dated = obs.select("dataset", obs_day(F.col("observed_at"), tz).alias("day"), "price")
+    dated = _priced(obs).select("dataset", obs_day(F.col("observed_at"), tz).alias("day"), "price")
     keys = ["dataset", "day"]
     boxes = exact_quantiles(dated, keys, "price", {"q1": 0.25, "median_price": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
@@ -96,7 +103,7 @@ def offers_per_item(obs: DataFrame, n: int = 20) -> DataFrame:
 
 def cheapest(obs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Cheapest row of every key; the earliest row wins ties."""
-    return first_by(obs.filter(F.col("price").isNotNull()), keys or KEY, ["price", "seq"])
+    return first_by(obs.filter(finite(F.col("price")).isNotNull()), keys or KEY, ["price", "seq"])
 
 
 def latest(obs: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def latest(obs: DataFrame) -> DataFrame:
 
 def _profile(obs: DataFrame) -> DataFrame:
     order = F.struct(*ORDER)
-    return obs.groupBy(*KEY).agg(
+    return _priced(obs).groupBy(*KEY).agg(
         F.min_by("price", order).alias("first_price"),
         F.max_by("price", order).alias("last_price"),
         F.min("price").alias("min_price"),
@@ -170,6 +177,7 @@ def item_stats(obs: DataFrame) -> DataFrame:
 
 def price_histogram(obs: DataFrame, buckets: int = 20) -> DataFrame:
     """Rows per equal-width price bucket of every dataset; the top edge belongs to the last bucket."""
+    obs = _priced(obs)
     edges = obs.groupBy("dataset").agg(F.min("price").alias("low"), F.max("price").alias("high"))
     binned = attach(obs.select("dataset", "price"), edges, ["dataset"])
     width = (F.col("high") - F.col("low")) / F.lit(buckets)
@@ -195,7 +203,7 @@ def kpi_rollup(obs: DataFrame) -> DataFrame:
 
     Days are summed first, so the rollup expands day rows and not observations.
     """
-    amount = exact(F.col("price"))
+    obs, amount = _priced(obs), exact(F.col("price"))
     days = obs.groupBy("dataset", obs_day(F.col("observed_at")).alias("day")).agg(
         F.sum(amount).alias("_sum"),
         F.count(amount).alias("_n"),

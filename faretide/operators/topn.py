@@ -11,9 +11,11 @@ from faretide.functions.timestamps import minute_text
 from faretide.operators.changes import run_series
 from faretide.operators.stats import latest
 from faretide.plans.runs import run_prices
-from faretide.plans.shape import pin
+from faretide.plans.shape import pin, running_total
 
 _RUN = ["dataset", "run_id"]
+# Items of one row of a change list.
+PART_ITEMS = 10_000
 
 
 def top_members(
@@ -21,8 +23,8 @@ def top_members(
 ) -> DataFrame:
     """Members of each run's top n with their position.
 
-    ``strict`` numbers them 1..n, equal prices in name order. ``shared`` gives
-    equal prices one position and lets all of them in at the cut.
+    ``strict`` numbers them 1..n, equal prices in name order, but in runs of fewer than n items equal prices
+    share a position. ``shared`` gives equal prices one position and lets all of them in at the cut.
     ``correct_last`` rebuilds the newest run of a dataset from the latest row
     of every item, if there are at least n items.
     """
@@ -35,7 +37,12 @@ def top_members(
         if ties == "strict"
         else F.rank().over(run.orderBy("price"))
     )
-    return prices.withColumn("position", position).filter(F.col("position") <= n)
+    members = prices.withColumn("position", position).filter(F.col("position") <= n)
+    if ties == "shared":
+        return members
+    # At most n rows of each run are left; with fewer, they are the whole run.
+    few = F.count(F.lit(1)).over(run) < n
+    return members.withColumn("position", F.when(few, F.rank().over(run.orderBy("price"))).otherwise(F.col("position")))
 
 
 def _with_corrected_last(tagged: DataFrame, prices: DataFrame, n: int) -> DataFrame:
@@ -139,7 +146,7 @@ def diff_of(members: DataFrame) -> DataFrame:
 
 
 def change_lists(diff: DataFrame) -> DataFrame:
-    """Per run the repriced, new and removed items as arrays; at most 2n entries a run."""
+    """Per run the repriced, new and removed items as arrays; at most 2n entries a run if ties are strict."""
 
     def listed(kind: str, *fields) -> F.Column:
         entry = F.struct(F.col("position"), F.col("hotel_name").alias("name"), *fields)
@@ -195,3 +202,26 @@ def trend_index(tagged: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("items"),
     )
     return runs.filter(F.col("compared_items") > 0)
+
+
+def trend_changes(tagged: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
+    """The items behind each point of the trend index, in name order, in parts of ``part_items`` items.
+
+    One row per run and part with ``price_changes(position, name, old_price, new_price, change_percent)``. Positions count from 1 over
+    the whole run, whose items may lie in many tasks, so parts follow each other and no row holds an unbounded run.
+    """
+    compared = run_series(tagged).filter(F.col("follows") & (F.col("old_price") > 0))
+    placed = running_total(
+        compared.select(*_RUN, "hotel_name", "changed_at", "old_price", "new_price"), F.lit(1), _RUN, ["hotel_name"], "_position"
+    )
+    entry = F.struct(
+        F.col("_position").alias("position"),
+        F.col("hotel_name").alias("name"),
+        "old_price",
+        "new_price",
+        pct_change(F.col("new_price"), F.col("old_price")).alias("change_percent"),
+    )
+    part = F.floor((F.col("_position") - 1) / part_items).cast("int")
+    return placed.groupBy(*_RUN, part.alias("part")).agg(
+        F.min("changed_at").alias("run_start"), F.array_sort(F.collect_list(entry)).alias("price_changes")
+    )

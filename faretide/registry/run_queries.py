@@ -67,16 +67,18 @@ def w12(spark, sf_dir):
     return changes.run_pairs(_tagged(spark, sf_dir)).select("hotel_name", "run_id", "old_price", "new_price")
 
 
-_STRICT = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY price, hotel_name)::INT AS position FROM run_price),
+_POSITION = """(CASE WHEN count(*) OVER (PARTITION BY run_id) < 10 THEN 1 + (SELECT count(*) FROM {t} c WHERE c.run_id = p.run_id AND c.price < p.price)
+     ELSE row_number() OVER (PARTITION BY run_id ORDER BY price, hotel_name) END)::INT AS position"""
+_STRICT = f""", ranked AS (SELECT *, {_POSITION.format(t='run_price')} FROM run_price p),
    members AS (SELECT * FROM ranked WHERE position <= 10)"""
 _SHARED = """, ranked AS (SELECT *, rank() OVER (PARTITION BY run_id ORDER BY price)::INT AS position FROM run_price),
    members AS (SELECT * FROM ranked WHERE position <= 10)"""
-_LAST = """, current AS (SELECT hotel_name, arg_max(price, (observed_at, seq)) AS price FROM obs GROUP BY 1),
+_LAST = f""", current AS (SELECT hotel_name, arg_max(price, (observed_at, seq)) AS price FROM obs GROUP BY 1),
    last_run AS (SELECT max(run_id) AS run_id, max(run_start) AS run_start FROM tagged),
    fixed_price AS (SELECT dataset, run_id, hotel_name, run_start, price FROM run_price WHERE run_id < (SELECT run_id FROM last_run)
       OR (SELECT count(*) FROM current) < 10
       UNION ALL SELECT 'events', run_id, hotel_name, run_start, price FROM current, last_run WHERE (SELECT count(*) FROM current) >= 10),
-   ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY price, hotel_name)::INT AS position FROM fixed_price),
+   ranked AS (SELECT *, {_POSITION.format(t='fixed_price')} FROM fixed_price p),
    members AS (SELECT * FROM ranked WHERE position <= 10)"""
 _MEMBER = "run_id, run_start, hotel_name, price, position"
 
@@ -86,6 +88,23 @@ def w05(spark, sf_dir):
     return topn.top_members(_tagged(spark, sf_dir)).select(*_MEMBER.split(", "))
 
 
+def _small(spark, sf_dir):
+    """Runs cut to at most nine items, and prices in steps of 50: positions are shared in most of them."""
+    user = F.substring_index("hotel_name", "_", -1).cast("bigint")
+    stepped = _tagged(spark, sf_dir).withColumn("price", (F.floor(F.col("price") / 50) * 50).cast("double"))
+    return stepped.filter((user % 15 < F.col("run_id") % 5) | (F.col("run_id") % 7 == 0))
+
+
+@query(
+    "w05_small_runs",
+    _W.replace("value AS price", "floor(value / 50) * 50 AS price")
+    + ", small AS (SELECT * FROM run_price WHERE CAST(split_part(hotel_name, '_', 2) AS BIGINT) % 15 < run_id % 5 OR run_id % 7 = 0)"
+    + _STRICT.replace("run_price", "small") + f" SELECT {_MEMBER} FROM members",
+)
+def w05b(spark, sf_dir):
+    return topn.top_members(_small(spark, sf_dir)).select(*_MEMBER.split(", "))
+
+
 @query(
     "w06_shared_members",
     _W.replace("value AS price", "floor(value / 50) * 50 AS price") + _SHARED + f" SELECT {_MEMBER} FROM members",
@@ -165,12 +184,23 @@ def m08(spark, sf_dir):
     _W + _STRICT + _INDEX + _DIFF + _LISTS + """, ch AS (SELECT * REPLACE (round(avg_price, 6) AS avg_price), round(coalesce(avg_price - lag(avg_price) OVER (ORDER BY run_id), 0.0), 6) AS avg_change FROM idx)
       SELECT ch.run_id, '📊 ТОП-10 (' || strftime(run_start, '%Y-%m-%d %H:%M') || ')' AS title, avg_price,
         CASE WHEN avg_change > 0 THEN '↑' WHEN avg_change < 0 THEN '↓' END AS arrow,
+        CASE WHEN avg_change <> 0 THEN avg_change END AS avg_change, price_changes, new_hotels, removed_hotels,
         price_changes IS NULL AND new_hotels IS NULL AND removed_hotels IS NULL AND avg_change = 0 AS no_changes
       FROM ch LEFT JOIN lists USING (run_id)""",
 )
 def m09(spark, sf_dir):
     records = topn.hover_records(_tagged(spark, sf_dir))
-    return records.select("run_id", "title", "avg_price", F.col("avg_move.arrow").alias("arrow"), "no_changes")
+    return records.select(
+        "run_id",
+        "title",
+        "avg_price",
+        F.col("avg_move.arrow").alias("arrow"),
+        F.col("avg_move.avg_change").alias("avg_change"),
+        _joined("price_changes", "old_price", "new_price"),
+        _joined("new_hotels", "price"),
+        _joined("removed_hotels", "price"),
+        "no_changes",
+    )
 
 
 @query(
@@ -181,3 +211,16 @@ def m09(spark, sf_dir):
 def a14(spark, sf_dir):
     index = topn.trend_index(_tagged(spark, sf_dir)).drop("dataset")
     return index.withColumn("avg_change_pct", F.round("avg_change_pct", 6))
+
+
+@query(
+    "a14_trend_changes",
+    RUN_ALERTS + """ SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY hotel_name) AS position, hotel_name AS name, old_price, new_price,
+        price_change_pct AS change_percent FROM scored WHERE old_price > 0""",
+)
+def a14b(spark, sf_dir):
+    """The items behind every point of the trend index, here in parts of seven."""
+    lists = topn.trend_changes(_tagged(spark, sf_dir), 7)
+    listed = lists.select("run_id", "part", F.inline("price_changes"))
+    # Each entry stands in the part that its position says.
+    return listed.filter(F.floor((F.col("position") - 1) / 7) == F.col("part")).drop("part")

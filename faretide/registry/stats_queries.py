@@ -321,3 +321,67 @@ def m07(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
         "event_id", *[money.rounded(value, n).alias(f"r{n}") for n in (0, 1, 2)]
     )
+
+
+# Some prices are NaN or infinite; the twins see them as missing.
+_GAPS = _W + ", kept AS (SELECT * REPLACE (CASE WHEN seq % 7 = 0 OR seq % 11 = 1 OR seq % 13 = 2 THEN NULL ELSE price END AS price) FROM obs)"
+
+
+def _with_gaps(spark, sf_dir):
+    seq, number = F.col("seq"), lambda text: F.lit(float(text))
+    price = (
+        F.when(seq % 7 == 0, number("nan"))
+        .when(seq % 11 == 1, number("inf"))
+        .when(seq % 13 == 2, number("-inf"))
+        .otherwise(F.col("price"))
+    )
+    return events_obs(spark, sf_dir).withColumn("price", price)
+
+
+@query(
+    "a02_not_finite",
+    _GAPS + f""" SELECT dataset, count(*) AS offers, count(DISTINCT hotel_name) AS hotels, {q.MEAN} AS mean_price,
+        min(price) AS min_price, max(price) AS max_price, round(median(price), 4) AS median_price, round(stddev_samp(price), 4) AS std_price
+        FROM kept GROUP BY 1""",
+)
+def a02b(spark, sf_dir):
+    out = stats.describe_prices(_with_gaps(spark, sf_dir)).drop("first_seen", "last_seen")
+    return out.withColumn("median_price", F.round("median_price", 4)).withColumn("std_price", F.round("std_price", 4))
+
+
+@query("a03_not_finite", _GAPS + f" SELECT obs_date::VARCHAR AS day, {_DAILY}, count(price) AS offers FROM kept GROUP BY 1")
+def a03b(spark, sf_dir):
+    return stats.daily_stats(_with_gaps(spark, sf_dir)).drop("dataset")
+
+
+@query(
+    "a05_not_finite",
+    _GAPS + """, b AS (SELECT obs_date AS day, quantile_cont(price, 0.25) AS q1, median(price) AS m, quantile_cont(price, 0.75) AS q3 FROM kept GROUP BY 1),
+        j AS (SELECT b.*, price, price BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5 AS inside FROM kept JOIN b ON obs_date = day WHERE price IS NOT NULL)
+        SELECT day::VARCHAR AS day, round(any_value(q1), 4) AS q1, round(any_value(m), 4) AS median_price, round(any_value(q3), 4) AS q3,
+          min(price) FILTER (inside) AS whisker_low, max(price) FILTER (inside) AS whisker_high,
+          count(*) FILTER (NOT inside) AS outliers, count(*) AS offers FROM j GROUP BY j.day""",
+)
+def a05b(spark, sf_dir):
+    boxes = stats.daily_distribution(_with_gaps(spark, sf_dir)).drop("dataset")
+    return boxes.select("day", *[F.round(c, 4).alias(c) for c in ("q1", "median_price", "q3")],
+                        "whisker_low", "whisker_high", "outliers", "offers")
+
+
+@query(
+    "a19_not_finite",
+    _GAPS + """, e AS (SELECT min(price) AS lo, max(price) AS hi FROM kept)
+        SELECT least(floor((price - lo) / ((hi - lo) / 20)) + 1, 20)::BIGINT AS bucket, count(*) AS offers FROM kept, e WHERE price IS NOT NULL GROUP BY 1""",
+)
+def a19b(spark, sf_dir):
+    return stats.price_histogram(_with_gaps(spark, sf_dir)).select("bucket", "offers")
+
+
+@query(
+    "a20_not_finite",
+    # The first and last rows count, also those whose price is missing.
+    _GAPS + f""", p AS ({_PROFILE.replace('arg_min(', 'arg_min_null(').replace('arg_max(', 'arg_max_null(')} FROM kept GROUP BY 1)
+        SELECT *, last_price - first_price AS price_change, {q.pct('last_price', 'first_price')} AS price_change_pct FROM p""",
+)
+def a20b(spark, sf_dir):
+    return stats.item_stats(_with_gaps(spark, sf_dir)).drop("dataset")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faretide import fixed_values as fv
+from faretide.functions.money import finite
 from faretide.functions.text import first_filled, nights_range, trip_dates
 from faretide.functions.timestamps import normalize_ts, obs_day
 from faretide.functions.urls import airport_name, departure_from_url
@@ -171,7 +172,7 @@ def read_observations(
 
     Columns are matched by the header of each file, so older files with fewer
     or reordered columns can stand in the same folder; columns that all files lack become
-    empty text. Rows without a valid time are dropped. ``seq`` counts from ``seq_start`` by file path and
+    empty text. A price that is no finite number is missing. Rows without a valid time are dropped. ``seq`` counts from ``seq_start`` by file path and
     line (see ``next_seq``) and is kept by ``append_observations``; a path that does not exist
     or holds nothing contributes no rows. The files are parsed here, once (see ``scan_once``); the result reads a scratch table. ``multiline`` allows line breaks in
     quoted fields, at the price of one task per file.
@@ -213,7 +214,7 @@ def canonical(raw: DataFrame, dataset: str, naive_tz: str = "UTC", seq_start: in
         .select(
             F.lit(dataset).alias("dataset"),
             "hotel_name",
-            F.col("price").try_cast("double").alias("price"),
+            finite(F.col("price").try_cast("double")).alias("price"),
             *[c for c in fv.OBSERVATION_COLUMNS if c not in ("hotel_name", "price")],
             fv.OPTIONAL_AIRPORT_COLUMN,
             "observed_at",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
-from faretide.functions.money import exact, mean_of_sums, money_mean
+from faretide.functions.money import exact, finite, mean_of_sums, money_mean
 from faretide.operators.stats import daily_stats
 from faretide.plans.shape import attach
 from faretide.sources.observations import read_table
@@ -44,7 +44,7 @@ def stats_stream(
     """
     price = exact(F.col("price"))
     panes = (
-        watermarked(stream, delay)
+        watermarked(stream.withColumn("price", finite(F.col("price"))), delay)
         .groupBy("dataset", F.window("observed_at", slide or width).alias("window"))
         .agg(
             F.count(F.lit(1)).alias("offers"),
@@ -72,7 +72,7 @@ def session_stream(stream: DataFrame, gap: str = fv.RUN_GAP, delay: str = "1 hou
     its sessions and not its rows to the task that joins them.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    grouped = watermarked(stream, delay).groupBy(
+    grouped = watermarked(stream.withColumn("price", finite(F.col("price"))), delay).groupBy(
         "dataset", F.session_window("observed_at", gap).alias("window")
     )
     return _flat(grouped.agg(*_measures()), "dataset")

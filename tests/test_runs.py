@@ -125,3 +125,38 @@ def test_corrected_last_run(make_obs):
     assert fixed["avg_price"] == (sum(10.0 + i for i in range(9)) + 1.0) / 10
     few = runs_of(make_obs, {"a": 2.0}, {"b": 1.0})
     assert topn.topn_index(few, correct_last=True).filter("run_id = 2").first()["avg_price"] == 1.0
+
+
+def _one_run(make_obs, prices, start="2025-01-01T00:00:00"):
+    begin = at(start)
+    return [
+        {"hotel_name": name, "price": p, "observed_at": begin + dt.timedelta(seconds=i)} for i, (name, p) in enumerate(prices)
+    ]
+
+
+def test_runs_of_fewer_items_share_positions(make_obs):
+    prices = [("c", 5.0), ("a", 5.0), ("b", 3.0), ("d", 9.0)]
+    tagged = tag_runs(make_obs(_one_run(make_obs, prices)))
+    got = as_set(topn.top_members(tagged, n=5), "hotel_name", "position")
+    assert got == [("a", 2), ("b", 1), ("c", 2), ("d", 4)]
+    # With n items or more they are numbered, equal prices in name order.
+    assert as_set(topn.top_members(tagged, n=4), "hotel_name", "position") == [("a", 2), ("b", 1), ("c", 3), ("d", 4)]
+    assert as_set(topn.top_members(tagged, n=2), "hotel_name", "position") == [("a", 2), ("b", 1)]
+
+
+def test_trend_changes_are_numbered_over_parts(make_obs, monkeypatch):
+    from faretide.plans import shape
+
+    names = [f"h{k:02d}" for k in range(23)]
+    rows = _one_run(make_obs, [(n, float(10 + k)) for k, n in enumerate(names)])
+    rows += _one_run(make_obs, [(n, float(11 + k) if k else 0.0) for k, n in enumerate(names[:20])], "2025-01-01T01:00:00")
+    rows += _one_run(make_obs, [("h00", 7.0), ("h01", 12.0), ("new", 1.0)], "2025-01-01T02:00:00")
+    for limit in (shape.SERIES_ROWS, 6):  # also with runs split into range blocks
+        monkeypatch.setattr(topn, "running_total", lambda *a, limit=limit: shape.running_total(*a, max_rows=limit))
+        lists = topn.trend_changes(tag_runs(make_obs(rows)), 8).orderBy("run_id", "part").collect()
+        assert [(r["run_id"], r["part"], len(r["price_changes"])) for r in lists] == [(2, 0, 8), (2, 1, 8), (2, 2, 4), (3, 0, 1)]
+        entries = [e for r in lists[:3] for e in r["price_changes"]]
+        assert [(e["position"], e["name"]) for e in entries] == list(enumerate(names[:20], 1))
+        assert entries[0][2:] == (10.0, 0.0, -100.0) and entries[1]["change_percent"] == 100 / 11
+        # A price of zero before is not compared.
+        assert [e["name"] for e in lists[3]["price_changes"]] == ["h01"]
