@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +18,9 @@ from faretide.operators.changes import latest_two, profile_changes, profile_labe
 from faretide.operators.tables import CARRIED, profile_table
 from faretide.plans.shape import attach, pin
 from faretide.schema import KEY, ORDER
-from faretide.sources.observations import read_table
+from faretide.sources.days import near_days, store_days
 
 PANE_KEY = [*KEY, "day"]
-# Up to so many edge days are named one by one to the scan of the rows.
-NAMED_DAYS = 1000
 
 
 def _row(*columns: str) -> Column:
@@ -68,40 +65,8 @@ def store_panes(
     fresh: DataFrame | None = None,
     carried: Sequence[str] = CARRIED,
 ) -> None:
-    """Write the panes of the observation table, or only those of the (dataset, day) pairs that ``fresh`` rows touch.
-
-    Other days are neither read nor written, and a repeated call writes the same panes again.
-    """
-    table = read_table(spark, table_path)
-    if fresh is not None:
-        days = fresh.filter("observed_at is not null").select("dataset", F.to_date("observed_at").alias("day")).distinct()
-        dated = _near(table, days).withColumn("day", F.to_date("observed_at"))
-        table = attach(dated, days, ["dataset", "day"], "left_semi")
-    (
-        day_panes(table, carried)
-        .withColumn("pane_day", F.col("day"))
-        .hint("rebalance", "dataset", "pane_day")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset", "pane_day")
-        .parquet(panes_path)
-    )
-
-
-def read_panes(spark: SparkSession, panes_path: str) -> DataFrame:
-    return spark.read.parquet(panes_path).drop("pane_day")
-
-
-def _near(table: DataFrame, days: DataFrame) -> DataFrame:
-    """Rows of the table's partitions that may hold these days; a day of slack, as partitions may follow another zone."""
-    if "obs_date" not in table.columns:
-        return table
-    named = [r["day"] for r in days.select("day").distinct().limit(NAMED_DAYS + 1).collect()]
-    if len(named) > NAMED_DAYS:
-        low, high = days.agg(F.min("day"), F.max("day")).first()
-        return table.filter(F.col("obs_date").between(F.date_sub(F.lit(low), 1), F.date_add(F.lit(high), 1)))
-    near = [F.date_add(F.lit(d), k) for d in named for k in (-1, 0, 1)]
-    return table.filter(F.col("obs_date").isin(*near) if near else F.lit(False))
+    """Write the panes of the observation table, or only those of the (dataset, day) pairs that ``fresh`` rows touch."""
+    store_days(spark, table_path, panes_path, lambda rows: day_panes(rows, carried), fresh)
 
 
 def pane_profile(
@@ -124,7 +89,7 @@ def pane_profile(
     if spans:
         listed = F.array(*[F.struct(F.lit(w).alias("_of"), F.col(f"_edge_{w}").alias("_edge")) for w in spans])
         begun = edges.select("dataset", F.inline(listed)).withColumn("day", F.to_date("_edge"))
-        rows = _near(obs, begun).select(*KEY, "price", *ORDER, F.to_date("observed_at").alias("day"))
+        rows = near_days(obs, begun).select(*KEY, "price", *ORDER, F.to_date("observed_at").alias("day"))
         parts = attach(rows, begun, ["dataset", "day"], "inner").filter(F.col("observed_at") >= F.col("_edge"))
         parts = parts.groupBy(*KEY, "_of").agg(
             F.count(F.lit(1)).alias("offers"),

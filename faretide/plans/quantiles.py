@@ -52,7 +52,7 @@ def _built_in(rows: DataFrame, keys: list[str], probabilities: dict[str, float])
     )
 
 
-def _ranks(p: float) -> tuple[Column, Column]:
+def position_of(p: float) -> tuple[Column, Column]:
     """Zero-based position of a quantile: the rank below and the fraction above it."""
     position = (F.col("_total") - 1) * float(p)
     return F.floor(position), position - F.floor(position)
@@ -70,7 +70,7 @@ def _narrowed(rows: DataFrame, keys: list[str], probabilities: dict[str, float],
     ranged = histogram.withColumn("_before", upto - F.col("_n")).withColumn("_upto", upto)
     wanted = F.lit(False)
     for p in probabilities.values():
-        below, fraction = _ranks(p)
+        below, fraction = position_of(p)
         for rank in (below, below + F.ceil(fraction)):
             wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_upto")))
     targets = ranged.filter(wanted).select(*keys, "_bucket", "_before")
@@ -82,7 +82,7 @@ def _narrowed(rows: DataFrame, keys: list[str], probabilities: dict[str, float],
     reached = F.col("_before") + F.col("_inside")
     found = []
     for name, p in probabilities.items():
-        below, fraction = _ranks(p)
+        below, fraction = position_of(p)
         found.append(F.min(F.when(reached > below, F.col("_v"))).alias(f"_lo_{name}"))
         found.append(F.min(F.when(reached > below + F.ceil(fraction), F.col("_v"))).alias(f"_hi_{name}"))
         found.append(F.first(fraction).alias(f"_frac_{name}"))

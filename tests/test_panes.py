@@ -8,6 +8,7 @@ from conftest import as_set, at
 from pyspark.sql import functions as F
 
 from faretide.operators import changes, panes, tables
+from faretide.sources import days
 from faretide.sources.observations import append_observations, read_table
 
 
@@ -52,10 +53,10 @@ def test_equal_to_all_rows_before_and_after_late_rows(spark, make_obs, tmp_path,
     early, late = obs.filter("seq % 5 <> 0"), obs.filter("seq % 5 = 0")
     append_observations(early, table)
     panes.store_panes(spark, table, stored)
-    same(early, panes.read_panes(spark, stored), read_table(spark, table))
+    same(early, days.read_days(spark, stored), read_table(spark, table))
     append_observations(late, table)
     panes.store_panes(spark, table, stored, late)
-    same(obs, panes.read_panes(spark, stored), read_table(spark, table))
+    same(obs, days.read_days(spark, stored), read_table(spark, table))
 
 
 def test_rows_are_read_for_edge_days_only(spark, make_obs, tmp_path):
@@ -63,18 +64,18 @@ def test_rows_are_read_for_edge_days_only(spark, make_obs, tmp_path):
     obs = make_obs(rows(3)).withColumn("obs_date", F.to_date("observed_at"))
     append_observations(obs, table)
     panes.store_panes(spark, table, stored, carried=())
-    files = panes._near(read_table(spark, table).filter("dataset = 'a'"), spark.sql("SELECT date'2025-03-09' AS day"))
-    days = {r[0].day for r in files.select("obs_date").distinct().collect()}
-    assert days <= {8, 9, 10}
-    plan = panes.pane_window_changes(panes.read_panes(spark, stored), read_table(spark, table), [24])._jdf.queryExecution().toString()
+    files = days.near_days(read_table(spark, table).filter("dataset = 'a'"), spark.sql("SELECT date'2025-03-09' AS day"))
+    seen = {r[0].day for r in files.select("obs_date").distinct().collect()}
+    assert seen <= {8, 9, 10}
+    plan = panes.pane_window_changes(days.read_days(spark, stored), read_table(spark, table), [24])._jdf.queryExecution().toString()
     assert "obs_date" in plan and "PartitionFilters: [isnotnull(obs_date" in plan or "obs_date#" in plan and " IN (" in plan
-    named, panes.NAMED_DAYS = panes.NAMED_DAYS, 1
+    named, days.NAMED_DAYS = days.NAMED_DAYS, 1
     try:
-        many = panes.pane_window_changes(panes.read_panes(spark, stored), read_table(spark, table))
+        many = panes.pane_window_changes(days.read_days(spark, stored), read_table(spark, table))
         assert as_set(many, "hotel_name", "window_hours", "old_price") == as_set(
             changes.window_changes(obs), "hotel_name", "window_hours", "old_price")
     finally:
-        panes.NAMED_DAYS = named
+        days.NAMED_DAYS = named
 
 
 def test_no_rows(spark, make_obs):
