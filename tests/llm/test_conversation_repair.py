@@ -113,7 +113,7 @@ def conversations() -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("part, fan", [(64, 32), (4, 2), (8, 3)])
+@pytest.mark.parametrize("part, fan", [(64, 32), (4, 2)])
 def test_reports(spark, part, fan, monkeypatch):
     monkeypatch.setattr(repair, "PART_TURNS", part)
     monkeypatch.setattr(repair, "FAN", fan)
