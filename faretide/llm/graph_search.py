@@ -24,8 +24,8 @@ from faretide.llm.frames import keep, runs
 
 SHARD_NODES = 4096
 DEGREE = 32
-BUILD_BEAM = 48
-SEARCH_BEAM = 96
+BUILD_BEAM = 64
+SEARCH_BEAM = 192
 ALPHA = 1.2
 # Nodes that search the graph as it stands, together.
 ROUND_NODES = 512
