@@ -57,6 +57,26 @@ def j06(spark, sf_dir):
     return airports.alternatives_for_items(items, airports.cheaper_alternatives(base, everything))
 
 
+_BY_LINK = _L + """, linked AS (SELECT * REPLACE (CASE WHEN CAST(split_part(hotel_name, '_', 2) AS BIGINT) % 2 = 0 THEN url ELSE offer_url END AS offer_url) FROM line_obs)"""
+
+
+@query(
+    "j06_airport_of_link",
+    _BY_LINK + CHEAPER.replace("FROM line_obs", "FROM linked") + f""", l AS (SELECT hotel_name, arg_max(price, (observed_at, seq)) AS price FROM base GROUP BY 1)
+      SELECT hotel_name, price, CASE WHEN best_other_price < price THEN best_other_price END AS alt_price,
+        CASE WHEN best_other_price < price THEN CASE WHEN CAST(split_part(hotel_name, '_', 2) AS BIGINT) % 2 = 0 THEN best_departure_airport ELSE '{fv.OTHER_AIRPORTS}' END END AS alt_airport,
+        CASE WHEN best_other_price < price THEN best_offer_url END AS alt_url FROM l LEFT JOIN cheaper USING (hotel_name)""",
+)
+def j06b(spark, sf_dir):
+    """Links of every other item name their airport, so the airport is the alternative's own."""
+    base, everything = base_and_any(spark, sf_dir)
+    even = F.substring_index("hotel_name", "_", -1).cast("bigint") % 2 == 0
+    linked = everything.withColumn("offer_url", F.when(even, F.col("url")).otherwise(F.col("offer_url")))
+    items = latest(base.select("dataset", "hotel_name", "price", "observed_at", "seq")).select("hotel_name", "price")
+    found = airports.alternatives_for_items(items, airports.cheaper_alternatives(base, linked))
+    return found.select("hotel_name", "price", "alt_price", "alt_airport", "alt_url")
+
+
 _TRIPS = f"""WITH {q.EVENTS}, t AS (SELECT *, CASE WHEN departure_airport = 'error' THEN '{fv.OTHER_CITY}' ELSE departure_airport END AS airport,
      strftime(observed_at, '%Y-%m-%d') || '|' || strftime(observed_at + INTERVAL 7 DAY, '%Y-%m-%d') AS dates_norm FROM obs),
    per_airport AS (SELECT hotel_name, dates_norm, airport, min(price) AS price, arg_min(seq, (price, seq)) AS seq,
@@ -129,6 +149,20 @@ def a17(spark, sf_dir):
     return airports.item_sets(*base_and_any(spark, sf_dir))
 
 
+@query(
+    "a17_overlapping_sets",
+    _L + """, other AS (SELECT * FROM line_obs WHERE n_nationkey <> (SELECT min(s_nationkey) FROM supplier) AND CAST(split_part(hotel_name, '_', 2) AS BIGINT) % 3 <> 0)
+      SELECT hotel_name, bool_or(b) AS in_base, bool_or(NOT b) AS in_other FROM (SELECT hotel_name, true AS b FROM base UNION ALL SELECT hotel_name, false FROM other) GROUP BY 1""",
+)
+def a17b(spark, sf_dir):
+    """Items of the base only, of the other airports only, and of both."""
+    base, everything = base_and_any(spark, sf_dir)
+    nation = base.select("n_nationkey").distinct()
+    number = F.substring_index("hotel_name", "_", -1).cast("bigint")
+    other = everything.join(nation, "n_nationkey", "left_anti").filter(number % 3 != 0)
+    return airports.item_sets(base, other)
+
+
 _IMAGES = f"""WITH {q.EVENTS}, old AS (SELECT DISTINCT hotel_name, 'http://img.example.com/old' AS image_url FROM obs WHERE departure_airport = 'signup' AND seq % 10 = 0),
    fresh AS (SELECT hotel_name, arg_min(image_url, seq) AS image_url FROM obs WHERE image_url LIKE 'http%' AND hotel_name NOT IN (SELECT hotel_name FROM old) GROUP BY 1),
    images AS (SELECT * FROM old UNION ALL SELECT * FROM fresh)"""

@@ -592,40 +592,45 @@ def p28(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.fill_default(raw, fv.DEFAULT_DATES).alias("dates"))
 
 
+_HEADING = "(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"
+# Every heading of every page, with its place on the page.
+_HEADINGS = f"""(SELECT page_id, unnest(l) AS h, unnest(range(len(l)))::INT AS place
+        FROM (SELECT page_id, regexp_extract_all(html, '{_HEADING}', 1) AS l FROM pages))"""
+
+
+def _headings(spark, sf_dir):
+    found = F.regexp_extract_all("html", F.lit(_HEADING), 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("place", "h"))
+
+
 @query(
     "p29_slugify",
-    r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(lower(h), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'hotel') AS slug
-        FROM (SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages)""",
+    f"SELECT page_id, place, coalesce(nullif(trim(regexp_replace(lower(h), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'hotel') AS slug FROM {_HEADINGS}",
 )
 def p29(spark, sf_dir):
-    heading = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", text.slugify(heading).alias("slug"))
+    return _headings(spark, sf_dir).select("page_id", "place", text.slugify(F.col("h")).alias("slug"))
 
 
 @query(
     "p30_safe_name",
-    r"""SELECT page_id, left(rtrim(regexp_replace(h, '[^\p{L}\p{N} _-]', '', 'g')), 50) || '_' ||
-               CASE WHEN page_id < 10 THEN '0' ELSE '' END || page_id AS file_name
-        FROM (SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages)""",
+    rf"""SELECT page_id, place, left(rtrim(regexp_replace(h, '[^\p{{L}}\p{{N}} _-]', '', 'g')), 50) || '_' ||
+               CASE WHEN page_id < 10 THEN '0' ELSE '' END || page_id AS file_name FROM {_HEADINGS}""",
 )
 def p30(spark, sf_dir):
-    heading = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    return table(spark, sf_dir, "pages").select(
-        "page_id", text.safe_name(heading, F.col("page_id")).alias("file_name")
+    return _headings(spark, sf_dir).select(
+        "page_id", "place", text.safe_name(F.col("h"), F.col("page_id")).alias("file_name")
     )
 
 
 @query(
     "p31_ellipsis",
-    """SELECT page_id, CASE WHEN length(h) > 40 THEN left(h, 40) || '...' ELSE h END AS w40,
-              CASE WHEN length(h) > 60 THEN left(h, 60) || '...' ELSE h END AS w60
-       FROM (SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages)""",
+    f"""SELECT page_id, place, CASE WHEN length(h) > 10 THEN left(h, 10) || '...' ELSE h END AS w10,
+              CASE WHEN length(h) > 40 THEN left(h, 40) || '...' ELSE h END AS w40,
+              CASE WHEN length(h) > 60 THEN left(h, 60) || '...' ELSE h END AS w60 FROM {_HEADINGS}""",
 )
 def p31(spark, sf_dir):
-    heading = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    return table(spark, sf_dir, "pages").select(
-        "page_id", text.ellipsis(heading, 40).alias("w40"), text.ellipsis(heading, 60).alias("w60")
-    )
+    cut = [text.ellipsis(F.col("h"), n).alias(f"w{n}") for n in (10, 40, 60)]
+    return _headings(spark, sf_dir).select("page_id", "place", *cut)
 
 
 @query(
