@@ -102,17 +102,17 @@ WITH turns AS (
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '{UNKNOWN}'), coalesce(text, '')) - 1 AS place
   FROM conversations),
 placed AS (SELECT *, CAST(floor(place / {PART_TURNS}) AS BIGINT) AS part FROM turns),
-speakers AS (SELECT DISTINCT conv_id, part, role AS speaker FROM placed WHERE role <> '{SCENE}'),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM placed WHERE role <> '{SCENE}'),
 pieces AS (
   SELECT p.conv_id, p.part, s.speaker, p.place, p.role = s.speaker AS own,
     '{OPEN}' || CASE WHEN p.role = s.speaker THEN 'assistant' WHEN p.role = '{SCENE}' THEN '{SCENE}'
       ELSE 'user name=' || p.role END || chr(10) AS head,
     p.said || '<|im_end|>' || chr(10) AS body
-  FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.part = s.part),
+  FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
 ends AS (
   SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY place) AS stop FROM pieces)
 SELECT conv_id, part, speaker, string_agg(head || body, '' ORDER BY place) AS text,
-  string_agg(CASE WHEN own THEN (stop - length(body))::BIGINT || ':' || stop::BIGINT END, ' ' ORDER BY place) AS spans,
+  coalesce(string_agg(CASE WHEN own THEN (stop - length(body))::BIGINT || ':' || stop::BIGINT END, ' ' ORDER BY place), '') AS spans,
   count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own
 FROM ends GROUP BY conv_id, part, speaker
 """
