@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faretide.llm.frames import keep, rank_within
-from faretide.llm.tokens import encoder, text_slices
+from faretide.llm.tokens import encoder, text_slices, with_end
 
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -67,26 +67,25 @@ def _fullest(left: dict[int, int], room: int) -> list[int]:
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
-    end = end_id.to_bytes(4, "little")
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
             for first, texts in text_slices(batch.column(1)):
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
-                for k, raw in enumerate(encode(texts)):
-                    raw += end
-                    n = len(raw) // 4
+                values, bounds = with_end(*encode(texts), end_id)
+                raw, bounds = memoryview(values.astype("<u4").tobytes()), bounds.tolist()
+                for k, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
+                    n = high - low
                     a, b, number = 0, n % capacity or capacity, 0
                     while a < n:
-                        part = raw[4 * a : 4 * b]
+                        part = raw[4 * (low + a) : 4 * (low + b)]
                         doc.append(first + k)
                         piece.append(number)
                         start.append(a)
                         length.append(b - a)
                         crc.append(zlib.crc32(part))
                         if with_ids:
-                            ids.append(part)
+                            ids.append(bytes(part))
                         a, b, number = b, b + capacity, number + 1
                 columns = [
                     batch.column(0).take(pa.array(doc, pa.int64())),

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faretide.llm.frames import free, keep
-from faretide.llm.tokens import encoder, text_slices
+from faretide.llm.tokens import encoder, text_slices, with_end
 
 MAGIC = b"FTID"
 # A file is closed when it holds this many tokens.
@@ -92,8 +92,6 @@ def unpack_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def _shards(path: str, end_id: int, file_tokens: int):
     """Sorted batches of (doc_id, text) -> one row per run of documents with the plain ids."""
-    end = end_id.to_bytes(4, "little")
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, number = encoder(path), TaskContext.get().partitionId(), 0
         kind = np.uint16 if encode.size <= 1 << 16 else np.uint32
@@ -113,12 +111,17 @@ def _shards(path: str, end_id: int, file_tokens: int):
         for batch in batches:
             names = batch.column(0).to_pylist()
             for first, texts in text_slices(batch.column(1)):
-                for k, raw in enumerate(encode(texts)):
-                    values = np.frombuffer(raw + end, "<u4")
-                    docs.append(names[first + k])
-                    lengths.append(len(values))
-                    ids.append(values.astype(kind))
-                    size += len(values)
+                values, bounds = with_end(*encode(texts), end_id)
+                values, done, rows = values.astype(kind), 0, len(bounds) - 1
+                while done < rows:
+                    # Up to the row that fills the file.
+                    full = int(np.searchsorted(bounds, bounds[done] + file_tokens - size))
+                    last = min(full, rows)
+                    docs += names[first + done : first + last]
+                    lengths += np.diff(bounds[done : last + 1]).tolist()
+                    ids.append(values[bounds[done] : bounds[last]])
+                    size += int(bounds[last] - bounds[done])
+                    done = last
                     if size >= file_tokens:
                         yield row()
                         docs, lengths, ids, size, number = [], [], [], 0, number + 1
@@ -161,8 +164,9 @@ def _write(folder: str, rank_of: np.ndarray):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = []
-            for r in batch.to_pylist():
-                name = f"part-{r['part']:06d}-{r['number']:06d}.ids"
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                name = f"part-{r['part']:09d}-{r['number']:09d}.ids"
                 ranks = rank_of[np.frombuffer(r["ids"], kind)]
                 content = pack_file(
                     np.frombuffer(r["doc_ids"], np.int64),
