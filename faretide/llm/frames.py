@@ -66,21 +66,29 @@ def grouped(df: DataFrame, key: str, function, schema: str) -> DataFrame:
     )
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def keep_numbered(df: DataFrame, label: str) -> DataFrame:
+    """``keep`` with the part that wrote each row, and the row's place, in ``_part`` and ``_row``.
+
+    Both are read back from the table, so they stay the same however its files are split later.
+    """
+    placed = df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    return keep(placed, label)
+
+
+def rank_within(stored: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Number the rows of each key from 0 in arbitrary but gapless order, hot keys included.
 
-    ``df`` must be a stored table. Rows are numbered inside each task; only one row per
-    key and task is shuffled to find where each task's numbers start.
+    ``stored`` is a table of ``keep_numbered``. Rows are numbered inside each part; only one row per
+    key and part is shuffled to find where each part's numbers start.
     """
-    part = F.spark_partition_id()
     order = Window.partitionBy("_part", *keys).orderBy("_row")
-    rows = df.withColumn("_part", part).withColumn("_row", F.monotonically_increasing_id())
-    counts = rows.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    local = rows.withColumn("_local", F.row_number().over(order) - 1)
+    local = stored.withColumn("_local", F.row_number().over(order) - 1)
     joined = local.join(starts, ["_part", *keys])
-    return joined.select(*df.columns, (F.col("_local") + F.col("_start")).cast("long").alias(name))
+    columns = [c for c in stored.columns if c not in ("_part", "_row")]
+    return joined.select(*columns, (F.col("_local") + F.col("_start")).cast("long").alias(name))
 
 
 def rank_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

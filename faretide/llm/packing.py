@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faretide.llm.frames import keep, rank_within
+from faretide.llm.frames import keep_numbered, rank_within
 from faretide.llm.tokens import encoder, text_slices, with_end
 
 
@@ -143,14 +143,15 @@ def _places(plan: list[tuple[dict[int, int], int]]):
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to a stored table with a column ``length`` from 1 to ``capacity``.
+    """Add ``sequence_id`` and ``offset`` to a table with a column ``length`` from 1 to ``capacity``.
 
     Offsets in a sequence are gapless from 0. The driver sees one number per length only. An empty
-    table stays empty. Columns named ``rank``, ``sequence_id`` and ``offset`` must not exist.
+    table stays empty. Columns named ``rank``, ``sequence_id``, ``offset``, ``_part`` and ``_row`` must not exist.
     """
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stored = keep_numbered(pieces, "pieces")
+    counts = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = minimum_bin_slack(counts, capacity)
-    ranked = rank_within(pieces, ["length"], "rank")
+    ranked = rank_within(stored, ["length"], "rank")
     fields = [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     return ranked.mapInArrow(_places(plan), T.StructType(fields))
 
@@ -163,7 +164,7 @@ def pack_documents(
     Null and empty texts give one piece with the end id. Each row of ``docs`` is a document, also where
     doc_id is null or repeated. Other columns are ignored, whatever their names.
     """
-    return pack(keep(token_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces"), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity, end_id, with_ids), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

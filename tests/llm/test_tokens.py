@@ -11,9 +11,10 @@ import pytest
 from helpers import corpus, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from faretide.llm import packing, token_files, tokens
+from faretide.llm import frames, packing, token_files, tokens
 from faretide.session import scratch_path
 
 ROWS = corpus()
@@ -105,6 +106,22 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, []), BYTES).count() == 0
 
 
+def test_numbers_survive_another_split_of_the_files(spark):
+    """As after a lost executor: the table is read in other parts than it was written in."""
+    rows = spark.range(0, 20_000, 1, 7).select((F.col("id") % 3).alias("length"), F.repeat(F.hex("id"), 20).alias("x"))
+    stored = frames.keep_numbered(rows, "numbered")
+    ranked = frames.rank_within(stored, ["length"], "rank").orderBy("length", "rank").collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert stored.rdd.getNumPartitions() != 7
+        assert frames.rank_within(stored, ["length"], "rank").orderBy("length", "rank").collect() == ranked
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for k in range(3):
+        assert [r["rank"] for r in ranked if r["length"] == k] == list(range(len(range(k, 20_000, 3))))
+
+
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300)))
 def test_values_round_trip(values):
     control, data = token_files.encode_values(np.array(values, np.uint32))
