@@ -9,12 +9,13 @@ one text) is compared in blocks that share two pivots, and then block by block a
 documents are not connected yet. No node, partner or candidate is dropped.
 
 With four trees of two branches each, a pair at similarity s is missed by all root nodes with
-probability (1 - s)^8: 2.6e-6 at 0.8. A pair at 0.8 agrees on fewer than 9 of 24 minwise values with
-probability 1e-6. Equal sets always meet: they are merged before.
+probability (1 - s)^8: 2.6e-6 at 0.8. How many of 24 minwise values must agree follows from the threshold, so that
+a pair at the threshold fails with probability 1e-6 at most. Equal sets always meet: they are merged before.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +35,16 @@ DEPTH = 3
 NODE_DOCS = 1024
 # Bytes of text whose sets a task builds at a time.
 CHUNK_BYTES = 4 << 20
-# Minwise values of each set; two sets are compared in full if at least ``AGREEING`` of them agree.
+# Minwise values of each set; two sets are compared in full if at least ``agreeing`` of them agree.
 FUNCTIONS = 24
-AGREEING = 9
+# How likely a pair at the threshold may fail that.
+MISSED = 1e-6
 # Columns of the incidence matrix that are held at a time.
 _COLUMNS = 4096
 
 
 def _set_table(shingle: int, functions: int):
-    """Batches of (doc_id, text) -> size, 128-bit key and minwise values of each set."""
+    """Batches of (doc_id, text, text_key) -> size, 128-bit key and minwise values of each set."""
     salts = seeds(functions, 77)
     s1, s2 = seeds(2, 99)
 
@@ -54,17 +56,17 @@ def _set_table(shingle: int, functions: int):
                 size = np.diff(bounds)
                 some = np.flatnonzero(size)
                 at = bounds[:-1][some]
-                columns = [ids.slice(a, b - a).take(pa.array(some)), pa.array(size[some])]
+                columns = [x.slice(a, b - a).take(pa.array(some)) for x in (ids, batch.column(2))] + [pa.array(size[some])]
                 if len(some):
                     columns += [pa.array(signed(np.add.reduceat(mix(values ^ s), at))) for s in (s1, s2)]
                     columns += [pa.array(signed(np.minimum.reduceat(mix(values ^ s), at))) for s in salts]
                 else:
                     columns += [pa.array([], pa.int64())] * (2 + functions)
-                names = ["doc_id", "n_shingles", "k1", "k2", *[f"m{i}" for i in range(functions)]]
+                names = ["doc_id", "text_key", "n_shingles", "k1", "k2", *[f"m{i}" for i in range(functions)]]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     columns = ", ".join(f"m{i} long" for i in range(functions))
-    return build, f"doc_id long, n_shingles long, k1 long, k2 long, {columns}"
+    return build, f"doc_id long, text_key long, n_shingles long, k1 long, k2 long, {columns}"
 
 
 def similar(values: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
@@ -128,9 +130,24 @@ def _linked(texts: pa.Array, shingle: int, percent: int) -> np.ndarray:
     return near
 
 
-def _promising(batch_groups: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+def agreeing(percent: int, functions: int = FUNCTIONS, missed: float = MISSED) -> int:
+    """Most minwise values that a pair at similarity ``percent`` % fails to agree on with probability ``missed`` at most."""
+    p, below, k = percent / 100, 0.0, 0
+    while k < functions:
+        below += math.comb(functions, k) * p**k * (1 - p) ** (functions - k)
+        if below > missed:
+            break
+        k += 1
+    return k
+
+
+def _promising(least: int):
     """Groups of (node, doc_id, minwise values) -> the parts of each group whose values agree, by (node, part)."""
-    for group in batch_groups:
+    return lambda groups: _agreeing_parts(groups, least)
+
+
+def _agreeing_parts(groups: Iterator[pa.Table], least: int) -> Iterator[pa.RecordBatch]:
+    for group in groups:
         ids = group.column("doc_id").to_numpy()
         values = np.column_stack([group.column(c).to_numpy() for c in group.schema.names if c.startswith("m")])
         ids, order = np.unique(ids, return_index=True)  # pivots may stand twice in a block
@@ -138,7 +155,7 @@ def _promising(batch_groups: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         agree = np.zeros((len(ids), len(ids)), np.int8)
         for column in values.T:
             agree += column[:, None] == column[None, :]
-        near = agree >= AGREEING
+        near = agree >= least
         np.fill_diagonal(near, True)
         root = _smallest_linked(near)
         kept = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
@@ -227,19 +244,35 @@ def near_duplicates(
     the empty set and are linked with nothing. A text with fewer words than ``shingle`` has its whole
     sequence as its only shingle. Rows that repeat a doc_id count as one document and give
     one row, with the values of the larger set; rows without doc_id form one kept row with null
-    ids if there are any. Other columns are ignored, whatever their names.
+    ids if there are any. Of unlike texts under one id the largest set counts, of sets of one size that with the
+    greatest hash. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     roots = trees * branches
+    if roots > FUNCTIONS:
+        raise ValueError(f"trees * branches must be at most {FUNCTIONS}")
+    spark = docs.sparkSession
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).withColumn("text_key", F.xxhash64("text"))
     build, schema = _set_table(shingle, FUNCTIONS)
     sets = keep(texts.mapInArrow(build, schema), "sets")
+    # Of unlike texts under one id the one with the largest set counts; there are few such ids, mostly none.
+    own = F.struct("n_shingles", "k1", "k2", "text_key")
+    mixed = (
+        sets.filter("doc_id is not null")
+        .groupBy("doc_id")
+        .agg(F.max(own).alias("best"), F.min(own).alias("least"))
+        .filter("best <> least")
+        .select("doc_id", "best")
+    )
+    sets = sets.join(mixed, "doc_id", "left").filter(F.col("best").isNull() | (F.col("best") == own)).drop("best")
     mins = [f"m{i}" for i in range(FUNCTIONS)]
 
     distinct = keep(
         sets.filter("doc_id is not null")
         .groupBy("k1", "k2", "n_shingles")
-        .agg(F.min("doc_id").alias("doc_id"), *[F.min(m).alias(m) for m in mins]),
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("first"), *[F.min(m).alias(m) for m in mins])
+        .select("first.*", "k1", "k2", "n_shingles", *mins),
         "distinct",
     )
     slot = F.posexplode(F.array(*mins[:roots])).alias("slot", "value")
@@ -268,7 +301,7 @@ def near_duplicates(
     def promising(groups: DataFrame) -> DataFrame:
         """Members of the parts of each group that need a full comparison."""
         placed = groups.join(distinct.select("doc_id", *mins), "doc_id")
-        parts = keep(grouped(placed, "node", _promising, "node long, part long, doc_id long"), "parts")
+        parts = keep(grouped(placed, "node", _promising(agreeing(percent)), "node long, part long, doc_id long"), "parts")
         parts = parts.select(F.xxhash64("node", "part").alias("node"), "doc_id")
         # Parts with the same documents, mostly one and the same group found in several nodes, count once.
         return keep(parts.join(_count_nodes(parts).select("node"), "node").distinct(), "chosen")
@@ -278,8 +311,16 @@ def near_duplicates(
 
     chosen = promising(members)
     wanted = chosen.select("doc_id") if large is None else chosen.select("doc_id").union(large.select("doc_id"))
-    # The texts are by far the larger side and go once through a shuffle at any size.
-    candidates = keep(texts.hint("merge").join(wanted.distinct(), "doc_id", "left_semi"), "candidates")
+    wanted = distinct.select("doc_id", "text_key").join(wanted.distinct(), "doc_id", "left_semi")
+    # The texts are by far the larger side and go once through a shuffle at any size; repeated rows count once.
+    candidates = keep(
+        texts.hint("merge")
+        .join(wanted, ["doc_id", "text_key"], "left_semi")
+        .groupBy("doc_id", "text_key")
+        .agg(F.first("text").alias("text"))
+        .select("doc_id", "text"),
+        "candidates",
+    )
     free(spark, *used)
     links = keep(compare(chosen, candidates), "found")
     same = components(links)

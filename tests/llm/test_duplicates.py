@@ -1,5 +1,6 @@
 """Near-duplicate classes, components and substring removal against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -52,6 +53,26 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert substring.remove_repeats(frame(spark, []), 5).count() == 0
 
 
+def test_unlike_texts_of_one_id(spark):
+    """The larger set counts for all links of the id, in any order of rows."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(90))
+    rows = [(1, one), (1, two), (2, one + " z"), (3, two + " z"), (4, "c d"), (4, "c d"), (4, None), (1, two)]
+    for order in (rows, rows[::-1]):
+        found = near_dedup.near_duplicates(frame(spark, order)).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == [
+            (1, 86, 1), (2, 57, 2), (3, 87, 1), (4, 1, 4)]
+
+
+def test_how_many_values_must_agree():
+    assert near_dedup.agreeing(80) == 9
+    for percent in (30, 50, 85, 99):
+        k, p = near_dedup.agreeing(percent), percent / 100
+        below = [sum(math.comb(24, i) * p**i * (1 - p) ** (24 - i) for i in range(n)) for n in (k, k + 1)]
+        assert below[0] <= near_dedup.MISSED < below[1]
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(None, trees=9, branches=3)
+
+
 @pytest.mark.parametrize("length", [5, 20, 50])
 def test_substring_removal(spark, length):
     found = substring.remove_repeats(frame(spark, ROWS), length).collect()
