@@ -14,6 +14,7 @@ from faretide.session import scratch_path
 from faretide.sources import alerts as alert_source
 from faretide.sources import documents
 from faretide.sources import observations as source
+from faretide.sources import storage
 from faretide.sources.series import price_series
 
 _W = f"WITH {q.EVENTS} "
@@ -262,3 +263,17 @@ def s15(spark, sf_dir):
     path = scratch_path(spark, "table")
     source.append_observations(events_obs(spark, sf_dir), path)
     return source.retain(source.read_table(spark, path), 7).select("seq")
+
+
+@query(
+    "s15_freed_storage",
+    _W + "SELECT seq, hotel_name, price FROM obs WHERE obs_date >= (SELECT max(obs_date) FROM obs) - 7",
+)
+def s15_freed(spark, sf_dir):
+    """Three appends, their small files of closed days rewritten, and all but eight days deleted."""
+    obs, path = events_obs(spark, sf_dir), scratch_path(spark, "table")
+    for k in range(3):
+        source.append_observations(obs.filter(F.col("seq") % 3 == k), path)
+    storage.compact_days(spark, path)
+    storage.drop_old_days(spark, path, 7)
+    return source.read_table(spark, path).select("seq", "hotel_name", "price")
