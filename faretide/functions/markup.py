@@ -36,8 +36,31 @@ def _named(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+# Whatever the selectors below look for in classes and data attributes.
+_SELECTABLE = "(?i)" + "|".join(
+    rf"\Q{v}\E"
+    for v in dict.fromkeys(
+        [
+            *fv.NAME_CLASSES,
+            *fv.NAME_CLASS_PARTS,
+            "price",
+            fv.WHOLE_PARTY_CLASS,
+            *fv.PRICE_CLASSES,
+            *fv.PRICE_CLASS_PARTS,
+            *fv.DATE_CLASSES,
+            *fv.DATE_CLASS_PARTS,
+            *fv.DATE_ATTRIBUTES,
+            *fv.DATE_LAST_CLASSES,
+            *fv.DURATION_CLASSES,
+            *fv.DURATION_CLASS_PARTS,
+            *fv.DURATION_ATTRIBUTES,
+        ]
+    )
+)
+
+
 def _parsed(html: Column, use) -> Column:
-    """``use(elements)`` with the elements of a card that are headings or carry a class or data attribute.
+    """``use(elements)`` with the elements of a card that are headings, or whose tag names what a selector looks for.
 
     The markup is cut at every ``<``; each element has its tag name, classes, data attributes and text. The text
     runs to the first closing tag of that name, or to the next tag if it is never closed; images have none.
@@ -55,7 +78,8 @@ def _parsed(html: Column, use) -> Column:
             name = F.get(card["names"], i)
             kind = F.regexp_extract(tag, r"""(?i)\sclass\s*=\s*["']([^"']*)""", 1)
             data = F.regexp_extract_all(F.lower(tag), F.lit(r"\s(data-[a-z]+)"), F.lit(1))
-            marked = (i > 0) & ((kind != "") | (F.size(data) > 0) | name.rlike("^h[1-6]$"))
+            # Texts are taken only of elements that a selector may choose.
+            marked = (i > 0) & (name.isin(fv.HEADING_TAGS) | tag.rlike(_SELECTABLE))
             whole = F.when(name.isin("img", "input"), F.lit("")).otherwise(inner_text(card, i + 1, name))
             return F.when(
                 marked & name.rlike("^[a-z]"),

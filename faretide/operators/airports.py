@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,9 +36,11 @@ def missing_in_base(
 
 
 def cheaper_alternatives(base: DataFrame, other: DataFrame, keys: Sequence[str] = ITEM) -> DataFrame:
-    """Items whose lowest price in ``other`` beats their lowest price in ``base``."""
+    """Items whose lowest price in ``other`` beats their lowest price in ``base``.
+
+    Both sides go tagged through one aggregate, so they are shuffled once and only after their partial results.
+    """
     keys = list(keys)
-    lowest = base.groupBy(*keys).agg(F.min("price").alias("base_price"))
     taken = {
         "departure_airport": "best_departure_airport",
         "offer_url": "best_offer_url",
@@ -44,15 +48,15 @@ def cheaper_alternatives(base: DataFrame, other: DataFrame, keys: Sequence[str]
         "duration": "best_duration",
     }
     taken = {c: name for c, name in taken.items() if c in other.columns}
-    best = _best(other.select(*keys, "price", "seq", *taken), keys)
-    joined = lowest.join(
-        best.select(
-            *keys,
-            F.col("price").alias("best_other_price"),
-            *[F.col(c).alias(name) for c, name in taken.items()],
-        ),
-        keys,
-    ).filter(F.col("best_other_price") < F.col("base_price"))
+    offer = F.struct("price", "seq", *taken)
+    # Items without a name have no counterpart.
+    priced = reduce(and_, [F.col(c).isNotNull() for c in (*keys, "price")])
+    sides = base.filter(priced).select(*keys, F.col("price").alias("_base")).unionByName(
+        other.filter(priced).select(*keys, offer.alias("_offer")), allowMissingColumns=True
+    )
+    lowest = sides.groupBy(*keys).agg(F.min("_base").alias("base_price"), F.min("_offer").alias("_best"))
+    named = [F.col("_best.price").alias("best_other_price"), *[F.col(f"_best.{c}").alias(n) for c, n in taken.items()]]
+    joined = lowest.select(*keys, "base_price", *named).filter(F.col("best_other_price") < F.col("base_price"))
     base_price, best_price = F.col("base_price"), F.col("best_other_price")
     return joined.withColumn("savings", savings(base_price, best_price)).withColumn(
         "savings_percent", savings_pct(base_price, best_price)

@@ -27,6 +27,13 @@ def test_documented_case(sides):
     assert as_set(cheaper, "hotel_name", "savings", "best_offer_url", "best_dates") == [("A", 500.0, "o0", "d0")]
 
 
+def test_alternatives_take_one_shuffle_and_leave_out_what_has_no_name(sides, make_obs):
+    plan = airports.cheaper_alternatives(*sides)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and "Join" not in plan
+    dear, cheap = (make_obs([{"hotel_name": None, "price": p}, {"hotel_name": "Z", "price": None}]) for p in (9.0, 1.0))
+    assert airports.cheaper_alternatives(dear, cheap).count() == 0
+
+
 def test_counters(sides):
     row = airports.comparison_summary(*sides).first().asDict()
     assert row == {
