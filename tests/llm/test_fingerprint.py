@@ -68,4 +68,4 @@ def test_few_rows(spark):
     only = fingerprint.edit_likeness(frame(spark, [(4, "abcdefgh")])).collect()
     assert len(only) == 1 and only[0]["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
     odd = fingerprint.edit_likeness(frame(spark, [(None, "zzzzz"), (1, None), (1, "abcdefgh"), (1, "abcdefgh")])).collect()
-    assert [r["n_chars"] for r in odd] == [5, 0, 8, 8] or len(odd) == 4
+    assert sorted(r["n_chars"] for r in odd) == [0, 5, 8, 8]
