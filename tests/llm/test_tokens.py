@@ -111,13 +111,12 @@ def test_numbers_survive_another_split_of_the_files(spark):
     rows = spark.range(0, 20_000, 1, 7).select((F.col("id") % 3).alias("length"), F.repeat(F.hex("id"), 20).alias("x"))
     stored = frames.keep_numbered(rows, "numbered")
     ranked = frames.rank_within(stored, ["length"], "rank").orderBy("length", "rank").collect()
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
     try:
         assert stored.rdd.getNumPartitions() != 7
         assert frames.rank_within(stored, ["length"], "rank").orderBy("length", "rank").collect() == ranked
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
     for k in range(3):
         assert [r["rank"] for r in ranked if r["length"] == k] == list(range(len(range(k, 20_000, 3))))
 
