@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faretide import fixed_values as fv
 from faretide.functions.money import change_class
 from faretide.functions.text import contains_term
-from faretide.plans.ranges import range_join
+from faretide.plans.ranges import range_join, range_totals
 from faretide.plans.shape import pin
 from faretide.schema import KEY
 
@@ -107,6 +107,12 @@ def tag_bands(df: DataFrame, bands: DataFrame) -> DataFrame:
     return range_join(df, bands.select("band", "low", "high"), "price").drop("low", "high")
 
 
+def band_totals(df: DataFrame, bands: DataFrame) -> DataFrame:
+    """Offers, lowest and highest price of each band that holds any: ``tag_bands`` grouped by band, without its rows."""
+    found = range_totals(df, bands.select("band", "low", "high"), "price")
+    return found.toDF("band", "offers", "min_price", "max_price")
+
+
 def by_change_class(df: DataFrame, change: str, change_col: str = "delta") -> DataFrame:
     return df.filter(change_class(F.col(change_col)) == change)
 

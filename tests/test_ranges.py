@@ -59,6 +59,34 @@ def test_ten_thousand_bands_meet_few_wrong_points(spark):
     assert as_set(joined, "id", "band") == brute(values, bands)
 
 
+def test_totals_of_bands_without_their_rows(spark):
+    """The same as joining and grouping, for shared names, ends and values too; no row per point and band is made."""
+    rng = random.Random(5)
+    values = [rng.choice([rng.uniform(-50, 50), float(rng.randrange(-9, 9)), None, 0.0, -0.0]) for _ in range(300)]
+    values += [math.nan, math.inf, -math.inf, 1e12, 1e-12] + [7.0] * 500
+    bands = [("all", None, None, ""), ("none", 5.0, 4.0, ""), ("nan", math.nan, 9.0, ""), ("far", 1e300, None, ""),
+             ("inf", math.inf, math.inf, ""), ("below", None, -1e300, ""), ("point", 0.0, -0.0, ""), ("gap", 60.0, 70.0, "")]
+    for k in range(300):
+        low = rng.choice([None, rng.uniform(-60, 60), float(rng.randrange(-9, 9))])
+        bands.append((f"b{k % 120}", low, rng.choice([None, (low or 0) + rng.choice([0.0, 1e-9, 0.5, 3.0, 64.0])]), "n"))
+    held = {}
+    for i, name in brute(values, bands):
+        held.setdefault(name, []).append(values[i])
+    want = sorted((name, len(v), min(v), max(v)) for name, v in held.items())
+    for rows in (values, []):
+        found = ranges.range_totals(points(spark, rows), spark.createDataFrame(bands, BANDS), "price")
+        assert as_set(found, "band", "n", "least", "most") == (sorted(want, key=repr) if rows else [])
+
+
+def test_totals_read_no_row_per_point_and_band(spark):
+    """A thousand bands over a thousand prices: the ends and the distinct prices are the most that any step holds."""
+    prices = points(spark, [float(k) for k in range(1000)])
+    bands = spark.createDataFrame([(f"b{k}", 0.0, 1e6, "") for k in range(1000)], BANDS)
+    totals = ranges.range_totals(prices, bands, "price")
+    assert totals.filter("n <> 1000 or least <> 0 or most <> 999").count() == 0 and totals.count() == 1000
+    assert "_level" not in totals._jdf.queryExecution().analyzed().toString()
+
+
 def test_empty_sides_and_the_fixed_bands(spark):
     from faretide import fixed_values as fv
 
