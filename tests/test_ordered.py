@@ -94,3 +94,21 @@ def test_rows_beyond_the_delay_are_dropped(spark, make_obs, tmp_path):
         ordered.feed_pairs(stream, feed, state, delay="3 hours")
     got = as_set(ordered.standing_pairs(ordered.read_feed(spark, feed)), "old_price", "new_price")
     assert got == [(1.0, 3.0), (3.0, 2.0)]
+
+
+def test_a_batch_is_folded_without_a_call_per_pane(spark, make_obs, tmp_path):
+    """No keyed state, so the cost of a batch is that of its rows; a repeated batch replaces what it wrote."""
+    source, feed, state = (str(tmp_path / n) for n in ("in", "feed", "state"))
+    rows = [{"hotel_name": f"h{k % 400}", "observed_at": at(f"2025-01-{1 + k % 20:02d}T0{k % 7}:00:00"), "seq": k, "price": float(k)}
+            for k in range(2000)]
+    frame = make_obs(rows).select("dataset", "hotel_name", "price", "observed_at", "seq")
+    frame.repartition(2).write.parquet(source)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ordered.feed_pairs(stream, feed, state)
+    assert not list((tmp_path / "state").rglob("state/0"))
+    columns = ["hotel_name", "old_price", "new_price", "changed_at"]
+    want = as_set(consecutive_pairs(frame), *columns)
+    assert as_set(ordered.standing_pairs(ordered.read_feed(spark, feed)), *columns) == want
+    again = spark.read.schema(ordered._ROWS).parquet(f"{feed}/rows").filter("ingest_batch = 1").drop("ingest_batch").localCheckpoint()
+    ordered.fold_pairs(again, feed, 1)
+    assert as_set(ordered.standing_pairs(ordered.read_feed(spark, feed)), *columns) == want
