@@ -15,6 +15,7 @@ from faretide.functions.text import first_filled, normalize_dates, normalize_tex
 from faretide.functions.urls import airport_name, departure_from_url, destination_slug, link_or
 from faretide.operators.filters import under_cap
 from faretide.operators.ranking import first_by
+from faretide.plans.shape import attach
 from faretide.schema import KEY
 
 ITEM = ("hotel_name",)
@@ -197,8 +198,9 @@ def same_destination_and_dates(other: DataFrame, base: DataFrame) -> DataFrame:
 
     # Few spellings serve many rows, so they are normalised once each and rows match by spelling.
     matching = spellings(other).join(spellings(base).select("_dates"), "_dates", "left_semi")
-    at_place = other.select("*", slug).join(slugs, "_slug", "left_semi").drop("_slug")
-    return at_place.join(matching.select("dates"), "dates", "left_semi")
+    # Places and days are few and each is that of very many rows, so the rows stay where they are.
+    at_place = attach(other.select("*", slug), slugs, ["_slug"], "left_semi").drop("_slug")
+    return attach(at_place, matching.select("dates"), ["dates"], "left_semi").select(*other.columns)
 
 
 def alternatives_for_items(items: DataFrame, alternatives: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Steps whose share of one task or of the driver must not grow with the tables."""
 
+from faretide.operators import airports
 from faretide.registry import document_queries
 
 
@@ -10,3 +11,20 @@ def test_ordered_files_are_written_by_many_tasks(spark, monkeypatch):
     numbered = document_queries.s02(spark, "/root/testdata/sf0.001")
     assert len(written) == 2 and not any("Repartition" in d._jdf.queryExecution().analyzed().toString() for d in written)
     assert numbered.count() == numbered.select("seq").distinct().count() == written[0].count() + written[1].count()
+
+
+def test_rows_of_hot_places_and_days_stay_where_they_are(spark, make_obs):
+    """Few places and days serve all rows, so no task reads the rows of one of them."""
+    link = "https://search.example.com/wycieczka/dest{},offer,1"
+    rows = [{"hotel_name": "h", "dates": f"0{1 + k % 3}.05.2025 - 09.05.2025", "offer_url": link.format(k % 4), "url": ""} for k in range(60)]
+    other, base = make_obs(rows), make_obs(rows[:2])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        same = airports.same_destination_and_dates(other, base)
+        plan = same._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan.split("Initial Plan")[-1] and "Exchange hashpartitioning(_slug" not in plan
+    assert same.columns == other.columns
+    assert sorted(r["seq"] for r in same.collect()) == [k for k in range(60) if k % 4 < 2 and k % 3 < 2]
