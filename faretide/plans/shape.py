@@ -15,6 +15,8 @@ LOCAL_ROWS = 50_000
 BROADCAST_ROWS = 500_000
 # Rows of one key that a single task sorts comfortably.
 SERIES_ROWS = 5_000_000
+# Blocks that heavy keys are cut into. The driver hears of every block, so in very large tables blocks grow instead.
+MAX_BLOCKS = 500
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -62,7 +64,8 @@ def split_heavy(
     ``_block``: blocks of a key are disjoint ranges of ``order``, ascending, of
     roughly even size however skewed the keys or the order values are. It is
     checkpointed, so every later use sees the same blocks and a lost executor
-    does not redraw the ranges.
+    does not redraw the ranges. There are at most ``MAX_BLOCKS``; what the driver samples and keeps
+    of them stays the same however many rows there are.
     """
     heavy = heavy_keys(df, keys, max_rows)
     found = heavy.agg(F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows")).first()
@@ -71,7 +74,7 @@ def split_heavy(
     ensure_checkpoint_dir(df.sparkSession)
     heavy = heavy.select(*keys).checkpoint()
     light = attach(df, heavy, keys, "left_anti")
-    blocks = -(-found["rows"] // max_rows) * 2
+    blocks = min(-(-found["rows"] // max_rows) * 2, MAX_BLOCKS)
     ranged = (
         attach(df, heavy, keys, "left_semi")
         .repartitionByRange(blocks, *keys, *order)

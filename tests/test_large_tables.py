@@ -1,6 +1,7 @@
 """Steps whose share of one task or of the driver must not grow with the tables."""
 
 from faretide.operators import airports
+from faretide.plans import shape
 from faretide.registry import document_queries
 
 
@@ -28,3 +29,12 @@ def test_rows_of_hot_places_and_days_stay_where_they_are(spark, make_obs):
     assert "SortMergeJoin" not in plan.split("Initial Plan")[-1] and "Exchange hashpartitioning(_slug" not in plan
     assert same.columns == other.columns
     assert sorted(r["seq"] for r in same.collect()) == [k for k in range(60) if k % 4 < 2 and k % 3 < 2]
+
+
+def test_blocks_of_heavy_keys_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(shape, "MAX_BLOCKS", 7)
+    rows = spark.range(3000).selectExpr("'d' AS k", "id AS t", "IF(id < 0, NULL, id * 2) AS v")
+    _, heavy = shape.split_heavy(rows, ["k"], ["t"], max_rows=10)
+    assert heavy.select("_block").distinct().count() <= 7
+    lagged = shape.lag_in_series(rows, ["v"], ["k"], ["t"], max_rows=10)
+    assert lagged.count() == 3000 and lagged.filter("NOT (prev_v <=> IF(t = 0, NULL, v - 2))").count() == 0
