@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faretide.llm.frames import free, grouped, keep
+from faretide.llm.frames import free, grouped, keep, released
 from faretide.llm.graph import components
 from faretide.llm.words import mix, seeds, signed, slices
 
@@ -255,7 +255,7 @@ def near_duplicates(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     ).withColumn("text_key", F.xxhash64("text"))
     build, schema = _set_table(shingle, FUNCTIONS)
-    sets = keep(texts.mapInArrow(build, schema), "sets")
+    sets = keep(texts.mapInArrow(released(build), schema), "sets")
     # Of unlike texts under one id the one with the largest set counts; there are few such ids, mostly none.
     own = F.struct("n_shingles", "k1", "k2", "text_key")
     mixed = (

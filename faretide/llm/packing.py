@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faretide.llm.frames import keep_numbered, rank_within
+from faretide.llm.frames import keep_numbered, rank_within, released
 from faretide.llm.tokens import encoder, text_slices, with_end
 
 
@@ -110,7 +110,7 @@ def token_pieces(
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), schema)
+    return texts.mapInArrow(released(_pieces(tokenizer, capacity, end_id, with_ids)), schema)
 
 
 def _places(plan: list[tuple[dict[int, int], int]]):
@@ -153,7 +153,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     plan = minimum_bin_slack(counts, capacity)
     ranked = rank_within(stored, ["length"], "rank")
     fields = [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    return ranked.mapInArrow(_places(plan), T.StructType(fields))
+    return ranked.mapInArrow(released(_places(plan)), T.StructType(fields))
 
 
 def pack_documents(

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faretide.llm.frames import released
 from faretide.llm.labelled import held_out, plain_texts, training_labels
 from faretide.llm.words import column_bytes, slices
 
@@ -160,7 +161,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
     # ``most`` narrow rows bound this side.
     chosen = F.broadcast(training_labels(labels, label, most))
     rows = plain_texts(docs).join(chosen, "doc_id").select("label", "text")
-    found = rows.mapInArrow(_measure, "label int, row array<double>").toArrow()
+    found = rows.mapInArrow(released(_measure), "label int, row array<double>").toArrow()
     x = found.column("row").combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1) if found.num_rows else np.zeros((0, 13 + len(_CLASSES)))
     y = found.column("label").to_numpy().astype(float)
     # The rows' order depends on the cluster; sums of floats must not.
@@ -181,7 +182,7 @@ def score_quality(docs: DataFrame, model: Forest, threshold: float = 0.3) -> Dat
                 [batch.column(0), pa.array(model.score(statistics(batch.column(1))))], ["doc_id", "score"]
             )
 
-    scored = plain_texts(docs).mapInArrow(build, "doc_id long, score double")
+    scored = plain_texts(docs).mapInArrow(released(build), "doc_id long, score double")
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faretide.llm.frames import free, keep
+from faretide.llm.frames import free, keep, released
 from faretide.llm.words import Rolling, Words, signed, slices
 
 SPANS = T.ArrayType(
@@ -184,7 +184,7 @@ def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     ).filter("doc_id is not null")
     build, schema = _first_level(length, levels[0])
-    base = keep(texts.mapInArrow(build, schema), "anchors")
+    base = keep(texts.mapInArrow(released(build), schema), "anchors")
     whole = base.filter(F.col("n_words") >= length)
     firsts = keep(
         whole.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(),
@@ -199,7 +199,7 @@ def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
     free(spark, anchors, repeated)
     build, schema = _extend(length, levels)
     windows = keep(
-        texts.join(alive, "doc_id").select("doc_id", "text", "places").mapInArrow(build, schema), "windows"
+        texts.join(alive, "doc_id").select("doc_id", "text", "places").mapInArrow(released(build), schema), "windows"
     )
     free(spark, alive)
     for k in range(len(levels) - 2):
@@ -224,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
     spans = keep(
         covered.groupBy("doc_id")
         .agg(F.collect_set("place").alias("places"))
-        .mapInArrow(_merge_spans(length), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", SPANS)])),
+        .mapInArrow(released(_merge_spans(length)), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", SPANS)])),
         "spans",
     )
     free(spark, windows, earliest)
@@ -298,4 +298,4 @@ def remove_repeats(
             T.StructField("n_removed", T.LongType()),
         ]
     )
-    return joined.mapInArrow(_cut(rejoin), out)
+    return joined.mapInArrow(released(_cut(rejoin)), out)

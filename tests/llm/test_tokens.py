@@ -1,6 +1,7 @@
 """Token ids, packing and token files: exact round trips."""
 
 import random
+import tracemalloc
 import zlib
 from functools import lru_cache
 
@@ -148,3 +149,35 @@ def test_token_files(spark):
     assert token_files.read_token_files(spark, empty).count() == 0
     with pytest.raises(ValueError):
         token_files.unpack_file(b"FTID" + bytes(30))
+
+
+def test_units_are_learnt_in_blocks_and_kept_small(monkeypatch):
+    """What a worker remembers stands beside the next stage's memory, so a unit takes tens of bytes."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) + rng.choice(["", "7", "é", "#"]) for _ in range(20_000)]
+    texts = pa.array([" ".join(words), None, " ".join(words[::-1]), "", "a  b\n" + words[0]])
+    encode = tokens.Encoder(BYTES)
+    encode(texts.slice(3))
+    tracemalloc.start()
+    try:
+        ids, bounds = encode(texts)
+        held = tracemalloc.get_traced_memory()[0] - ids.nbytes - bounds.nbytes
+    finally:
+        tracemalloc.stop()
+    want = [direct(BYTES)(t) for t in texts.to_pylist()]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    assert len(encode._known) > 20_000 and held < 80 * len(encode._known)
+    monkeypatch.setattr(tokens, "_JOINED", 7)
+    assert tokens.Encoder(BYTES)(texts.slice(4))[0].tolist() == want[4]
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    given_back = []
+    monkeypatch.setattr(frames, "give_back", lambda: given_back.append(1))
+    assert list(frames.released(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4] and given_back == [1]
+    stopped = frames.released(lambda batches: batches)(iter([1, 2]))
+    next(stopped)
+    stopped.close()
+    assert given_back == [1, 1]
+    monkeypatch.undo()
+    frames.give_back()
