@@ -11,7 +11,7 @@ from faretide import fixed_values as fv
 from faretide.functions.money import change_class
 from faretide.functions.text import contains_term
 from faretide.plans.ranges import range_join, range_totals
-from faretide.plans.shape import pin
+from faretide.plans.shape import is_small, pin
 from faretide.schema import KEY
 
 
@@ -117,9 +117,19 @@ def by_change_class(df: DataFrame, change: str, change_col: str = "delta") -> Da
     return df.filter(change_class(F.col(change_col)) == change)
 
 
+def _by_items(df: DataFrame, items: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join with the distinct items: broadcast if they are few, else a hash table of each task's share of them.
+
+    The rows of ``df`` are never sorted, so a task's memory follows its items and not its rows.
+    """
+    found = items.select(*on).distinct()
+    found = F.broadcast(found) if is_small(found) else found.hint("shuffle_hash")
+    return df.join(found, list(on), how)
+
+
 def keep_items(df: DataFrame, items: DataFrame, on: Sequence[str] = ("hotel_name",)) -> DataFrame:
-    return df.join(items.select(*on).distinct(), list(on), "left_semi")
+    return _by_items(df, items, on, "left_semi")
 
 
 def drop_items(df: DataFrame, items: DataFrame, on: Sequence[str] = ("hotel_name",)) -> DataFrame:
-    return df.join(items.select(*on).distinct(), list(on), "left_anti")
+    return _by_items(df, items, on, "left_anti")

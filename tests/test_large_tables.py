@@ -1,6 +1,6 @@
 """Steps whose share of one task or of the driver must not grow with the tables."""
 
-from faretide.operators import airports
+from faretide.operators import airports, filters
 from faretide.plans import shape
 from faretide.registry import document_queries
 
@@ -38,3 +38,22 @@ def test_blocks_of_heavy_keys_are_bounded(spark, monkeypatch):
     assert heavy.select("_block").distinct().count() <= 7
     lagged = shape.lag_in_series(rows, ["v"], ["k"], ["t"], max_rows=10)
     assert lagged.count() == 3000 and lagged.filter("NOT (prev_v <=> IF(t = 0, NULL, v - 2))").count() == 0
+
+
+def test_rows_are_not_sorted_to_keep_or_drop_items(spark, make_obs, monkeypatch):
+    """Rows of kept and dropped items stream past a table of the items, whether those are few or many."""
+    rows = make_obs([{"hotel_name": n} for n in ["a", "b", "a", None, "c", "a"]])
+    items = make_obs([{"hotel_name": n} for n in ["a", "c", "a", None, "x"]])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for small, join in ((True, "BroadcastHashJoin"), (False, "ShuffledHashJoin")):
+            monkeypatch.setattr(filters, "is_small", lambda df, small=small: small)
+            kept, dropped = filters.keep_items(rows, items), filters.drop_items(rows, items)
+            for df in (kept, dropped):
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert join in plan and "SortMergeJoin" not in plan
+            assert sorted(r["seq"] for r in kept.collect()) == [0, 2, 4, 5]
+            assert sorted(r["seq"] for r in dropped.collect()) == [1, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
