@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -36,20 +36,26 @@ def missing_in_base(
     return best.join(base.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def cheaper_alternatives(base: DataFrame, other: DataFrame, keys: Sequence[str] = ITEM) -> DataFrame:
+_TAKEN = {
+    "departure_airport": "best_departure_airport",
+    "offer_url": "best_offer_url",
+    "dates": "best_dates",
+    "duration": "best_duration",
+}
+
+
+def cheaper_alternatives(
+    base: DataFrame, other: DataFrame, keys: Sequence[str] = ITEM, taken: Mapping[str, str] = _TAKEN
+) -> DataFrame:
     """Items whose lowest price in ``other`` beats their lowest price in ``base``.
 
     Both sides go tagged through one aggregate, so they are shuffled once and only after their partial results.
+    Every offer passes a sort with what is ``taken`` of it (column -> name in the result): where links and texts are
+    made of narrow columns, take those and make the texts of the chosen offers.
     """
     keys = list(keys)
-    taken = {
-        "departure_airport": "best_departure_airport",
-        "offer_url": "best_offer_url",
-        "dates": "best_dates",
-        "duration": "best_duration",
-    }
     taken = {c: name for c, name in taken.items() if c in other.columns}
-    offer = F.struct("price", "seq", *taken)
+    offer = F.struct("price", "seq", *[c for c in taken if c != "seq"])
     # Items without a name have no counterpart.
     priced = reduce(and_, [F.col(c).isNotNull() for c in (*keys, "price")])
     sides = base.filter(priced).select(*keys, F.col("price").alias("_base")).unionByName(

@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from faretide import fixed_values as fv
 from faretide.adapters import base_and_any, events_obs, table
-from faretide.operators import airports, changes
+from faretide.operators import changes
 from faretide.registry import query
 from faretide.registry import sql as q
-from faretide.registry.airport_queries import CHEAPER
+from faretide.registry.airport_queries import CHEAPER, cheaper_with_texts
 from faretide.registry.change_queries import _pairs_sql
 from faretide.schema import CHEAPER_ALTERNATIVE
 from faretide.session import scratch_path
@@ -169,7 +169,7 @@ def s08(spark, sf_dir):
 @query("s09_comparison_document", f"WITH {q.LINEITEM}" + CHEAPER + " SELECT * FROM cheaper")
 def s09(spark, sf_dir):
     path = scratch_path(spark, "comparison")
-    documents.write_document(airports.cheaper_alternatives(*base_and_any(spark, sf_dir)), path)
+    documents.write_document(cheaper_with_texts(*base_and_any(spark, sf_dir)), path)
     return documents.read_document(spark, path, CHEAPER_ALTERNATIVE)
 
 

@@ -50,7 +50,8 @@ def _money(expr):
 def r01(spark, sf_dir):
     base, everything = base_and_any(spark, sf_dir)
     missing = airports.missing_in_base(base, everything)
-    return reports.comparison_rows(missing, airports.cheaper_alternatives(base, everything)).drop("dataset")
+    cheaper = airports.cheaper_alternatives(base, everything, taken={"departure_airport": "best_departure_airport"})
+    return reports.comparison_rows(missing, cheaper).drop("dataset")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from faretide.operators import airports, filters
 from faretide.plans import shape
-from faretide.registry import document_queries
+from faretide.registry import airport_queries, document_queries
 
 
 def test_ordered_files_are_written_by_many_tasks(spark, monkeypatch):
@@ -57,3 +57,12 @@ def test_rows_are_not_sorted_to_keep_or_drop_items(spark, make_obs, monkeypatch)
             assert sorted(r["seq"] for r in dropped.collect()) == [1, 3]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_links_are_made_for_chosen_offers_only(spark):
+    """No text of an offer goes through the sort that finds the cheapest."""
+    for query in (airport_queries.j02, airport_queries.j06, airport_queries.j06b):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        aggregates = [line for line in plan.split("\n") if "Aggregate" in line and "_offer" in line]
+        below = plan[plan.index(aggregates[0]) + len(aggregates[0]) :]
+        assert aggregates and "/kierunek/" not in below and "/wycieczka/" not in below and "dd.MM.yyyy" not in below
