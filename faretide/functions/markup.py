@@ -22,7 +22,8 @@ def strip_tags(col: Column) -> Column:
 
 
 def _without_hidden(html: Column) -> Column:
-    hidden = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+    # Every alternative starts after one "<", so that other characters are passed over without trying them.
+    hidden = r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->)"
     return F.regexp_replace(html, hidden, " ")
 
 
@@ -36,27 +37,23 @@ def _named(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-# Whatever the selectors below look for in classes and data attributes.
-_SELECTABLE = "(?i)" + "|".join(
-    rf"\Q{v}\E"
-    for v in dict.fromkeys(
-        [
-            *fv.NAME_CLASSES,
-            *fv.NAME_CLASS_PARTS,
-            "price",
-            fv.WHOLE_PARTY_CLASS,
-            *fv.PRICE_CLASSES,
-            *fv.PRICE_CLASS_PARTS,
-            *fv.DATE_CLASSES,
-            *fv.DATE_CLASS_PARTS,
-            *fv.DATE_ATTRIBUTES,
-            *fv.DATE_LAST_CLASSES,
-            *fv.DURATION_CLASSES,
-            *fv.DURATION_CLASS_PARTS,
-            *fv.DURATION_ATTRIBUTES,
-        ]
-    )
-)
+_SOUGHT = {
+    *fv.NAME_CLASSES,
+    *fv.NAME_CLASS_PARTS,
+    "price",
+    fv.WHOLE_PARTY_CLASS,
+    *fv.PRICE_CLASSES,
+    *fv.PRICE_CLASS_PARTS,
+    *fv.DATE_CLASSES,
+    *fv.DATE_CLASS_PARTS,
+    *fv.DATE_ATTRIBUTES,
+    *fv.DATE_LAST_CLASSES,
+    *fv.DURATION_CLASSES,
+    *fv.DURATION_CLASS_PARTS,
+    *fv.DURATION_ATTRIBUTES,
+}
+# Whatever the selectors below look for in classes and data attributes; a value that holds another is found by that.
+_SELECTABLE = "(?i)" + "|".join(rf"\Q{v}\E" for v in sorted(_SOUGHT) if not any(w in v for w in _SOUGHT - {v}))
 
 
 def _parsed(html: Column, use) -> Column:
@@ -77,12 +74,14 @@ def _parsed(html: Column, use) -> Column:
         def element(tag: Column, i: Column) -> Column:
             name = F.get(card["names"], i)
             kind = F.regexp_extract(tag, r"""(?i)\sclass\s*=\s*["']([^"']*)""", 1)
-            data = F.regexp_extract_all(F.lower(tag), F.lit(r"\s(data-[a-z]+)"), F.lit(1))
+            data = F.when(
+                tag.rlike(r"(?i)\sdata-"), F.regexp_extract_all(F.lower(tag), F.lit(r"\s(data-[a-z]+)"), F.lit(1))
+            ).otherwise(F.array().cast("array<string>"))
             # Texts are taken only of elements that a selector may choose.
-            marked = (i > 0) & (name.isin(fv.HEADING_TAGS) | tag.rlike(_SELECTABLE))
+            marked = (i > 0) & (name >= "a") & (name.isin(fv.HEADING_TAGS) | tag.rlike(_SELECTABLE))
             whole = F.when(name.isin("img", "input"), F.lit("")).otherwise(inner_text(card, i + 1, name))
             return F.when(
-                marked & name.rlike("^[a-z]"),
+                marked,
                 F.struct(name.alias("name"), kind.alias("class"), F.split(kind, r"\s+").alias("classes"), data.alias("data"), whole.alias("text")),
             )
 
@@ -90,7 +89,10 @@ def _parsed(html: Column, use) -> Column:
 
     def card(pieces: Column) -> Column:
         is_text = lambda s, i: (i == 0) | ~s.rlike(r"^[/A-Za-z!]")
-        names = F.transform(pieces, lambda s: F.lower(F.regexp_extract(s, r"^/?[A-Za-z][A-Za-z0-9]*", 0)))
+        # Lower case is dear beside the rest of a card, and most tags are written in it.
+        lowered = lambda n: F.when(n.rlike("[A-Z]"), F.lower(n)).otherwise(n)
+        raw = F.transform(pieces, lambda s: F.regexp_extract(s, r"^/?[A-Za-z][A-Za-z0-9]*", 0))
+        names = F.transform(raw, lowered)
         return F.struct(
             names.alias("names"),
             F.array_distinct(F.filter(names, lambda n: n.startswith("/"))).alias("closing"),
@@ -106,34 +108,35 @@ def _parsed(html: Column, use) -> Column:
     )
 
 
-def _selectors(*groups: tuple[str, list[str]]) -> Column:
-    """Selectors in priority order, as data: (kind, value)."""
-    rows = [f"named_struct('kind', '{kind}', 'value', '{v}')" for kind, values in groups for v in values]
-    return F.expr(f"array({', '.join(rows)})")
+def _selectors(*groups: tuple[str, list[str]]) -> list[tuple[str, str]]:
+    """Selectors in priority order: (kind, value)."""
+    return [(kind, v) for kind, values in groups for v in values]
 
 
-def _selected(e: Column, s: Column) -> Column:
-    return (
-        F.when(s["kind"] == "tag", e["name"] == s["value"])
-        .when(s["kind"] == "class", F.array_contains(e["classes"], s["value"]))
-        .when(s["kind"] == "part", F.contains(e["class"], s["value"]))
-        .otherwise(F.array_contains(e["data"], s["value"]))
-    )
+def _selected(e: Column, kind: str, value: str) -> Column:
+    if kind == "tag":
+        return e["name"] == value
+    if kind == "part":
+        return F.contains(e["class"], F.lit(value))
+    return F.array_contains(e["classes" if kind == "class" else "data"], value)
 
 
-def _first_text(elements: Column, selectors: Column) -> Column:
-    """Text of the first element of the first selector whose first element is not blank."""
-    firsts = F.transform(selectors, lambda s: F.get(F.filter(elements, lambda e: _selected(e, s)), F.lit(0))["text"])
-    return F.get(F.filter(firsts, lambda t: t != ""), F.lit(0))
+def _first_of(elements: Column, kind: str, value: str) -> Column:
+    """Text of the first element of a selector; null if it has none."""
+    return F.get(F.filter(elements, lambda e: _selected(e, kind, value)), F.lit(0))["text"]
 
 
-def _first_accepted(elements: Column, selectors: Column, accepts) -> Column:
-    """First accepted text among all elements of the first selector that gives one."""
-    def first(texts: Column) -> Column:
-        found = F.transform(selectors, lambda s: F.get(F.filter(texts, lambda e: _selected(e, s)), F.lit(0))["text"])
-        return F.get(F.filter(found, lambda t: t.isNotNull()), F.lit(0))
+def _first_text(elements: Column, selectors: list[tuple[str, str]]) -> Column:
+    """Text of the first element of the first selector whose first element is not blank; the selectors after it are not tried."""
+    return F.coalesce(*[F.nullif(_first_of(elements, *s), F.lit("")) for s in selectors])
+
 
-    return _named(F.filter(elements, lambda e: accepts(e["text"])), first)
+def _first_accepted(elements: Column, selectors: list[tuple[str, str]], accepts) -> Column:
+    """First accepted text among all elements of the first selector that gives one."""
+    return _named(
+        F.filter(elements, lambda e: accepts(e["text"])),
+        lambda found: F.when(F.size(found) > 0, F.coalesce(*[_first_of(found, *s) for s in selectors])),
+    )
 
 
 def _heading(elements: Column) -> Column:
@@ -144,7 +147,8 @@ def _heading(elements: Column) -> Column:
 def _price_text(elements: Column) -> Column:
     """The price for the whole party first, then exact classes, then parts of class names."""
     marker = "|".join(fv.WHOLE_PARTY_MARKERS)
-    party = _first_accepted(elements, _selectors(("part", ["price"])), lambda t: F.lower(t).rlike(marker))
+    of_party = lambda e: _selected(e, "part", "price") & F.lower(e["text"]).rlike(marker)
+    party = F.get(F.filter(elements, of_party), F.lit(0))["text"]
     tiers = [("part", [fv.WHOLE_PARTY_CLASS]), ("class", fv.PRICE_CLASSES), ("part", fv.PRICE_CLASS_PARTS)]
     return F.coalesce(party, _first_text(elements, _selectors(*tiers)))
 

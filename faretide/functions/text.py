@@ -84,7 +84,7 @@ def preferred_price_text(texts: Column) -> Column:
 def is_date_text(col: Column) -> Column:
     stop = "|".join(fv.RATING_WORDS)
     return F.coalesce(
-        (F.length(F.trim(col)) >= 5) & ~F.lower(col).rlike(stop) & col.rlike(_DAY_MONTH), F.lit(False)
+        (F.length(F.trim(col)) >= 5) & col.rlike(_DAY_MONTH) & ~F.lower(col).rlike(stop), F.lit(False)
     )
 
 

@@ -176,3 +176,21 @@ def test_card_of_odd_shape(spark):
     started = time.time()
     got = _card(spark, '<span class="price">9 PLN' * 8_000)
     assert got["price"] == "9 PLN" and time.time() - started < 10
+
+
+def test_first_accepted_and_party_prices_follow_the_selectors_in_order(spark):
+    """Selectors are tried in order and no further than the first that gives a text; tags may be in capitals."""
+    cards = [
+        ('<DIV CLASS="x"><U class="name"> </U><b class="hotel-name">B</b></DIV>', ("B", None, None)),
+        ('<p class="price">1 PLN</p><p class="old-price">2 PLN ZA WSZYSTKICH</p>', (None, "2 PLN ZA WSZYSTKICH", None)),
+        ('<p DATA-DATE>03.04 - 05.04</p><p class="when">01.02 - 02.02</p>', (None, None, "03.04 - 05.04")),
+        ("<SCRIPT>x<b class='price'>1</b></SCRIPT ><!-- <h1>n</h1> --><b class='cost'>7</b><STYLE>h</STYLE>", (None, "7", None)),
+    ]
+    df = spark.createDataFrame([(k, html) for k, (html, _) in enumerate(cards)], "k int, html string")
+    found = df.select("k", markup.card_texts(F.col("html")).alias("c")).orderBy("k").collect()
+    assert [(r["c"]["name"], r["c"]["price"], r["c"]["dates"]) for r in found] == [want for _, want in cards]
+    # No alternative is tried at a character that begins no tag, and no selector is one of another.
+    plan = df.select(markup.visible_text(F.col("html")))._jdf.queryExecution().analyzed().toString()
+    assert "<(?:script" in plan
+    parts = [v.removeprefix(r"\Q").removesuffix(r"\E") for v in markup._SELECTABLE.removeprefix("(?i)").split("|")]
+    assert not any(a != b and a in b for a in parts for b in parts)
