@@ -5,8 +5,12 @@ the documents by minwise shingles: a node holds the documents that share one, an
 documents branches again by further minwise functions. Documents of a small node are compared
 exhaustively, first by their minwise values and then, where enough of these agree, on their full
 sets. A node that is still too large at the last level (many copies of
-one text) is compared in blocks that share two pivots, and then block by block as far as its
-documents are not connected yet. No node, partner or candidate is dropped.
+one text) is compared in blocks that share two pivots. What is not connected after that meets by rare
+shingles: in one fixed order of all shingles, rare ones first, two similar sets share one of their first few,
+and how many these are follows from both sizes, so this finds every pair of the documents of too large nodes.
+Each document gives a row per such shingle, however many copies there are. Shingles that only one document has, or
+only documents that are connected already, are left out, and so are blocks whose sizes rule links out. No
+node, partner or candidate is dropped.
 
 With four trees of two branches each, a pair at similarity s is missed by all root nodes with
 probability (1 - s)^8: 2.6e-6 at 0.8. How many of 24 minwise values must agree follows from the threshold, so that
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretide.llm.frames import free, grouped, keep, released
@@ -41,6 +45,8 @@ FUNCTIONS = 24
 MISSED = 1e-6
 # Columns of the incidence matrix that are held at a time.
 _COLUMNS = 4096
+# Counters of shingles, which tell rare from frequent ones.
+COUNTERS = 1 << 20
 
 
 def _set_table(shingle: int, functions: int):
@@ -186,6 +192,57 @@ def _compare(shingle: int, percent: int):
     return build
 
 
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(40)).astype(np.int64) & (COUNTERS - 1)
+
+
+def _tally(shingle: int):
+    """Batches with ``text`` -> how many sets have a shingle of each counter."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, words in slices(batch.column("text"), lower=True):
+                counts += np.bincount(_counter(words.shingles(shingle)[0]), minlength=COUNTERS)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
+
+    return build
+
+
+def first_shingles(values: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the order of (level, value), and the largest set that each may link it with.
+
+    Sets of x and y shingles are similar if they share at least percent * (x + y) / (100 + percent). If the
+    first one that they share has i others before it in the one, they share at most x - i. Shingles of level 0 are in no
+    other set.
+    """
+    size = len(values)
+    order = np.lexsort((values, level))
+    largest = (100 + percent) * (size - np.arange(size)) // percent - size
+    some = (100 * largest >= percent * size) & (level[order] > 0)
+    return values[order[some]], largest[some]
+
+
+def _meeting(shingle: int, percent: int, level: np.ndarray):
+    """Batches of (doc_id, label, text) -> a row per document and first shingle, with the sizes of its set and of the largest partner."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, words in slices(batch.column("text"), lower=True):
+                values, bounds = words.shingles(shingle)
+                levels, size = level[_counter(values)], np.diff(bounds)
+                found = [first_shingles(values[i:j], levels[i:j], percent) for i, j in zip(bounds[:-1], bounds[1:])]
+                count = [len(v) for v, _ in found]
+                row = pa.array(np.repeat(np.arange(a, b), count))
+                columns = [batch.column(c).take(row) for c in ("doc_id", "label")]
+                columns += [pa.array(signed(np.concatenate([v for v, _ in found])))]
+                columns += [pa.array(np.repeat(size, count)), pa.array(np.concatenate([x for _, x in found]))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "node", "size", "largest"])
+
+    return build
+
+
 def _count_nodes(rows: DataFrame) -> DataFrame:
     """Nodes of at least two documents; of nodes with the same members one is kept."""
     counted = rows.groupBy("node").agg(
@@ -325,7 +382,7 @@ def near_duplicates(
     links = keep(compare(chosen, candidates), "found")
     same = components(links)
     if large is not None:
-        rest = _unconnected(large, same, node_docs // 2)
+        rest = keep(_unconnected(_shared(large, same, candidates, shingle, percent), node_docs // 2), "rest")
         if rest.limit(1).count():
             links = links.union(keep(compare(promising(rest), candidates), "found"))
             same = components(links)
@@ -349,39 +406,64 @@ def near_duplicates(
     return one.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _unconnected(large: DataFrame, same: DataFrame, docs_per_block: int) -> DataFrame:
-    """Pairs of blocks of too large nodes that hold documents not connected yet.
+def _shared(large: DataFrame, same: DataFrame, candidates: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``doc_id, label, node, size, largest``: documents of too large nodes by first shingles that unlike components share."""
+    label = F.coalesce("component", "doc_id").alias("label")
+    labels = large.select("doc_id").distinct().join(same, F.col("doc_id") == F.col("node"), "left").select("doc_id", label)
+    texts = keep(candidates.join(labels, "doc_id").select("doc_id", "label", "text"), "unsettled")
+    # At most a row per counter reaches the driver; a counter of 1 is a shingle of one set only.
+    tally = texts.mapInArrow(released(_tally(shingle)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    tally = tally.filter("n > 1").toArrow()
+    level = np.zeros(COUNTERS, np.uint8)
+    level[tally.column("slot").to_numpy()] = np.minimum(np.round(6 * np.log2(tally.column("n").to_numpy())), 255)
+    build = _meeting(shingle, percent, level)
+    rows = keep(
+        texts.mapInArrow(released(build), "doc_id long, label long, node long, size long, largest long"), "meeting"
+    )
+    mixed = rows.groupBy("node").agg((F.min("label") < F.max("label")).alias("mixed")).filter("mixed")
+    return rows.join(mixed.select("node"), "node")
+
+
+def _unconnected(members: DataFrame, docs_per_block: int) -> DataFrame:
+    """Pairs of blocks of ``members(doc_id, label, node, size, largest)`` that may hold links between components.
 
-    Documents of a component stand in blocks of their own, so pairs of blocks of one component
-    are left out.
+    Documents of a component with many members in a node stand in blocks of their own, and pairs of blocks of one
+    component are left out. A block holds sets of about one size and largest partner; pairs of blocks whose sizes
+    are too large for one another are left out too.
     """
-    labelled = keep(
-        large.join(same, F.col("doc_id") == same["node"], "left").select(
-            "doc_id", large["node"], "n", F.coalesce("component", "doc_id").alias("label")
-        ),
-        "labelled",
+    members = keep(members.select("doc_id", "label", "node", "size", "largest"), "members")
+    many = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") * 8 >= docs_per_block)
+    bands = [F.floor(F.log(F.col(c)) * 32).alias(f"{c}_band") for c in ("size", "largest")]
+    placed = members.join(many, ["node", "label"], "left").select(
+        "node", "doc_id", "size", "largest", F.when(F.col("m").isNotNull(), F.col("label")).alias("own"), *bands
+    )
+    cell = ["node", "own", "size_band", "largest_band"]
+    # A cell with more than a block of documents is cut.
+    counted = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    cells = placed.join(counted.withColumnRenamed("own", "o"), ["node", "size_band", "largest_band"]).filter(
+        F.col("own").eqNullSafe(F.col("o"))
     )
-    sizes = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("node").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    sizes = keep(sizes.join(mixed.select("node"), "node"), "sizes")
-    # A component with a block or more of its own is cut into blocks; the small ones share blocks.
-    full = F.col("m") >= docs_per_block
-    cut = labelled.join(sizes, ["node", "label"]).select(
-        "node",
-        "doc_id",
-        F.when(full, F.col("label")).alias("own"),
-        F.when(full, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / docs_per_block)))
-        .otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / docs_per_block)))
-        .alias("k"),
+    k = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / docs_per_block))
+    block = F.xxhash64(F.coalesce("own", F.lit(-1)), "own", "size_band", "largest_band", k).alias("block")
+    cut = keep(cells.select("node", "doc_id", "own", "size", "largest", block), "cut")
+    blocks = keep(
+        cut.groupBy("node", "own", "block").agg(
+            F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.max("largest").alias("largest")
+        ),
+        "blocks",
     )
-    cut = keep(cut.withColumn("block", F.xxhash64(F.coalesce("own", F.lit(-1)), "own", "k")), "cut")
-    blocks = cut.select("node", "own", "block").distinct()
-    other = blocks.select("node", F.col("own").alias("own2"), F.col("block").alias("block2"))
-    # A row per pair of blocks: the square of a node's size in blocks, not in documents.
+    other = blocks.select("node", *[F.col(c).alias(f"{c}2") for c in ("own", "block", "n", "size", "largest")])
+    # A row per pair of blocks that may hold links, which are few beside the documents of large components.
     pairs = blocks.join(other, "node").filter(
-        (F.col("block") <= F.col("block2")) & ~F.coalesce(F.col("own") == F.col("own2"), F.lit(False))
+        (F.struct("n", "block") >= F.struct("n2", "block2"))
+        & (F.col("size") <= F.col("largest2"))
+        & (F.col("size2") <= F.col("largest"))
+        & ~F.coalesce(F.col("own") == F.col("own2"), F.lit(False))
     )
-    group = F.xxhash64("node", "block", "block2").alias("group")
-    left = pairs.select("node", "block", group)
-    right = pairs.filter("block < block2").select("node", F.col("block2").alias("block"), group)
+    # The smaller blocks come to the larger one together, about a block of documents at a time.
+    beside = F.ceil(F.sum("n2").over(Window.partitionBy("node", "block")) / docs_per_block)
+    group = F.xxhash64("node", "block", F.pmod(F.xxhash64("block2"), beside)).alias("group")
+    pairs = keep(pairs.select("node", "block", "block2", group), "pairs")
+    left = pairs.select("node", "block", "group").distinct()
+    right = pairs.filter("block <> block2").select("node", F.col("block2").alias("block"), "group")
     return cut.join(left.union(right), ["node", "block"]).select("doc_id", F.col("group").alias("node"))

@@ -73,6 +73,54 @@ def test_how_many_values_must_agree():
         near_dedup.near_duplicates(None, trees=9, branches=3)
 
 
+def near_copies(n):
+    """A text with 0 to 12 of its 60 words replaced, mostly by words that no other copy has."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for k in rng.sample(range(60), rng.randint(0, 12)):
+            words[k] = f"x{rng.randint(0, 2000)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_rows_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """What the block comparison leaves open is settled with all links, by rows in proportion to the group."""
+    made = {}
+    rest = near_dedup._unconnected
+
+    def counted(*args):
+        found = rest(*args)
+        made[n] = found.count()
+        return found
+
+    monkeypatch.setattr(near_dedup, "_unconnected", counted)
+    for n in (120, 480):
+        rows = near_copies(n)
+        found = near_dedup.near_duplicates(frame(spark, rows), shingle=2, percent=70, node_docs=16).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == component_ids(rows, 2, 70)
+    assert all(made[n] < 8 * n for n in made)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_similar_sets_meet_at_a_first_shingle(percent):
+    rng = np.random.default_rng(4)
+    sets = [np.arange(40, dtype=np.uint64)[rng.random(40) < p] for p in rng.uniform(0.2, 1, 150)]
+    level = np.bincount(np.concatenate(sets).astype(int), minlength=41)
+    level = np.where(level > 1, level, 0).astype(np.uint8)
+    first = [dict(zip(*near_dedup.first_shingles(s, level[s.astype(int)], percent))) for s in sets]
+    similar = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
+                similar += 1
+                assert any(len(b) <= first[i][v] and len(a) <= first[j][v] for v in first[i].keys() & first[j].keys())
+    assert similar
+
+
 @pytest.mark.parametrize("length", [5, 20, 50])
 def test_substring_removal(spark, length):
     found = substring.remove_repeats(frame(spark, ROWS), length).collect()
